@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamlake.functions import text as X
+from loamlake.operators.once import with_once
 
 RECORD = T.StructType(
     [
@@ -85,14 +86,9 @@ def clean_records(
     strip_emails: bool = False,
 ) -> DataFrame:
     """Clean ``text``, drop what is too short or too little of the script, reset ``char_count``."""
-    cleaned = df.withColumn(
-        "text",
-        X.clean_text(F.col("text"), strip_html=strip_html, strip_urls=strip_urls, strip_emails=strip_emails),
-    )
-    long_enough = cleaned.filter(F.length("text") >= min_chars)
-    return long_enough.filter(X.script_share(F.col("text"), *script) >= min_share).withColumn(
-        "char_count", F.length("text").cast("bigint")
-    )
+    text = X.clean_text(F.col("text"), strip_html=strip_html, strip_urls=strip_urls, strip_emails=strip_emails)
+    cleaned = with_once(df, {"text": text}).withColumn("char_count", F.length("text").cast("bigint"))
+    return cleaned.filter((F.col("char_count") >= min_chars) & (X.script_share(F.col("text"), *script) >= min_share))
 
 
 def first_rows(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:

@@ -18,18 +18,15 @@ from loamlake.sources.shards import read_manifest, written_records
 TARGET_CHARS = 1_000_000_000
 
 
-def build(
-    records: DataFrame,
+def additions(
+    clean: DataFrame,
     *,
     order: Sequence[str] = ("doc_id",),
     target: int | None = None,
     fuzzy: bool = False,
     written: DataFrame | None = None,
-    skipped: Sequence[str] = (),
-    **rules,
 ) -> DataFrame:
-    """The records a run would add, cheap filters before costly ones."""
-    clean = clean_records(without_datasets(records, skipped), **rules)
+    """The cleaned records a run would add: new ones, first of their kind, within the budget."""
     fresh = clean if written is None else not_yet_written(clean, written)
     kept = near_dedup(fresh, order[0]) if fuzzy else exact_dedup(fresh, order)
     return kept if target is None else within_budget(kept, "char_count", order, target)
@@ -69,7 +66,7 @@ def run(
     clean.write.parquet(staged)
     clean = spark.read.parquet(staged)
     stats = dedup_stats(clean, written)
-    added = build(clean, order=order, target=target - done, fuzzy=fuzzy, written=written, min_chars=0, min_share=0.0, strip_html=False)
+    added = additions(clean, order=order, target=target - done, fuzzy=fuzzy, written=written)
     stats = spark.createDataFrame(stats.collect(), stats.schema)  # one row
     write_shards(added, root, list(order), shard_chars)
     write_manifest(spark, root, target, stats)

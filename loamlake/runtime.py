@@ -17,6 +17,7 @@ def local_session(app: str = "loamlake", cores: str = "*", shuffle_partitions: i
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .getOrCreate()
     )

@@ -27,10 +27,8 @@ def next_shard(spark: SparkSession, root: str) -> int:
 
 def written_records(spark: SparkSession, root: str) -> DataFrame:
     """(doc_id, text, char_count) of written shards; empty texts and unreadable shards are skipped."""
-    df = spark.read.option("ignoreCorruptFiles", True).schema(
-        "doc_id string, text string, char_count bigint, shard string"
-    ).parquet(root)
-    return df.filter(F.col("text") != "").select("doc_id", "text", "char_count")
+    df = spark.read.option("ignoreCorruptFiles", True).parquet(root).select("doc_id", "text", "char_count")
+    return df.filter(F.col("text") != "")
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame | None:
