@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamlake.operators.corpus import clean_records, dedup_stats, exact_dedup, not_yet_written, without_datasets
 from loamlake.operators.neardup import near_dedup
 from loamlake.operators.running import within_budget
-from loamlake.runtime import scratch_dir
+from loamlake.runtime import path_exists, scratch_dir
 from loamlake.sinks.corpus import SHARD_CHARS, write_manifest, write_shards
 from loamlake.sources.shards import read_manifest, written_records
 
@@ -51,12 +50,9 @@ def run(
     the next resume reads what is there and goes on.
     """
     done, written = 0, None
-    if resume:
-        try:
-            written = written_records(spark, root)
-            done = written.agg(F.coalesce(F.sum("char_count"), F.lit(0))).first()[0]
-        except AnalysisException:
-            written = None
+    if resume and path_exists(spark, root):
+        written = written_records(spark, root)
+        done = written.agg(F.coalesce(F.sum("char_count"), F.lit(0))).first()[0]
         if done >= target:
             return
     clean = clean_records(without_datasets(records, skipped), **rules)

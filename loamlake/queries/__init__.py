@@ -4,7 +4,7 @@ import importlib
 
 from loamlake.queries.base import ORACLE, QUERIES
 
-MODULES = ["corpus", "reports", "governance"]
+MODULES = ["corpus", "reports", "governance", "loads"]
 
 for _module in MODULES:
     importlib.import_module(f"loamlake.queries.{_module}")

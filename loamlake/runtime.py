@@ -48,7 +48,19 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/loamlake/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder, so a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def path_exists(spark: SparkSession, uri: str) -> bool:
+    """Whether a file or folder is there, on whatever file system the session knows."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a lost executor costs no recomputation.
+
+    Unlike ``checkpoint`` this computes the plan once, and the columnar copy
+    can be read column by column and has known sizes.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,13 +8,13 @@ Where a table format is at hand its own versions replace all of this.
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamlake.runtime import path_exists
+
 # Audit columns of ingested rows; uploads carry uploader and unit in place of the source table.
 AUDIT = ["_ingested_at", "_source_system", "_source_table", "_run_id"]
 UPLOAD_AUDIT = ["_ingested_at", "_source_system", "_uploaded_by", "_org_unit", "_run_id"]
@@ -37,10 +37,9 @@ def without_audit(df: DataFrame) -> DataFrame:
 
 def log(spark: SparkSession, table: str) -> DataFrame:
     """Commits of a table; empty when there is none."""
-    try:
-        return spark.read.schema(LOG).json(f"{table}/_log")
-    except AnalysisException:
+    if not path_exists(spark, f"{table}/_log"):
         return spark.createDataFrame([], LOG)
+    return spark.read.schema(LOG).json(f"{table}/_log")
 
 
 def latest_version(spark: SparkSession, table: str) -> str | None:
@@ -60,19 +59,18 @@ def _now() -> str:
 def write_table(df: DataFrame, table: str, *, operation: str = "replace", run_id: str = "", at: str | None = None) -> tuple[str, int]:
     """Write one version: ``replace`` swaps the contents, ``append`` adds to them; (version, rows written).
 
-    Rows are counted while they are written. The version becomes visible with
+    Rows are counted from the written files' footers. The version becomes visible with
     its log row, after all its files are in place.
     """
     spark = df.sparkSession
     previous = latest_version(spark, table)
     version = f"{int(previous) + 1 if previous else 1:012d}"
     part = f"v={version}"
-    counted = Observation(f"rows-{uuid.uuid4().hex}")
-    writer = df.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("compression", "zstd")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     if DAY in df.columns:
         writer = writer.partitionBy(DAY)
     writer.parquet(f"{table}/{part}")
-    rows = counted.get["n"]
+    rows = spark.read.schema(df.schema).parquet(f"{table}/{part}").count()
     kept = _parts(spark, table, previous) if operation == "append" and previous else []
     _commit(spark, table, version, operation, rows, run_id, [*kept, part], at or _now())
     return version, rows

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamlake.runtime import path_exists
+
 SHARD = r"/shard=(\d{5})/"
 
 
@@ -18,10 +19,9 @@ def list_shards(spark: SparkSession, root: str) -> DataFrame:
 
 def next_shard(spark: SparkSession, root: str) -> int:
     """Number the next run starts at: highest written one plus one, or 0."""
-    try:
-        last = list_shards(spark, root).agg(F.max("shard")).first()[0]
-    except AnalysisException:
+    if not path_exists(spark, root):
         return 0
+    last = list_shards(spark, root).agg(F.max("shard")).first()[0]
     return 0 if last is None else last + 1
 
 
@@ -33,8 +33,7 @@ def written_records(spark: SparkSession, root: str) -> DataFrame:
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame | None:
     """Latest totals row of a run, or None when there is no readable manifest."""
-    try:
-        df = spark.read.json(f"{root}/_manifest/totals")
-        return None if "total_chars" not in df.columns or df.isEmpty() else df
-    except AnalysisException:
+    if not path_exists(spark, f"{root}/_manifest/totals"):
         return None
+    df = spark.read.json(f"{root}/_manifest/totals")
+    return None if "total_chars" not in df.columns or df.isEmpty() else df

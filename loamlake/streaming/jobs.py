@@ -38,9 +38,7 @@ def watch_extracts(
             .option("header", True)
             .option("multiLine", True)
             .option("escape", '"')
-            .option("pathGlobFilter", f"{table}{{.csv,-*.csv}}")
-            .option("latestFirst", False)
-            .csv(folder)
+            .csv(f"{folder}/{table}{{.csv,-*.csv}}")
         )
 
         def load(batch: DataFrame, epoch: int, table: str = table, types: Mapping[str, str] = types) -> None:
