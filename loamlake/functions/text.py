@@ -12,11 +12,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The white space of Python's str.isspace, as Java character ranges.
-WHITE = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-SPACE = f"[{WHITE}]"
-LINE_SPACE = rf"[{WHITE}&&[^\n]]"
-NOT_BLANK_SPACE = f"[{WHITE}&&[^ ]]"
+# The white space of Python's str.isspace, as a Java class. ``\s``
+# needs (?U) to leave ASCII and then lacks the four information separators only.
+SPACE = r"[\s\x1C-\x1F]"
+LINE_SPACE = r"[\s\x1C-\x1F&&[^\n]]"
 # Fixed value: a Python word character (letters, numbers, underscore; no marks).
 WORD = r"\p{L}\p{N}_"
 # Fixed value: the Thai block.
@@ -36,7 +35,7 @@ def decode_entities(text: Column) -> Column:
 def strip(text: Column) -> Column:
     """Remove white space of any script at both ends."""
     # The class comes before its look-behind, so solid text fails on one test per character.
-    return F.regexp_replace(text, rf"^{SPACE}++|{SPACE}(?<!{SPACE}{SPACE}){SPACE}*+\z", "")
+    return F.regexp_replace(text, rf"(?U)^{SPACE}++|{SPACE}(?<!{SPACE}{SPACE}){SPACE}*+\z", "")
 
 
 def clean_text(
@@ -51,28 +50,30 @@ def clean_text(
     if strip_html:
         out = F.regexp_replace(decode_entities(out), r"<[^>]+>", " ")
     if strip_urls:
-        out = F.regexp_replace(out, rf"(?iu)https?://[^{WHITE}]+|www\.[^{WHITE}]+", " ")
+        out = F.regexp_replace(out, r"(?iU)https?://[^\s\x1C-\x1F]+|www\.[^\s\x1C-\x1F]+", " ")
     if strip_emails:
         out = F.regexp_replace(out, rf"[{WORD}.+-]+@[{WORD}-]+\.[{WORD}.-]+", " ")
     # Single blanks stay as they are, so only other runs are rewritten.
-    out = F.regexp_replace(out, r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " ")
+    out = F.regexp_replace(out, r"[ \t\r\f\x0B](?:(?<=[^ ])[ \t\r\f\x0B]*+|[ \t\r\f\x0B]++)", " ")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
     after_line = rf"(?<=\n{LINE_SPACE}){LINE_SPACE}*+"
     before_line = rf"(?<!{LINE_SPACE}{LINE_SPACE}){LINE_SPACE}*+(?=\n)"
-    out = F.regexp_replace(out, f"{LINE_SPACE}(?:{after_line}|{before_line})", "")
+    out = F.regexp_replace(out, f"(?U){LINE_SPACE}(?:{after_line}|{before_line})", "")
     return strip(out)
 
 
 def script_share(text: Column, first: str = THAI[0], last: str = THAI[1]) -> Column:
     """Share of the non-blank characters that lie in ``first``..``last``; 0 for an empty text."""
     inside = F.length(F.regexp_replace(text, f"[^{first}-{last}]+", ""))
-    solid = F.length(F.regexp_replace(text, f"{SPACE}+", ""))
-    return F.when(solid > 0, inside / solid).otherwise(F.lit(0.0))
+    solid = F.length(F.regexp_replace(text, f"(?U){SPACE}+", ""))
+    return F.coalesce(F.try_divide(inside, solid), F.lit(0.0))
 
 
 def squeeze(text: Column) -> Column:
     """Lower case with every white space run as one blank: the form duplicates are compared in."""
-    return F.lower(F.trim(F.regexp_replace(text, f"{SPACE}{{2,}}|{NOT_BLANK_SPACE}", " ")))
+    # A single blank is left alone; any other run is rewritten.
+    run = rf"(?U){SPACE}(?:(?<=[^ ]){SPACE}*+|{SPACE}++)"
+    return F.lower(F.trim(F.regexp_replace(text, run, " ")))
 
 
 def dedup_key(text: Column) -> Column:

@@ -155,10 +155,16 @@ def without_datasets(df: DataFrame, skipped: Sequence[str]) -> DataFrame:
 def funnel(
     df: DataFrame, order: Sequence[str] = ("doc_id",), group: str = "source", **rules
 ) -> DataFrame:
-    """Per group: rows read, rows left after cleaning and deduplication, and their characters."""
+    """Per group: rows read, rows left after cleaning and deduplication, and their characters.
+
+    Texts are read once and end in their key; only the key, the order and the
+    figures of the first row per key are shuffled.
+    """
     read = df.groupBy(group).agg(F.count("*").alias("rows_in"))
-    kept = exact_dedup(clean_records(df, **rules), order)
-    left = kept.groupBy(group).agg(F.count("*").alias("rows_kept"), F.sum("char_count").alias("chars"))
+    clean = clean_records(df, **rules)
+    row = F.struct(*order, F.col(group).alias("_group"), "char_count")
+    first = clean.select(X.dedup_key(F.col("text")).alias("_key"), row.alias("_row")).groupBy("_key").agg(F.min("_row").alias("r"))
+    left = first.groupBy(F.col("r._group").alias(group)).agg(F.count("*").alias("rows_kept"), F.sum("r.char_count").alias("chars"))
     return read.join(left, group, "left").select(
         group,
         "rows_in",

@@ -9,7 +9,7 @@ from loamlake.operators import corpus as C
 from loamlake.operators import neardup, running
 from loamlake.plans import corpus as plan
 from loamlake.queries.base import Tables, query
-from loamlake.runtime import scratch_dir
+from loamlake.runtime import cut_lineage, scratch_dir
 from loamlake.sinks import corpus as sink
 from loamlake.sources import files, shards
 
@@ -162,7 +162,7 @@ def near_dup(t: Tables):
 
 @query("budget_cut", CLEANED + f"SELECT doc_id, source, char_count FROM summed WHERE before < {TARGET}")
 def budget_cut(t: Tables):
-    kept = C.exact_dedup(C.clean_records(t.documents, **RULES))
+    kept = C.exact_dedup(cut_lineage(C.clean_records(t.documents, **RULES)))
     return running.within_budget(kept, "char_count", ["doc_id"], TARGET).select("doc_id", "source", "char_count")
 
 
@@ -250,7 +250,8 @@ def skip_datasets(t: Tables):
 )
 def kept_per_file(t: Tables):
     docs = t.documents.withColumnRenamed("source", "file")
-    return plan.kept_per_file(docs, C.exact_dedup(C.clean_records(docs, **RULES)))
+    clean = cut_lineage(C.clean_records(docs, **RULES))
+    return plan.kept_per_file(docs, C.exact_dedup(clean))
 
 
 @query(
