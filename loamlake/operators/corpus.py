@@ -121,12 +121,13 @@ def not_yet_written(df: DataFrame, written: DataFrame, text: str = "text") -> Da
     return df.withColumn("_key", X.dedup_key(F.col(text))).join(seen, "_key", "left_anti").drop("_key")
 
 
-def dedup_stats(df: DataFrame, written: DataFrame | None = None) -> DataFrame:
+def dedup_stats(df: DataFrame, written: DataFrame | None = None, key: Column | None = None) -> DataFrame:
     """One row: texts dropped as exact copies, and distinct texts seen (written ones included)."""
-    key = X.dedup_key(F.col("text")).alias("_key")
-    marked = df.select(key, F.lit(1).alias("_new"))
+    by_text = X.dedup_key(F.col("text"))
+    marked = df.select((by_text if key is None else key).alias("_key"), F.lit(1).alias("_new"))
     if written is not None:
-        marked = marked.unionByName(written.filter(F.col("text") != "").select(key, F.lit(0).alias("_new")))
+        seen = written.filter(F.col("text") != "").select(by_text.alias("_key"), F.lit(0).alias("_new"))
+        marked = marked.unionByName(seen)
     per_key = marked.groupBy("_key").agg(F.sum("_new").alias("_n"), F.min("_new").alias("_was"))
     return per_key.agg(
         F.coalesce(F.sum(F.when(F.col("_was") == 0, F.col("_n")).otherwise(F.col("_n") - 1)), F.lit(0)).alias(

@@ -117,9 +117,22 @@ def dropped_ids(rows: DataFrame) -> DataFrame:
     return lost
 
 
-def near_dedup(df: DataFrame, order: str = "doc_id", **rules) -> DataFrame:
+def near_dropped(texts: DataFrame, order: str, written: DataFrame | None = None, **rules) -> DataFrame:
+    """``order`` of the texts near an earlier kept one or near any already written text.
+
+    ``texts`` and ``written`` hold ``text``; exact copies must be gone.
+    """
+    rows = cut_lineage(bucket_rows(texts, order, **rules))
+    if written is None:
+        return dropped_ids(rows).select(F.col("id").alias(order))
+    taken = written.filter(F.col("text") != "").select(F.explode(band_buckets(F.col("text"), **rules)).alias("bucket")).distinct()
+    near_written = cut_lineage(lookup(rows, taken, "bucket").select("id").distinct())
+    among_new = dropped_ids(rows.join(near_written, "id", "left_anti"))
+    return near_written.unionByName(among_new).select(F.col("id").alias(order))
+
+
+def near_dedup(df: DataFrame, order: str = "doc_id", written: DataFrame | None = None, **rules) -> DataFrame:
     """Exact copies go first; then texts near an earlier kept one. ``order`` must identify a text."""
     unique = cut_lineage(first_rows(df, dedup_key(F.col("text")), (order,)))
-    rows = bucket_rows(df.select(order, "text").join(unique, order, "left_semi"), order, **rules)
-    dropped = dropped_ids(rows).select(F.col("id").alias(order))
+    dropped = near_dropped(df.select(order, "text").join(unique, order, "left_semi"), order, written, **rules)
     return df.join(unique.join(dropped, order, "left_anti"), order, "left_semi")

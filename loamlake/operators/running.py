@@ -82,6 +82,11 @@ def assign_shards(df: DataFrame, size: str, order: Sequence[str], shard_size: in
     Overshoot is not carried over to the next shard, so a boundary lies within
     one record of where a writer that restarts its count would put it.
     """
-    sums = running_sum(df, F.col(size), order)
-    shards = sums.select(*order, F.floor(F.col("before") / shard_size).cast("int").alias("shard"))
-    return df.join(shards, list(order))
+    return df.join(budgeted_shards(df, size, order, None, shard_size), list(order))
+
+
+def budgeted_shards(thin: DataFrame, size: str, order: Sequence[str], target: int | None, shard_size: int) -> DataFrame:
+    """``order`` + ``shard`` of the rows within the budget: both follow from one running sum."""
+    sums = running_sum(thin, F.col(size), order)
+    kept = sums if target is None else sums.filter(F.col("before") < target)
+    return kept.select(*order, F.floor(F.col("before") / shard_size).cast("int").alias("shard"))

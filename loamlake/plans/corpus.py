@@ -7,30 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlake.operators.corpus import clean_records, dedup_stats, exact_dedup, not_yet_written, without_datasets
-from loamlake.operators.neardup import near_dedup
-from loamlake.operators.running import within_budget
-from loamlake.runtime import path_exists, scratch_dir
+from loamlake.functions.text import dedup_key
+from loamlake.operators.corpus import clean_records, dedup_stats, without_datasets
+from loamlake.operators.neardup import near_dropped
+from loamlake.operators.running import budgeted_shards
+from loamlake.runtime import cut_lineage, path_exists
 from loamlake.sinks.corpus import SHARD_CHARS, write_manifest, write_shards
 from loamlake.sources.shards import read_manifest, written_records
 
 TARGET_CHARS = 1_000_000_000
 
 
-def additions(
-    clean: DataFrame,
-    *,
-    order: Sequence[str] = ("doc_id",),
-    target: int | None = None,
-    fuzzy: bool = False,
-    written: DataFrame | None = None,
-) -> DataFrame:
-    """The cleaned records a run would add: new ones, first of their kind, within the budget."""
-    fresh = clean if written is None else not_yet_written(clean, written)
-    kept = near_dedup(fresh, order[0]) if fuzzy else exact_dedup(fresh, order)
-    return kept if target is None else within_budget(kept, "char_count", order, target)
-
-
 def run(
     spark: SparkSession,
     records: DataFrame,
@@ -46,7 +33,10 @@ def run(
 ) -> None:
     """Run the job; with ``resume`` only what earlier shards lack is added, within what is left of the budget.
 
-    A crash loses no more than the shard directories Spark had not committed:
+    Texts are cleaned once into a staged copy that also holds their key. Which
+    records are new, first of their kind and within the budget, and their
+    shard, is decided on keys and lengths alone; texts then meet that decision
+    in one join. A crash loses no more than the shards Spark had not committed:
     the next resume reads what is there and goes on.
     """
     done, written = 0, None
@@ -56,18 +46,32 @@ def run(
         if done >= target:
             return
     clean = clean_records(without_datasets(records, skipped), **rules)
-    # The cleaned records are used by several passes below; one written copy
-    # costs less than cleaning the raw texts again for each.
-    staged = scratch_dir(spark, "clean")
-    clean.write.parquet(staged)
-    clean = spark.read.parquet(staged)
-    stats = dedup_stats(clean, written)
-    added = additions(clean, order=order, target=target - done, fuzzy=fuzzy, written=written)
-    stats = spark.createDataFrame(stats.collect(), stats.schema)  # one row
-    write_shards(added, root, list(order), shard_chars)
+    staged = cut_lineage(clean.withColumn("_key", dedup_key(F.col("text"))), "clean")
+    chosen = additions(staged, order, fuzzy=fuzzy, written=written)
+    placed = budgeted_shards(chosen, "char_count", order, target - done, shard_chars)
+    stats = dedup_stats(staged, written, F.col("_key"))
+    if fuzzy:
+        stats = stats.withColumn("near_kept", chosen.agg(F.count("*")).scalar())
+    stats = cut_lineage(stats)
+    write_shards(staged.drop("_key").join(placed, list(order)), root, list(order), shard_chars)
     write_manifest(spark, root, target, stats)
 
 
+def additions(staged: DataFrame, order: Sequence[str], *, fuzzy: bool = False, written: DataFrame | None = None) -> DataFrame:
+    """``order`` and ``char_count`` of the records a run would add, from cleaned records with ``_key``."""
+    row = F.struct(*order, "char_count")
+    first = staged.select("_key", row.alias("_row")).groupBy("_key").agg(F.min("_row").alias("_row"))
+    if written is not None:
+        seen = written.select(dedup_key(F.col("text")).alias("_key")).distinct()
+        first = first.join(seen, "_key", "left_anti")  # one row per key on both sides
+    chosen = first.select("_row.*")
+    if not fuzzy:
+        return chosen
+    chosen = cut_lineage(chosen)
+    texts = staged.select(order[0], "text").join(chosen.select(order[0]), order[0], "left_semi")
+    return chosen.join(near_dropped(texts, order[0], written), order[0], "left_anti")
+
+
 def kept_per_file(records: DataFrame, kept: DataFrame, file: str = "file") -> DataFrame:
     """Kept records per input file, files without any included."""
     counts = kept.groupBy(file).agg(F.count("*").alias("kept"))

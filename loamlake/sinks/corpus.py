@@ -14,9 +14,12 @@ MERGED_FILE_BYTES = 1 << 30
 
 
 def write_shards(df: DataFrame, root: str, order: list[str], shard_chars: int = SHARD_CHARS) -> None:
-    """zstd parquet, one directory and one file per shard, numbered after what is there."""
+    """zstd parquet, one directory and one file per shard, numbered after what is there.
+
+    Records without a ``shard`` column are placed by their running characters.
+    """
     first = next_shard(df.sparkSession, root)
-    sharded = assign_shards(df, "char_count", order, shard_chars)
+    sharded = df if "shard" in df.columns else assign_shards(df, "char_count", order, shard_chars)
     numbered = sharded.withColumn("shard", F.lpad((F.col("shard") + first).cast("string"), 5, "0"))
     (
         numbered.repartition("shard")
@@ -50,7 +53,7 @@ def write_manifest(spark: SparkSession, root: str, target: int | None = None, st
     written = spark.read.parquet(root)
     totals = manifest_totals(written, target)
     if stats is not None:
-        totals = totals.withColumn("dedup", stats.select(F.struct(*stats.columns)).scalar())
+        totals = totals.join(stats.select(F.struct(*stats.columns).alias("dedup"), F.lit(1).alias("_one")), F.col("_one") == 1).drop("_one")
     totals.coalesce(1).write.mode("overwrite").json(f"{root}/_manifest/totals")
     dataset_totals(written).write.mode("overwrite").json(f"{root}/_manifest/datasets")
     list_shards(spark, root).write.mode("overwrite").json(f"{root}/_manifest/shards")
