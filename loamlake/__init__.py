@@ -1 +1,9 @@
 """loamlake: governed lakehouse loads, text-corpus jobs and reports as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python functions that run inside tasks travel with the task, so
+# executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -54,6 +54,17 @@ def path_exists(spark: SparkSession, uri: str) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A file scan with fewer splits than the session has cores, dealt out to all of them.
+
+    For costly text work on few large row groups. A scan with enough splits is
+    returned as it is, so nothing is shuffled at scale. Only planning happens here.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan.repartition(cores) if splits < cores else scan
+
+
 def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lost executor costs no recomputation.
 
