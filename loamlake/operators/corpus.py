@@ -60,8 +60,8 @@ def to_records(
     fetched_at: str = "",
 ) -> DataFrame:
     """Rows of any shape as corpus records stamped with their dataset; rows without text go."""
-    text = pick_text(df)
-    picked = df.select(text.alias("text"), pick_id(df, text).alias("doc_id"))
+    found = with_once(df, {"_text": pick_text(df)})
+    picked = found.select(F.col("_text").alias("text"), pick_id(df, F.col("_text")).alias("doc_id"))
     return picked.filter(F.col("text") != "").select(
         F.lit(source).alias("source"),
         F.lit(dataset_id).alias("dataset_id"),
@@ -97,6 +97,8 @@ def first_rows(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
     Works on (key, order) alone with partial aggregation, so a key shared by a
     third of all texts sends one small row per task.
     """
+    if len(order) == 1:  # a plain minimum aggregates by hash, a struct's by sorting
+        return df.select(key.alias("_key"), *order).groupBy("_key").agg(F.min(order[0]).alias(order[0])).select(order[0])
     keyed = df.select(key.alias("_key"), F.struct(*order).alias("_order"))
     return keyed.groupBy("_key").agg(F.min("_order").alias("_order")).select("_order.*")
 
@@ -114,11 +116,14 @@ def exact_dedup(df: DataFrame, order: Sequence[str] = ("doc_id",), text: str = "
     return keep_first(df, X.dedup_key(F.col(text)), order)
 
 
-def not_yet_written(df: DataFrame, written: DataFrame, text: str = "text") -> DataFrame:
-    """Rows whose text is not among the already written ones (resume)."""
-    # One row per written key: a hot key cannot blow up the anti join's build side.
+def not_yet_written(df: DataFrame, written: DataFrame, order: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Rows whose text is not among the already written ones (resume).
+
+    Keys meet keys on thin rows; whole rows are then picked by their unique order.
+    """
     seen = written.filter(F.col("text") != "").select(X.dedup_key(F.col("text")).alias("_key")).distinct()
-    return df.withColumn("_key", X.dedup_key(F.col(text))).join(seen, "_key", "left_anti").drop("_key")
+    fresh = df.select(*order, X.dedup_key(F.col("text")).alias("_key")).join(seen, "_key", "left_anti")
+    return df.join(fresh.select(*order), list(order), "left_semi")
 
 
 def dedup_stats(df: DataFrame, written: DataFrame | None = None, key: Column | None = None) -> DataFrame:

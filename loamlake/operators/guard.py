@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamlake.functions.text import redact_credentials
@@ -50,19 +50,20 @@ def denied_hosts(hosts: DataFrame, denylist: DataFrame) -> DataFrame:
 def forbidden_targets(df: DataFrame, text: str, denied: Sequence[str], report: int = 20) -> DataFrame:
     """Up to ``report`` distinct connection targets per denied entry, credentials masked.
 
-    Only the target is reported, never the text around it.
+    Only the target is reported, never the text around it. Texts are read once
+    for all entries, and each task keeps no more than the report needs.
     """
-    found = None
-    for entry in denied:
-        pattern = rf"(?i){TARGET_PREFIX}[A-Za-z0-9._-]*\Q{entry}\E"
-        hits = df.filter(F.col(text).rlike(pattern)).select(
+    found = [
+        F.struct(
             F.lit(entry).alias("entry"),
-            F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), 0)).alias("target"),
+            F.regexp_extract_all(F.col(text), F.lit(rf"(?i){TARGET_PREFIX}[A-Za-z0-9._-]*\Q{entry}\E"), 0).alias("targets"),
         )
-        top = hits.select("entry", redact_credentials(F.col("target")).alias("target")).distinct()
-        top = top.orderBy("target").limit(report)
-        found = top if found is None else found.unionByName(top)
-    return found
+        for entry in denied
+    ]
+    hits = df.select(F.inline(F.array(*found))).select("entry", F.explode("targets").alias("target"))
+    masked = hits.select("entry", redact_credentials(F.col("target")).alias("target")).distinct()
+    nth = F.row_number().over(Window.partitionBy("entry").orderBy("target"))
+    return masked.withColumn("_nth", nth).filter(F.col("_nth") <= report).drop("_nth")
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:
