@@ -83,10 +83,10 @@ def test_synthetic_source_load(spark):
     registry = spark.createDataFrame(labels, "table_name string, column_name string, classification string, secret_level int")
     names = [*source, "hr.unregistered_scratch", "hr.retired_lookup"]
     listed = spark.createDataFrame(
-        [(n, "source-sim", True, n != "hr.retired_lookup", "incremental" if "enrollment" in n else "full_refresh", "enrollment_id" if "enrollment" in n else None) for n in names],
+        [(n, "db.sim", True, n != "hr.retired_lookup", "incremental" if "enrollment" in n else "full_refresh", "enrollment_id" if "enrollment" in n else None) for n in names],
         "table_name string, host string, has_registry boolean, source_active boolean, load_mode string, incremental_column string",
     )
-    job = ingest.Job(root=scratch_dir(spark, "lake"), source_key="sim", read=lambda n, c: source[n].select(*c), at=DAY[0], denied=["example.net"], allowed=["source-sim"])
+    job = ingest.Job(root=scratch_dir(spark, "lake"), source_key="sim", read=lambda n, c: source[n].select(*c), at=DAY[0], denied=["example.net"], allowed=["db.sim"])
     runs = {r.table_name: r for r in ingest.load_all(spark, job, listed, registry).collect()}
     assert {n for n, r in runs.items() if r.status == "skipped"} == {"hr.employee_health", "hr.unregistered_scratch", "hr.retired_lookup"}
     assert all(r.skip_reason for r in runs.values() if r.status == "skipped")
