@@ -35,6 +35,11 @@ RELEASE = {
 }
 
 
+def decision(action: Column, actor: Column, requested_by: Column) -> Column:
+    """The action as the release machine knows it: requesters may approve but not reject their own request."""
+    return F.when((action == "reject") & (actor == requested_by), "reject_own").otherwise(action)
+
+
 def states(machine: Mapping[tuple[str, str], str]) -> list[str]:
     return sorted({s for pair, s in machine.items() for s in (pair[0], s)})
 

@@ -44,6 +44,26 @@ def by_group(df: DataFrame, by: Mapping[str, Column], user: str, min_users: int
     return activity(df, by, user=user).filter(F.col("unique_users") >= min_users)
 
 
+def by_user_group(
+    df: DataFrame,
+    user: str,
+    period: Mapping[str, Column],
+    users: DataFrame,
+    groups: Sequence[str],
+    min_users: int = MIN_USERS,
+) -> DataFrame:
+    """Conversations and distinct users per period and group of ``users`` (one row per user).
+
+    Conversations are counted per user and period before anything is joined, so
+    a user with a third of all rows is a few rows, and a user counts once
+    without a distinct.
+    """
+    counted = df.groupBy(user, *[c.alias(name) for name, c in period.items()]).agg(F.count("*").alias("_n"))
+    grouped = counted.join(users.select(user, *groups), user).groupBy(*period, *groups)
+    cells = grouped.agg(F.sum("_n").alias("conversations"), F.count("*").alias("unique_users"))
+    return cells.filter(F.col("unique_users") >= min_users)
+
+
 def email_domain(address: Column) -> Column:
     """Group of a user: what follows the at sign, lower case."""
     return F.nullif(F.lower(F.regexp_extract(address, r"@([^@\s]+)\s*$", 1)), F.lit(""))

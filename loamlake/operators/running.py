@@ -17,10 +17,6 @@ from pyspark.sql import functions as F
 from loamlake.runtime import cut_lineage
 
 
-def _slices(df: DataFrame, slices: int | None) -> int:
-    return slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in names])
 
@@ -36,12 +32,13 @@ def running_sum(
     """``by`` + ``order`` + ``value`` + ``before``: the sum of ``value`` over earlier rows of the key.
 
     ``order`` must identify a row within its key. Inclusive sum: ``before + value``.
+    The number of slices follows the data's size unless ``slices`` sets it.
     """
     thin = df.select(*by, *order, value.cast("bigint").alias("value"))
-    # Range bounds come from a sample, so the slice of a row is fixed by a
-    # checkpoint before it is used twice.
+    # Range bounds come from a sample, so the slice of a row is written
+    # down before it is used twice.
     sliced = cut_lineage(
-        thin.repartitionByRange(_slices(df, slices), *by, *order).withColumn("slice", F.spark_partition_id())
+        thin.repartitionByRange(*([slices] if slices else []), *by, *order).withColumn("slice", F.spark_partition_id())
     )
     sums = sliced.groupBy("slice", *by).agg(F.sum("value").alias("total"))
     # At most one row per (key, slice) takes part in this window.

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from loamlake.functions import formats as M
 from loamlake.functions import names as N
 from loamlake.functions import types as Y
-from loamlake.operators import guard, lifecycle, policy, profile, search
+from loamlake.operators import guard, lifecycle, policy, profile, rules, search
 from loamlake.operators import registry as G
 from loamlake.queries import estate as E
 from loamlake.queries.base import Tables, query
+from loamlake.runtime import scratch_dir
 from loamlake.sinks import documents
 from loamlake.sources import tables as S
 
@@ -247,29 +248,69 @@ def forbidden_words(t: Tables):
     return t.documents.select("doc_id", word.alias("word")).filter("word IS NOT NULL")
 
 
-
-
-def run_rules():
-    c = F.col
-    return {
-        "skip_has_reason": (c("status") != "skipped") | c("skip_reason").isNotNull(),
-        "failure_has_message": (c("status") != "failed") | c("error_message").isNotNull(),
-        "finished_has_end": (c("status") == "running") | c("ended_at").isNotNull(),
-        "status_known": c("status").isin("running", "succeeded", "failed", "skipped"),
-        "rows_not_negative": c("rows_written") >= 100,
-    }
-
-
 @query(
     "run_constraints",
     ctes(r=E.RUNS)
     + """SELECT run_id, 'skip_has_reason' AS rule FROM r WHERE NOT (status <> 'skipped' OR skip_reason IS NOT NULL)
 UNION ALL SELECT run_id, 'failure_has_message' FROM r WHERE NOT (status <> 'failed' OR error_message IS NOT NULL)
 UNION ALL SELECT run_id, 'finished_has_end' FROM r WHERE NOT (status = 'running' OR ended_at IS NOT NULL)
-UNION ALL SELECT run_id, 'rows_not_negative' FROM r WHERE NOT (rows_written >= 100)""",
+UNION ALL SELECT run_id, 'rows_not_few' FROM r WHERE NOT (rows_written >= 100)""",
 )
 def run_constraints(t: Tables):
-    return G.violations(t.sql(E.RUNS), run_rules(), ["run_id"])
+    return G.violations(t.sql(E.RUNS), {**rules.runs(), "rows_not_few": F.col("rows_written") >= 100}, ["run_id"])
+
+
+TABLE_ROWS = """
+SELECT c_custkey, CASE WHEN c_custkey % 41 = 0 THEN 'hourly' WHEN c_custkey % 2 = 0 THEN 'incremental' ELSE 'full_refresh' END AS load_mode,
+       CASE WHEN c_custkey % 2 = 0 AND c_custkey % 10 <> 0 THEN 'id' WHEN c_custkey % 51 = 0 THEN 'id' END AS incremental_column,
+       c_custkey % 100 AS expire_snapshots_days, 7 AS orphan_retention_days,
+       c_custkey AS port, CASE WHEN c_custkey % 8 = 0 THEN '  ' ELSE c_name END AS data_owner, 'law' AS lawful_basis,
+       CASE WHEN c_custkey % 12 <> 0 THEN 'keep' END AS retention_note
+FROM {customer}"""
+
+
+@query(
+    "source_constraints",
+    ctes(r=TABLE_ROWS)
+    + """SELECT c_custkey, 'load_mode_known' AS rule FROM r WHERE load_mode = 'hourly'
+UNION ALL SELECT c_custkey, 'incremental_needs_column' FROM r WHERE NOT ((load_mode = 'incremental' AND incremental_column IS NOT NULL) OR (load_mode = 'full_refresh' AND incremental_column IS NULL))
+UNION ALL SELECT c_custkey, 'retention_sane' FROM r WHERE expire_snapshots_days NOT BETWEEN 1 AND 3650
+UNION ALL SELECT c_custkey, 'port_valid' FROM r WHERE port NOT BETWEEN 1 AND 65535
+UNION ALL SELECT c_custkey, 'governance_stated' FROM r WHERE trim(data_owner) = '' OR retention_note IS NULL""",
+)
+def source_constraints(t: Tables):
+    return G.violations(t.sql(TABLE_ROWS), {**rules.source_tables(), **rules.source_systems()}, ["c_custkey"])
+
+
+RELEASE_ROWS = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 19 = 0 THEN 'Bad-Name' ELSE 't' || CAST(o_custkey AS STRING) END AS table_name, o_orderkey AS version,
+       CASE WHEN o_orderkey % 23 = 0 THEN ' ' ELSE o_orderpriority END AS title, CASE WHEN o_orderkey % 29 = 0 THEN 'No Unit' ELSE 'eng' END AS owner_org_unit,
+       split_part('student,weather,', ',', CAST(1 + o_orderkey % 3 AS INT)) AS domain_text, 'university' AS access_level, 'manual' AS refresh_cadence,
+       CASE WHEN o_orderkey % 31 = 0 THEN 'a,b,c,d,e,f,g,h,i,j,k' ELSE 'a,b' END AS tag_text,
+       CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'O' THEN 'requested' ELSE 'rejected' END AS status,
+       CASE WHEN o_orderkey % 37 <> 0 THEN 'u1' END AS decided_by, o_orderdate AS decided_at, CASE WHEN o_orderkey % 5 <> 0 THEN 'no' END AS rejection_reason,
+       CASE WHEN o_orderkey % 7 <> 0 THEN '1' END AS source_version, '1' AS published_version, o_orderdate AS published_at,
+       CASE WHEN o_orderkey % 43 = 0 THEN 'Copy failed!' END AS failure_code
+FROM {orders}"""
+
+
+@query(
+    "release_constraints",
+    ctes(r=RELEASE_ROWS)
+    + """SELECT o_orderkey, 'table_name_shape' AS rule FROM r WHERE table_name = 'Bad-Name'
+UNION ALL SELECT o_orderkey, 'org_unit_shape' FROM r WHERE owner_org_unit = 'No Unit'
+UNION ALL SELECT o_orderkey, 'version_positive' FROM r WHERE version <= 0
+UNION ALL SELECT o_orderkey, 'title_length' FROM r WHERE title = ' '
+UNION ALL SELECT o_orderkey, 'domain_known' FROM r WHERE domain_text = 'weather'
+UNION ALL SELECT o_orderkey, 'tags_bounded' FROM r WHERE len(tag_text) > 10
+UNION ALL SELECT o_orderkey, 'decided' FROM r WHERE status <> 'requested' AND decided_by IS NULL
+UNION ALL SELECT o_orderkey, 'rejection_has_reason' FROM r WHERE status = 'rejected' AND rejection_reason IS NULL
+UNION ALL SELECT o_orderkey, 'published_is_pinned' FROM r WHERE status = 'published' AND source_version IS NULL
+UNION ALL SELECT o_orderkey, 'failure_code_shape' FROM r WHERE failure_code IS NOT NULL""",
+)
+def release_constraints(t: Tables):
+    rows = t.sql(RELEASE_ROWS).withColumns({"tags": F.split("tag_text", ","), "domain": F.nullif("domain_text", F.lit(""))})
+    return G.violations(rows, rules.releases(), ["o_orderkey"])
 
 
 @query(
@@ -315,7 +356,7 @@ def personal_columns(t: Tables):
 )
 def catalog_metadata(t: Tables):
     """Columns of the given tables once they are registered in a catalog database."""
-    t.spark.sql("CREATE DATABASE IF NOT EXISTS given")
+    t.spark.sql(f"CREATE DATABASE IF NOT EXISTS given LOCATION '{scratch_dir(t.spark, 'given')}'")
     for name in ("nation", "customer", "orders"):
         t.spark.sql(f"DROP TABLE IF EXISTS given.{name}")
         t.spark.catalog.createTable(f"given.{name}", path=f"{t.folder}/{name}.parquet", source="parquet")
@@ -857,16 +898,49 @@ def retained_orders(t: Tables):
     return lifecycle.purge(t.orders, "o_orderdate", last_order(t), "180 DAYS").select("o_orderkey")
 
 
-@query(
-    "upload_lifecycle",
-    "WITH RECURSIVE a AS (" + E.ACTIONS.replace("{events}", "events") + """),
-o AS (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY event_id) AS n FROM a),
-w AS (SELECT upload_id, CAST(0 AS BIGINT) AS n, 'new' AS status, CAST(0 AS BIGINT) AS applied FROM (SELECT DISTINCT upload_id FROM a)
- UNION ALL SELECT w.upload_id, o.n, CASE w.status || '/' || o.action WHEN 'new/submit' THEN 'pending_review' WHEN 'pending_review/approve' THEN 'loading' WHEN 'loading/loaded' THEN 'registered'
-  WHEN 'loading/load_failed' THEN 'pending_review' WHEN 'pending_review/reject' THEN 'rejected' ELSE w.status END,
-  w.applied + CASE WHEN w.status || '/' || o.action IN ('new/submit', 'pending_review/approve', 'loading/loaded', 'loading/load_failed', 'pending_review/reject') THEN 1 ELSE 0 END
-  FROM w JOIN o ON o.upload_id = w.upload_id AND o.n = w.n + 1)
-SELECT upload_id, arg_max(status, n) AS status, max(applied) AS applied, max(n) - max(applied) AS refused FROM w GROUP BY 1""",
-)
+def replay_sql(actions: str, key: str, event: str, machine) -> str:
+    """The same history walked one action at a time."""
+    moves = " ".join(f"WHEN '{s}/{a}' THEN '{n}'" for (s, a), n in machine.items())
+    known = ", ".join(f"'{s}/{a}'" for s, a in machine)
+    return f"""WITH RECURSIVE a AS ({actions}),
+o AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {event}) AS n FROM a),
+w AS (SELECT {key}, CAST(0 AS BIGINT) AS n, 'new' AS status, CAST(0 AS BIGINT) AS applied FROM (SELECT DISTINCT {key} FROM a)
+ UNION ALL SELECT w.{key}, o.n, CASE w.status || '/' || o.action {moves} ELSE w.status END,
+  w.applied + CASE WHEN w.status || '/' || o.action IN ({known}) THEN 1 ELSE 0 END FROM w JOIN o ON o.{key} = w.{key} AND o.n = w.n + 1)
+SELECT {key}, arg_max(status, n) AS status, max(applied) AS applied, max(n) - max(applied) AS refused FROM w GROUP BY 1"""
+
+
+@query("upload_lifecycle", replay_sql(E.ACTIONS, "upload_id", "event_id", lifecycle.UPLOAD))
 def upload_lifecycle(t: Tables):
     return lifecycle.replay(t.sql(E.ACTIONS), lifecycle.UPLOAD, ["upload_id"], ["event_id"])
+
+
+RUN_ACTIONS = """
+SELECT l_orderkey AS run_id, l_partkey * 10000 + l_suppkey * 10 + l_linenumber AS event_id,
+       split_part('claim,claim,skip,fail,succeed', ',', CAST(1 + (l_partkey + l_linenumber) % 5 AS INT)) AS action
+FROM {lineitem}"""
+
+
+@query("run_lifecycle", replay_sql(RUN_ACTIONS, "run_id", "event_id", lifecycle.RUN))
+def run_lifecycle(t: Tables):
+    return lifecycle.replay(t.sql(RUN_ACTIONS), lifecycle.RUN, ["run_id"], ["event_id"])
+
+
+# A customer's orders are what happened to one release; its own requester may not reject it.
+RELEASE_ACTIONS = """
+SELECT o_custkey AS release_id, o_orderkey AS event_id, 'u' || CAST(o_orderkey % 3 AS STRING) AS actor, 'u' || CAST(o_custkey % 3 AS STRING) AS requested_by,
+       split_part('request,approve,reject,publish,fail,interrupted', ',', CAST(1 + o_orderkey % 6 AS INT)) AS action
+FROM {orders}"""
+
+
+@query(
+    "release_lifecycle",
+    replay_sql(
+        f"SELECT release_id, event_id, CASE WHEN action = 'reject' AND actor = requested_by THEN 'reject_own' ELSE action END AS action FROM ({RELEASE_ACTIONS})",
+        "release_id", "event_id", lifecycle.RELEASE,
+    ),
+)
+def release_lifecycle(t: Tables):
+    events = t.sql(RELEASE_ACTIONS)
+    action = lifecycle.decision(F.col("action"), F.col("actor"), F.col("requested_by"))
+    return lifecycle.replay(events.withColumn("action", action), lifecycle.RELEASE, ["release_id"], ["event_id"])

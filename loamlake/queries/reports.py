@@ -59,8 +59,8 @@ def users_by_group(t: Tables):
     domain = F.when(F.col("c_custkey") % 400 == 7, "Tiny.example").otherwise(F.concat("c_mktsegment", F.lit(".Example")))
     address = F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@"), domain)
     users = t.customer.select("c_custkey", R.email_domain(address).alias("user_group"))
-    joined = t.orders.join(users, F.col("o_custkey") == F.col("c_custkey"))
-    return R.by_group(joined, {"user_group": F.col("user_group")}, "c_custkey")
+    orders = t.orders.withColumnRenamed("o_custkey", "c_custkey")
+    return R.by_user_group(orders, "c_custkey", {}, users, ["user_group"])
 
 
 @query(
@@ -69,9 +69,9 @@ def users_by_group(t: Tables):
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2 HAVING count(DISTINCT o_custkey) >= 10""",
 )
 def group_month_k(t: Tables):
-    joined = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    by = {"month": M.month(M.local_time(F.col("o_orderdate"))), "user_group": F.col("c_nationkey")}
-    return R.by_group(joined, by, "o_custkey")
+    users = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("user_group"))
+    period = {"month": M.month(M.local_time(F.col("o_orderdate")))}
+    return R.by_user_group(t.orders, "o_custkey", period, users, ["user_group"])
 
 
 @query(
@@ -287,3 +287,12 @@ def iso_and_local(t: Tables):
         age.alias("age_hours"),
         M.pseudonym(F.col("user_id")).alias("who"),
     )
+
+
+@query(
+    "weekday_groups",
+    f"""SELECT event_type AS user_group, CAST(isodow({BKK}) - 1 AS INTEGER) AS dow_num, count(*) AS conversations, count(DISTINCT user_id) AS unique_users
+FROM events GROUP BY 1, 2 HAVING count(DISTINCT user_id) >= 10""",
+)
+def weekday_groups(t: Tables):
+    return R.by_group(t.events, {"user_group": F.col("event_type"), "dow_num": F.weekday(M.local_time(F.col("ts")))}, "user_id")

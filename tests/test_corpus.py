@@ -29,7 +29,7 @@ def test_running_sum_with_hot_key(spark):
     rng = random.Random(3)
     rows = [("hot" if i % 3 else rng.choice("abc"), i, rng.randint(0, 9)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, o bigint, v bigint").repartition(7)
-    got = {(r.k, r.o): r.before for r in running.running_sum(df, F.col("v"), ["o"], ["k"]).collect()}
+    got = {(r.k, r.o): r.before for r in running.running_sum(df, F.col("v"), ["o"], ["k"], slices=8).collect()}
     sums, want = {}, {}
     for k, o, v in rows:
         want[k, o] = sums.get(k, 0)
