@@ -7,7 +7,6 @@ max over a struct, which combines before the shuffle, never a sort per key.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -264,7 +263,7 @@ def bump_domains(domain_rows: DataFrame, merged: DataFrame) -> DataFrame:
 def violations(df: DataFrame, rules: Mapping[str, Column], keys: Sequence[str]) -> DataFrame:
     """(keys, rule) for every rule a row breaks; a NULL verdict passes, as in a CHECK constraint."""
     broken = [F.when(~ok, F.lit(name)) for name, ok in rules.items()]
-    return df.select(*keys, F.explode(F.array_compact(F.array(*broken))).alias("rule"))
+    return df.select(*keys, F.explode(F.array(*broken)).alias("rule")).filter("rule IS NOT NULL")
 
 
 def duplicates(df: DataFrame, keys: Sequence[Column], condition: Column | None = None) -> DataFrame:
@@ -293,6 +292,3 @@ def capped(df: DataFrame, max_rows: int) -> DataFrame:
         raise ValueError(f"result exceeds {max_rows} rows")
     return df
 
-
-def all_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

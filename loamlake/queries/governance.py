@@ -329,9 +329,38 @@ def two_running(t: Tables):
     return G.duplicates(t.sql(E.RUNS), [F.col("source_table_id")], F.col("status") == "running")
 
 
-@query("column_profile")
+PROFILED = {
+    "o_orderkey": ("o_orderkey", "public"),
+    "o_custkey": ("o_custkey", "public"),
+    "o_orderstatus": ("o_orderstatus", "public"),
+    "o_totalprice": ("o_totalprice", "public"),
+    "o_orderdate": ("o_orderdate", "public"),
+    "o_orderpriority": ("o_orderpriority", "public"),
+    "Is Open?": ("is_open", "public"),
+    "Wide Id": ("wide_id", "sensitive"),
+    "\u0e27\u0e48\u0e32\u0e07": ("col_9", "public"),
+}
+
+
+def profile_sql() -> str:
+    extra = {"Is Open?": "'1'", "Wide Id": "CAST(o_orderkey * 1000000007 AS VARCHAR)", list(PROFILED)[-1]: "''"}
+    parts = []
+    for position, (original, (name, label)) in enumerate(PROFILED.items(), start=1):
+        value = f"nullif({extra.get(original, f'CAST({original} AS VARCHAR)')}, '')"
+        parts.append(f"""SELECT CAST({position} AS INTEGER) AS position, '{original}' AS original_name, '{name}' AS name,
+ CASE WHEN count({value}) = 0 THEN 'VARCHAR'
+  WHEN bool_and(regexp_matches({value}, '^-?[0-9]+$')) THEN CASE WHEN max(abs(TRY_CAST({value} AS BIGINT))) > 2147483647 THEN 'BIGINT' ELSE 'INTEGER' END
+  WHEN bool_and(regexp_matches({value}, '^-?[0-9]+([.][0-9]+)?$')) THEN 'DOUBLE' WHEN bool_and(regexp_matches(lower({value}), '^(true|false|t|f|1|0)$')) THEN 'BOOLEAN'
+  WHEN bool_and(regexp_matches({value}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$')) THEN 'DATE'
+  WHEN bool_and(regexp_matches({value}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[ T][0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}')) THEN 'TIMESTAMP' ELSE 'VARCHAR' END AS type,
+ '{label}' AS classification FROM orders""")
+    return "\nUNION ALL ".join(parts)
+
+
+@query("column_profile", profile_sql())
 def column_profile(t: Tables):
-    staged = t.orders.select(*[F.col(c).cast("string").alias(c) for c in t.orders.columns], F.lit("1").alias("Is Open?"), F.lit("").alias("ว่าง"))
+    extra = {"Is Open?": F.lit("1"), "Wide Id": (F.col("o_orderkey") * 1000000007).cast("string"), list(PROFILED)[-1]: F.lit("")}
+    staged = t.orders.select(*[extra.get(c, F.col(f"`{c}`")).cast("string").alias(c) for c in PROFILED])
     return profile.column_profile(staged)
 
 
@@ -350,9 +379,21 @@ def personal_columns(t: Tables):
     return guard.personal_columns(columns, ["email", "users"], ["users"]).select("c_custkey", "column_name")
 
 
+CATALOG_ROWS = [
+    (table, column, kind, position)
+    for table, columns in {
+        "nation": "n_nationkey int,n_name string,n_regionkey int",
+        "customer": "c_custkey bigint,c_name string,c_nationkey int,c_acctbal double,c_mktsegment string",
+        "orders": "o_orderkey bigint,o_custkey bigint,o_orderstatus string,o_totalprice double,o_orderdate timestamp_ntz,o_orderpriority string",
+    }.items()
+    for position, (column, kind) in enumerate((c.split() for c in columns.split(",")), start=1)
+]
+
+
 @query(
     "catalog_metadata",
-    None,
+    f"""SELECT column_name, table_name, data_type, CAST(position AS INTEGER) AS position, CASE WHEN table_name = 'orders' THEN (SELECT count(*) FROM orders) END AS row_count
+FROM (VALUES {', '.join(map(str, CATALOG_ROWS))}) AS v(table_name, column_name, data_type, position)""",
 )
 def catalog_metadata(t: Tables):
     """Columns of the given tables once they are registered in a catalog database."""

@@ -236,9 +236,19 @@ def stream_publish(t: Tables):
     return K.read_table(t.spark, target)
 
 
-@query("failure_limiter")
+@query(
+    "failure_limiter",
+    """WITH RECURSIVE a AS (SELECT CAST(user_id AS VARCHAR) AS k, event_id, ts, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+ FROM events WHERE event_type IN ('error', 'purchase')),
+w AS (SELECT k, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, false AS failed, true AS allowed, CAST(0 AS BIGINT) AS retry_after, 0 AS cnt, CAST(NULL AS TIMESTAMP) AS opened FROM (SELECT DISTINCT k FROM a)
+ UNION ALL SELECT k, n, event_id, failed, c < 3, CASE WHEN c >= 3 THEN greatest(1, CAST(ceil(date_diff('microsecond', ts, o + INTERVAL 240 HOUR) / 1000000.0) AS BIGINT)) ELSE 0 END,
+  CASE WHEN c >= 3 THEN c WHEN NOT failed THEN 0 ELSE c + 1 END, CASE WHEN c >= 3 THEN o WHEN NOT failed THEN NULL WHEN o IS NULL THEN ts ELSE o END
+  FROM (SELECT a.*, CASE WHEN w.opened IS NOT NULL AND a.ts > w.opened + INTERVAL 240 HOUR THEN 0 ELSE w.cnt END AS c,
+   CASE WHEN w.opened IS NOT NULL AND a.ts > w.opened + INTERVAL 240 HOUR THEN NULL ELSE w.opened END AS o FROM w JOIN a ON a.k = w.k AND a.n = w.n + 1))
+SELECT k AS "key", event_id, failed, allowed, retry_after FROM w WHERE n > 0""",
+)
 def failure_limiter(t: Tables):
-    """Errors are failed attempts, purchases successful ones; five failures close a key for six hours."""
+    """Errors are failed attempts, purchases successful ones; three failures close a key for ten days."""
     out, checkpoint = scratch_dir(t.spark, "out"), scratch_dir(t.spark, "checkpoint")
     attempts = stream(t, "events").filter("event_type IN ('error', 'purchase')").select(
         F.col("user_id").cast("string").alias("key"),
@@ -246,6 +256,6 @@ def failure_limiter(t: Tables):
         F.col("ts").cast("timestamp").alias("ts"),
         (F.col("event_type") == "error").alias("failed"),
     )
-    limited = jobs.limit_failures(attempts, max_failures=5, window_seconds=6 * 3600)
+    limited = jobs.limit_failures(attempts, max_failures=3, window_seconds=240 * 3600)
     jobs.append_new_files(limited, out, checkpoint).awaitTermination()
     return t.spark.read.parquet(out).select("key", "event_id", "failed", "allowed", "retry_after")
