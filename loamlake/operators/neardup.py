@@ -96,14 +96,14 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def dropped_ids(rows: DataFrame) -> DataFrame:
-    """Ids dropped by keep-first over (id, bucket) rows.
+    """Ids dropped by keep-first over (id, bucket) rows, which should be cheap to read again.
 
     Each round settles every id that leads all its shared buckets (kept) and
     every id that shares a bucket with such a leader (dropped). The least open
     id always settles, so the rounds end; each is linear in the open rows.
     """
     lost = rows.select("id").limit(0)
-    shared = cut_lineage(_shared(cut_lineage(rows)))
+    shared = cut_lineage(_shared(rows))
     while not shared.isEmpty():
         leads = F.min(F.col("id") == F.col("first")).alias("leads")
         leaders = shared.groupBy("id").agg(leads).filter("leads").select(F.col("id").alias("first"), F.lit(True).alias("taken"))
