@@ -11,6 +11,7 @@ from types import ModuleType
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 
 U = np.uint64
 
@@ -23,6 +24,12 @@ def shared(name: tuple, make: Callable):
     return kept[name]
 
 
+def send(spark, thing) -> Callable:
+    """Broadcast ``thing``, which must be of bounded size; the returned function gives it back inside a task."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    return lambda: cloudpickle.loads(sent.value)
+
+
 def blocks(frames: Iterator[pd.DataFrame], limit: int = 1 << 20, text: str = "text") -> Iterator[pd.DataFrame]:
     """The rows of ``frames`` in pieces of about ``limit`` characters; one text is never cut. Null texts become empty."""
     for frame in frames:

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlake.llm import packing, tokenfile
+from loamlake.llm import language, packing, tokenfile, toxicity
 from loamlake.runtime import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def fold(key: str, n: int):
+    """crc32 of the key as text, modulo ``n``."""
+    return F.crc32(F.col(key).cast("string")) % n
+
+
+@query("op1_language")
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, and the chosen languages with their shares."""
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    model = language.train(docs.filter(~held_out))
+    return language.predict(docs.select("doc_id", "text"), model).withColumn("held_out", held_out)
+
+
 @query("op3_token_file")
 def token_file(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, read back from the files written."""
@@ -41,6 +55,14 @@ def token_file(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.read_token_file(spark, path, ids=False).withColumnRenamed("key", "doc_id")
 
 
+@query("op5_toxicity")
+def toxic(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    made = toxicity.scores(table(spark, folder, "documents"), table(spark, folder, "labels"), train=fold("doc_id", 5) != 0)
+    predicted = (F.col("score") >= 0.5).cast("int")
+    return made.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", predicted.alias("predicted"))
+
+
 @query("op10_packing")
 def packed(spark: SparkSession, folder: str) -> DataFrame:
     """A row per piece of the packed sequences."""
