@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlake.llm import language, packing, tokenfile, toxicity
+from loamlake.llm import language, licenses, orderhash, packing, tokenfile, toxicity, urls
 from loamlake.runtime import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,24 @@ def token_file(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.read_token_file(spark, path, ids=False).withColumnRenamed("key", "doc_id")
 
 
+@query("op4_order_minhash")
+def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    rows = orderhash.neighbours(table(spark, folder, "documents"))
+    n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
+    made = orderhash.with_fingerprint(rows.withColumns({"n_chars": n.cast("bigint"), "edited": edited}).drop("text", "next_text"), "edited", "edited_fingerprint")
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        orderhash.as_text("fingerprint").alias("fingerprint"),
+        orderhash.as_text("edited_fingerprint").alias("edited_fingerprint"),
+        orderhash.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+        orderhash.likeness("fingerprint", "next_fingerprint").alias("near_next"),
+    )
+
+
 @query("op5_toxicity")
 def toxic(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, held_out, score, predicted."""
@@ -63,6 +81,21 @@ def toxic(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", predicted.alias("predicted"))
 
 
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query("op8_url_filters")
+def urls_judged(spark: SparkSession, folder: str) -> DataFrame:
+    """page_id, host, path, rule, verdict, component, by_alias."""
+    return urls.judge(table(spark, folder, "pages"), RULES)
+
+
+@query("op9_license_scans")
+def license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    return licenses.scan(table(spark, folder, "documents")).drop("spans")
+
+
 @query("op10_packing")
 def packed(spark: SparkSession, folder: str) -> DataFrame:
     """A row per piece of the packed sequences."""
