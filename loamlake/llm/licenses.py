@@ -86,7 +86,7 @@ def scan(docs: DataFrame, key: str = "doc_id", *, gap: int = 3, share: float = 0
             F.max(F.when(F.col("exact"), F.col("diagonal"))).alias("last_word"),
         )
     )
-    part = F.coalesce(F.least(F.lit(1.0), F.col("votes") / F.col("grams")), F.lit(0.0))
+    part = F.least(F.lit(1.0), F.coalesce(F.col("votes") / F.col("grams"), F.lit(0.0)))
     sure = (F.col("n_base") > 0) | (~F.col("base") & (F.col("votes") >= least_votes) & (F.col("part") >= share))
     span = F.struct("label", F.greatest("start", F.lit(0)).alias("start"), "votes", F.col("part").alias("share"))
     names = lambda kept: F.array_join(F.array_sort(F.collect_set(F.when(kept, F.col("label")))), ",")

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlake.llm import language, licenses, orderhash, packing, tokenfile, toxicity, urls
+from loamlake.llm import jaccard, language, licenses, orderhash, packing, suffixes, tokenfile, toxicity, urls
 from loamlake.runtime import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,12 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text"), model).withColumn("held_out", held_out)
 
 
+@query("op2_ngram_jaccard_join")
+def near_components(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_shingles, component_id."""
+    return jaccard.jaccard_components(table(spark, folder, "documents")).withColumnRenamed("component", "component_id")
+
+
 @query("op3_token_file")
 def token_file(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, read back from the files written."""
@@ -81,6 +87,12 @@ def toxic(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", predicted.alias("predicted"))
 
 
+@query("op7_suffix_dedup")
+def repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    return suffixes.digests(table(spark, folder, "documents"))
+
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
