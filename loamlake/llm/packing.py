@@ -124,7 +124,7 @@ def pack(
                 for start, length in pieces(len(values), capacity, most):
                     row = [k, start, length, zlib.crc32(values[start : start + length].tobytes()), len(values), None, 0]
                     if ids:
-                        row.append(values[start : start + length].tolist())
+                        row.append(values[start : start + length].astype(np.int32))
                     rows.append(row)
                     if length == capacity:
                         row[5] = sequence
@@ -151,5 +151,5 @@ def pack(
             yield emit(held)
 
     rows = docs.select(F.col(key), F.col("text").cast("string").alias("text"))
-    schema = SCHEMA.format(key=f"`{key}`", kind=docs.schema[key].dataType.simpleString()) + (", ids array<bigint>" if ids else "")
+    schema = SCHEMA.format(key=f"`{key}`", kind=docs.schema[key].dataType.simpleString()) + (", ids array<int>" if ids else "")
     return rows.mapInPandas(run, schema)

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlake.llm import jaccard, language, licenses, orderhash, packing, suffixes, tokenfile, toxicity, urls
+from loamlake.llm import decontam, jaccard, language, licenses, orderhash, packing, suffixes, tokenfile, toxicity, urls
 from loamlake.runtime import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,7 +50,7 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_ngram_jaccard_join")
 def near_components(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, n_shingles, component_id."""
-    return jaccard.jaccard_components(table(spark, folder, "documents")).withColumnRenamed("component", "component_id")
+    return jaccard.jaccard_components(table(spark, folder, "documents")).withColumnRenamed("component", "component_id").drop("text_hash")
 
 
 @query("op3_token_file")
@@ -87,6 +87,12 @@ def toxic(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", predicted.alias("predicted"))
 
 
+@query("op6_benchmark_decontamination")
+def leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, leaked, item_id, n_items, cosine, common, answer."""
+    return decontam.judge(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")).drop("text")
+
+
 @query("op7_suffix_dedup")
 def repeats(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""

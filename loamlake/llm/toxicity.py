@@ -237,34 +237,59 @@ def fit(features: np.ndarray, labels: np.ndarray, ridge: float = 0.5, steps: int
     return w
 
 
-def scores(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", train: Column, train_rows: int = 20_000) -> DataFrame:
-    """``key`` and score of every row of ``docs``; ``labels`` has the key and ``toxic``.
+def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", train: Column | None = None, train_rows: int = 20_000) -> tuple[Scanner, np.ndarray | None]:
+    """Lexicon and logistic weights; ``labels`` has the key and ``toxic``.
 
     ``train`` says of a label's row whether it may be learned from; at most
     ``train_rows`` of those, the first by a hash of the key, are used.
     """
     spark = docs.sparkSession
     rows = docs.select(key, F.col("text").cast("string").alias("text"))
-    chosen = labels.filter(train).select(key, F.col("toxic").cast("int").alias("label")).filter(f"label IN (0, 1) AND `{key}` IS NOT NULL")
-    chosen = cut_lineage(chosen.groupBy(key).agg(F.max("label").alias("label")).orderBy(F.xxhash64(key), key).limit(train_rows))
-    bounded = F.broadcast(chosen)  # at most train_rows pairs of numbers
-    lexicon = learn_lexicon(rows.join(bounded, key))
-    sent = send(spark, Scanner(lexicon))  # bounded by the lexicon's size
+    chosen = (labels if train is None else labels.filter(train)).select(key, F.col("toxic").cast("int").alias("label"))
+    chosen = chosen.filter(f"label IN (0, 1) AND `{key}` IS NOT NULL").groupBy(key).agg(F.max("label").alias("label"))
+    chosen = cut_lineage(chosen.orderBy(F.xxhash64(key), key).limit(train_rows), "labels")
+    # Bounded: at most train_rows pairs of numbers. Their texts are written once and used twice.
+    labelled = cut_lineage(rows.join(F.broadcast(chosen), key).select("text", "label"), "labelled")
+    scanner = Scanner(learn_lexicon(labelled))
+    sent = send(spark, scanner)  # bounded by the lexicon's size
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = sent()
         for frame in blocks(frames):
             made = pd.DataFrame(scanner.features(frame["text"]), columns=FEATURES, index=frame.index)
-            yield pd.concat([frame[["_key"]], made], axis=1)
-
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"_key {kind}, " + ", ".join(f"{f} double" for f in FEATURES)
-    found = cut_lineage(rows.withColumnRenamed(key, "_key").mapInPandas(scan, schema))
-    sample = found.join(bounded, F.col("_key") == F.col(key)).orderBy(F.xxhash64("_key"), *FEATURES).limit(train_rows).toPandas()
-    if sample["label"].nunique() < 2:
-        return found.select(F.col("_key").alias(key), F.lit(0.0).alias("score"))
-    weights = fit(sample[FEATURES].to_numpy(), sample["label"].to_numpy())
-    total = F.lit(float(weights[-1]))
-    for name, w in zip(FEATURES, weights):
-        total = total + F.col(name) * float(w)
-    return found.select(F.col("_key").alias(key), (1 / (1 + F.exp(-total))).alias("score"))
+            yield pd.concat([frame[["label"]], made], axis=1)
+
+    schema = "label int, " + ", ".join(f"{f} double" for f in FEATURES)
+    sample = labelled.mapInPandas(scan, schema).toPandas().sort_values(["label", *FEATURES])  # bounded by train_rows
+    known = sample["label"].nunique() == 2
+    return scanner, fit(sample[FEATURES].to_numpy(), sample["label"].to_numpy()) if known else None
+
+
+def with_score(docs: DataFrame, scanner: Scanner, weights: np.ndarray | None) -> DataFrame:
+    """``docs`` (with ``text``) and the column ``_score``, in one pass without a shuffle."""
+    sent = send(docs.sparkSession, (scanner, weights))
+    kept = [f"_c{i}" for i in range(len(docs.columns))]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scanner, weights = sent()
+        for frame in blocks(frames):
+            score = np.zeros(len(frame))
+            if weights is not None:
+                score = 1 / (1 + np.exp(-np.clip(scanner.features(frame["text"]) @ weights[:-1] + weights[-1], -30, 30)))
+            yield frame[kept].assign(_score=score)
+
+    renamed = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, kept)], F.col("text").cast("string").alias("text"))
+    types = ", ".join(f"{k} {f.dataType.simpleString()}" for k, f in zip(kept, docs.schema))
+    made = renamed.mapInPandas(run, f"{types}, _score double")
+    return made.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, kept)], "_score")
+
+
+def scores(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", **rules) -> DataFrame:
+    """``key`` and score of every row of ``docs``; see ``learn``."""
+    scored = with_score(docs.select(key, "text"), *learn(docs, labels, key=key, **rules))
+    return scored.select(key, F.col("_score").alias("score"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, *, at: float = 0.5, **rules) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``at``."""
+    return with_score(docs, *learn(docs, labels, **rules)).filter(F.col("_score") < at).drop("_score")
