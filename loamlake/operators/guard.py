@@ -47,8 +47,8 @@ def denied_hosts(hosts: DataFrame, denylist: DataFrame) -> DataFrame:
     return exploded.join(denylist.select("entry").distinct(), "entry").select("host", "entry")
 
 
-def forbidden_targets(df: DataFrame, text: str, denied: Sequence[str], report: int = 20) -> DataFrame:
-    """Up to ``report`` distinct connection targets per denied entry, credentials masked.
+def forbidden_targets(df: DataFrame, text: str, denied: Sequence[str], report: int | None = None) -> DataFrame:
+    """Distinct connection targets per denied entry, credentials masked; all of them, or the first ``report``.
 
     Only the target is reported, never the text around it. Texts are read once
     for all entries, and each task keeps no more than the report needs.
@@ -62,6 +62,8 @@ def forbidden_targets(df: DataFrame, text: str, denied: Sequence[str], report: i
     ]
     hits = df.select(F.inline(F.array(*found))).select("entry", F.explode("targets").alias("target"))
     masked = hits.select("entry", redact_credentials(F.col("target")).alias("target")).distinct()
+    if report is None:
+        return masked
     nth = F.row_number().over(Window.partitionBy("entry").orderBy("target"))
     return masked.withColumn("_nth", nth).filter(F.col("_nth") <= report).drop("_nth")
 

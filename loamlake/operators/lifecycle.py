@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamlake.operators.running import running_sum
+from loamlake.runtime import cut_lineage
 
 # Fixed values: (state, action) -> next state.
 RUN = {
@@ -94,13 +95,16 @@ def compose(
     )
     stay = F.array(*[F.struct(F.lit(i).alias("state"), F.lit(0).cast("bigint").alias("applied")) for i in range(len(known))])
     sizes = events.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    current = events.select(*keys, *order, F.coalesce(F.try_element_at(table, F.col("action")), stay).alias("step"), F.lit(1).cast("bigint").alias("events"))
+    step = F.coalesce(F.try_element_at(table, F.col("action")), stay)
+    # Events with equal order follow each other by what they do, so both paths below agree.
+    current = events.select(*keys, *order, F.coalesce("action", F.lit("")).alias("_tie"), step.alias("step"), F.lit(1).cast("bigint").alias("events"))
+    order = [*order, "_tie"]
     while sizes > chunk:
-        place = running_sum(current, F.lit(1), order, keys).select(
-            *keys, *order, F.floor(F.col("before") / chunk).alias("_chunk")
-        )
-        grouped = current.join(place, [*keys, *order]).groupBy(*keys, "_chunk")
-        current = _fold(grouped, order).withColumnRenamed("_chunk", "_place").select(*keys, F.col("_place").alias("place"), "step", "events")
+        # A number per row carries it through the running sum: keys may be NULL and orders equal.
+        current = cut_lineage(current.withColumn("_row", F.monotonically_increasing_id()))
+        place = running_sum(current, F.lit(1), [*order, "_row"], keys)
+        placed = current.join(place.select("_row", F.floor(F.col("before") / chunk).alias("_place")), "_row")
+        current = _fold(placed.groupBy(*keys, "_place"), [*order, "_row"]).select(*keys, F.col("_place").alias("place"), "step", "events")
         order, sizes = ["place"], -(-sizes // chunk)
     return _fold(current.groupBy(*keys), order)
 

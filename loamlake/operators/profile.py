@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamlake.functions import names as N
+from loamlake.functions.text import strip
 from loamlake.functions.types import UPLOAD_TYPES, typed
 
 # The value shapes a type is suggested from, tried in this order.
@@ -134,18 +135,19 @@ def release_requests(df: DataFrame) -> DataFrame:
     ``df``: table_name, title, title_en, description, domain, owner_org_unit,
     access_level, refresh_cadence, tags (array), plus any key columns.
     """
-    table, owner = F.trim("table_name"), F.lower(F.trim("owner_org_unit"))
-    text = lambda c, n: F.length(F.trim(c)) > n
-    domain = F.nullif(F.trim("domain"), F.lit(""))
+    trim = lambda c: strip(F.col(c))
+    table, owner = trim("table_name"), F.lower(trim("owner_org_unit"))
+    text = lambda c, n: F.length(trim(c)) > n
+    domain = F.nullif(trim("domain"), F.lit(""))
     level = F.coalesce("access_level", F.lit(ACCESS_LEVELS[0]))
     cadence = F.coalesce("refresh_cadence", F.lit(CADENCES[0]))
     raw_tags = F.coalesce("tags", F.array().cast("array<string>"))
-    trimmed = F.transform(raw_tags, lambda t: F.trim(t))
+    trimmed = F.transform(raw_tags, strip)
     bad_tag = F.exists(trimmed, lambda t: F.coalesce((F.length(t) == 0) | (F.length(t) > MAX_TAG_CHARS), F.lit(True)))
     false = F.lit(False)
     error = (
         F.when(~F.coalesce(table.rlike(N.TABLE_NAME), false), "invalid_table_name")
-        .when(F.coalesce(F.length(F.trim("title")), F.lit(0)) == 0, "title_required")
+        .when(F.coalesce(F.length(trim("title")), F.lit(0)) == 0, "title_required")
         .when(text("title", 200), "title_required")
         .when(F.coalesce(text("title_en", 200), false) | F.coalesce(text("description", 2000), false), "invalid_text_field")
         .when(domain.isNotNull() & ~domain.isin(RELEASE_DOMAINS), "invalid_domain")
@@ -156,9 +158,9 @@ def release_requests(df: DataFrame) -> DataFrame:
     )
     changed = {
         "table_name": table,
-        "title": F.trim("title"),
-        "title_en": F.nullif(F.trim("title_en"), F.lit("")),
-        "description": F.nullif(F.trim("description"), F.lit("")),
+        "title": trim("title"),
+        "title_en": F.nullif(trim("title_en"), F.lit("")),
+        "description": F.nullif(trim("description"), F.lit("")),
         "domain": domain,
         "owner_org_unit": owner,
         "access_level": level,

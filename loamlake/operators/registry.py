@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamlake.functions.formats import age_hours
@@ -29,6 +29,12 @@ def safe_columns(registry: DataFrame, table: str) -> list[str]:
     return sorted(r.column_name for r in rows.collect())
 
 
+def safe_by_table(registry: DataFrame) -> dict[str, list[str]]:
+    """Safe columns of all registered tables, in name order; one row per table reaches the driver."""
+    listed = registry.filter(is_safe()).groupBy("table_name").agg(F.array_sort(F.collect_set("column_name")).alias("columns"))
+    return {r.table_name: list(r.columns) for r in listed.collect()}
+
+
 def safe_projection(df: DataFrame, registry: DataFrame, table: str) -> DataFrame:
     """Exactly the safe columns; refuses a table that has none. Never a bare star."""
     names = [c for c in safe_columns(registry, table) if c in df.columns]
@@ -50,14 +56,14 @@ def load_decisions(tables: DataFrame, registry: DataFrame, hosts_allowed: Column
     joined = tables.join(counts, "table_name", "left").join(marks.distinct(), ["table_name", "incremental_column"], "left")
     published, safe = F.coalesce("published", F.lit(0)), F.coalesce("safe", F.lit(0))
     reason = (
-        F.when(~hosts_allowed, "guardrail refused the source")
-        .when(~F.col("has_registry"), "source publishes no classification registry")
-        .when(~F.col("source_active"), "the source has withdrawn this table from ingestion")
-        .when(published == 0, "no column classification published for this table")
-        .when(safe == 0, F.concat(F.lit("every one of the "), published.cast("string"), F.lit(" published columns is classified as not safe")))
+        F.when(~hosts_allowed, "host is not permitted")
+        .when(~F.col("has_registry"), "source has no column registry")
+        .when(~F.col("source_active"), "table is inactive at its source")
+        .when(published == 0, "table has no classified column")
+        .when(safe == 0, F.concat(F.lit("none of "), published.cast("string"), F.lit(" classified columns is safe")))
         .when(
             (F.col("load_mode") == "incremental") & F.col("mark_safe").isNull(),
-            F.concat(F.lit("the incremental column "), F.col("incremental_column"), F.lit(" is not classified as safe")),
+            F.concat(F.lit("load mark "), F.col("incremental_column"), F.lit(" is not a safe column")),
         )
     )
     return joined.select(
@@ -287,8 +293,12 @@ def reconcile(actual: DataFrame, expected: DataFrame, key: str, value: str) -> D
 
 
 def capped(df: DataFrame, max_rows: int) -> DataFrame:
-    """The result, or an error when it has more than ``max_rows`` rows; never a truncated answer."""
-    if len(df.select(F.lit(1)).limit(max_rows + 1).collect()) > max_rows:
-        raise ValueError(f"result exceeds {max_rows} rows")
-    return df
+    """The result, or an error as soon as it is read when it has more than ``max_rows`` rows; never a truncated answer.
+
+    At most one row more than allowed is gathered; it is the one that raises.
+    """
+    nth = F.row_number().over(Window.orderBy(F.lit(0)))
+    refused = F.raise_error(F.lit(f"result exceeds {max_rows} rows"))
+    checked = df.limit(max_rows + 1).withColumn("_nth", nth)
+    return checked.filter(F.when(F.col("_nth") <= max_rows, True).otherwise(refused.cast("boolean"))).drop("_nth")
 

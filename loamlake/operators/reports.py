@@ -82,15 +82,14 @@ def mix(df: DataFrame, dimensions: Mapping[str, Column], user: str) -> DataFrame
     return long.groupBy("dimension", "value").agg(F.count_distinct(user).alias("users"))
 
 
-def collection_profile(tables: Mapping[str, tuple[DataFrame, int]]) -> DataFrame:
-    """Rows and stored megabytes per collection; the byte sizes come from the file listing."""
+def collection_profile(tables: Mapping[str, DataFrame], sizes: DataFrame) -> DataFrame:
+    """Rows and stored megabytes per collection; ``sizes`` (collection, bytes) comes from the file listing."""
     out = None
-    for name, (df, size) in tables.items():
-        one = df.agg(F.count("*").alias("doc_count")).select(
-            F.lit(name).alias("collection"), "doc_count", F.round(F.lit(size) / 1048576, 3).alias("data_mb")
-        )
+    for name, df in tables.items():
+        one = df.agg(F.count("*").alias("doc_count")).select(F.lit(name).alias("collection"), "doc_count")
         out = one if out is None else out.unionByName(one)
-    return out
+    joined = out.join(sizes, "collection", "left")
+    return joined.select("collection", "doc_count", F.round(F.coalesce("bytes", F.lit(0)) / 1048576, 3).alias("data_mb"))
 
 
 def chart(

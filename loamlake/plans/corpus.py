@@ -68,8 +68,10 @@ def additions(staged: DataFrame, order: Sequence[str], *, fuzzy: bool = False, w
     if not fuzzy:
         return chosen
     chosen = cut_lineage(chosen)
-    texts = staged.select(order[0], "text").join(chosen.select(order[0]), order[0], "left_semi")
-    return chosen.join(near_dropped(texts, order[0], written), order[0], "left_anti")
+    # The whole order is a text's id and decides which copy is the first.
+    texts = staged.join(chosen.select(*order), list(order), "left_semi").select(F.struct(*order).alias("_at"), "text")
+    dropped = near_dropped(texts, "_at", written).select("_at.*")
+    return chosen.join(dropped, list(order), "left_anti")
 
 
 def kept_per_file(records: DataFrame, kept: DataFrame, file: str = "file") -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from loamlake.functions.types import spark_type, split_castable, typed
 from loamlake.operators.guard import host_refusal
-from loamlake.operators.registry import load_decisions, safe_columns
+from loamlake.operators.registry import load_decisions, safe_by_table
+from loamlake.runtime import path_exists
 from loamlake.sinks.tables import with_audit, write_table
 from loamlake.sources.tables import newer_than, next_mark
 
@@ -21,6 +23,9 @@ RUNS = (
 )
 
 
+ERROR_CHARS = 500
+
+
 @dataclass
 class Job:
     """Where a registry-driven load reads and writes."""
@@ -32,16 +37,28 @@ class Job:
     denied: Sequence[str] = ()
     allowed: Sequence[str] = ()
     marks: Mapping[str, str] = field(default_factory=dict)
+    log: str | None = None
 
 
 def load_all(spark: SparkSession, job: Job, tables: DataFrame, registry: DataFrame) -> DataFrame:
     """Load every registered table; one run row each. A failing table does not stop the others.
 
     The loop is over registered tables; their rows never leave the executors.
+    With ``log`` each run's row is appended to that folder when it starts and
+    when it ends. A mark is part of its run's closing row, so both are stored or
+    neither; the next call starts from there. A table whose last row is still open is left to the run that opened it.
     """
+    logged = last_runs(spark, job.log) if job.log else {}
+    marks = {**{name: r.mark for name, r in logged.items() if r.mark is not None}, **job.marks}
+    safe = safe_by_table(registry)
     allowed = host_refusal(F.col("host"), job.denied, job.allowed).isNull()
     decisions = {r.table_name: r for r in load_decisions(tables, registry, allowed).collect()}
     runs = []
+
+    def note(*row) -> None:
+        if job.log:
+            spark.createDataFrame([(*row, time.time_ns())], f"{RUNS}, noted bigint").coalesce(1).write.mode("append").parquet(job.log)
+
     for table in sorted(tables.collect(), key=lambda t: t.table_name):
         decision = decisions[table.table_name]
         run_id = uuid.uuid4().hex
@@ -49,25 +66,44 @@ def load_all(spark: SparkSession, job: Job, tables: DataFrame, registry: DataFra
         if decision.decision == "skipped":
             runs.append((table.table_name, run_id, "skipped", decision.skip_reason, None, None, *counts, None))
             continue
+        if table.table_name in logged and logged[table.table_name].status == "running":
+            runs.append((table.table_name, run_id, "skipped", "another run of this table is open", None, None, *counts, None))
+            continue
+        mark = marks.get(table.table_name)
+        note(table.table_name, run_id, "running", None, None, None, *counts, mark)
         try:
-            rows, mark = load_one(job, table, registry, run_id)
+            rows, mark = load_one(job, table, safe.get(table.table_name, []), run_id, mark)
             runs.append((table.table_name, run_id, "succeeded", None, None, rows, *counts, mark))
         except Exception as error:  # noqa: BLE001 - recorded in the run log
-            runs.append((table.table_name, run_id, "failed", None, type(error).__name__, None, *counts, None))
+            reason = f"{type(error).__name__}: {error}".split("\n")[0][:ERROR_CHARS]
+            runs.append((table.table_name, run_id, "failed", None, reason, None, *counts, mark))
+        note(*runs[-1])
     return spark.createDataFrame(runs, RUNS)
 
 
-def load_one(job: Job, table, registry: DataFrame, run_id: str) -> tuple[int, str | None]:
-    """Load one table's safe columns; (rows written, new mark)."""
-    names = safe_columns(registry, table.table_name)
+def last_runs(spark: SparkSession, log: str) -> dict[str, Row]:
+    """The newest row of each table in a run log: one per registered table."""
+    if not path_exists(spark, log):
+        return {}
+    rows = spark.read.schema(f"{RUNS}, noted bigint").parquet(log)
+    newest = rows.groupBy("table_name").agg(F.max_by(F.struct("status", "mark"), "noted").alias("last")).select("table_name", "last.*")
+    return {r.table_name: r for r in newest.collect()}
+
+
+def load_one(job: Job, table, names: Sequence[str], run_id: str, old_mark: str | None = None) -> tuple[int, str | None]:
+    """Load one table's safe columns; (rows written, new mark).
+
+    An incremental load takes what lies above the old mark and not above the new one, so rows that
+    arrive between the two reads are left to the next run.
+    """
     df = job.read(table.table_name, names).select(*names)
     incremental = table.load_mode == "incremental"
-    old_mark = job.marks.get(table.table_name)
     if incremental:
         df = newer_than(df, table.incremental_column, old_mark)
         mark = next_mark(df, table.incremental_column).first().mark
         if mark is None:
             return 0, old_mark  # nothing new: the mark stays where it is
+        df = df.filter(F.col(table.incremental_column) <= F.lit(mark).cast(df.schema[table.incremental_column].dataType))
     audited = with_audit(df, job.at, source_system=job.source_key, source_table=table.table_name, run_id=run_id)
     target = f"{job.root}/raw/{table.table_name.split('.')[-1]}"
     _, rows = write_table(audited, target, operation="append" if incremental else "replace", run_id=run_id, at=job.at)

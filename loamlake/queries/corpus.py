@@ -284,6 +284,32 @@ def json_scan(t: Tables):
     return files.read_json(t.spark, folder).select("id", F.md5("text").alias("text_md5"))
 
 
+@query(
+    "json_arrays",
+    """SELECT kind, CAST(doc_id AS VARCHAR) AS id, md5(text) AS text_md5 FROM documents, (VALUES ('array'), ('data'), ('indented'), ('repeated')) AS k(kind) WHERE trim(text) <> ''
+UNION ALL SELECT 'broken', NULL, md5('{"broken": ' || CAST(doc_id AS VARCHAR)) FROM documents""",
+)
+def json_arrays(t: Tables):
+    """Documents as files of one array each, under ``data``, indented over lines; with a repeated key; and as lines that do not parse."""
+    out = None
+    row = F.to_json(F.struct("doc_id", "text"))
+    one = t.documents.groupBy(F.floor(F.col("doc_id") / 64).alias("group")).agg(F.array_join(F.collect_list(row), ",").alias("list"), F.array_join(F.collect_list(row), "\n,\n").alias("spread"))
+    again = F.concat(F.lit('{"text": "an earlier value", '), F.substring(row, F.lit(2), F.length(row)))
+    shapes = {
+        "array": one.select(F.concat(F.lit("["), "list", F.lit("]"))),
+        "data": one.select(F.concat(F.lit('{"status": [1], "data": ['), "list", F.lit("]}"))),
+        "indented": one.select(F.concat(F.lit("[\n"), "spread", F.lit("\n]"))),
+        "repeated": t.documents.select(again),
+        "broken": t.documents.select(F.concat(F.lit('{"broken": '), F.col("doc_id").cast("string"))),
+    }
+    for kind, df in shapes.items():
+        folder = scratch_dir(t.spark, f"json-{kind}")
+        df.write.option("maxRecordsPerFile", 0 if kind in ("repeated", "broken") else 1).text(folder)
+        made = files.read_json(t.spark, folder).select(F.lit(kind).alias("kind"), "id", F.md5("text").alias("text_md5"))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
 @query(
     "csv_scan",
     "SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, md5(text) AS text_md5 FROM conversations",

@@ -56,10 +56,10 @@ COLUMN_STATES = f"SELECT 't' || CAST(source_table_id AS STRING) AS table_name, c
 j AS (SELECT t.*, coalesce(pub, 0) AS pub, coalesce(safe, 0) AS safe,
   EXISTS (SELECT 1 FROM c WHERE c.table_name = t.table_name AND c.column_name = t.incremental_column AND classification = 'public' AND secret_level = 0) AS mark_safe
   FROM t LEFT JOIN n ON n.table_name = t.table_name),
-r AS (SELECT *, CASE WHEN host LIKE 'gone%' THEN 'guardrail refused the source' WHEN NOT has_registry THEN 'source publishes no classification registry'
-  WHEN NOT source_active THEN 'the source has withdrawn this table from ingestion' WHEN pub = 0 THEN 'no column classification published for this table'
-  WHEN safe = 0 THEN 'every one of the ' || CAST(pub AS VARCHAR) || ' published columns is classified as not safe'
-  WHEN load_mode = 'incremental' AND NOT mark_safe THEN 'the incremental column ' || incremental_column || ' is not classified as safe' END AS skip_reason FROM j)
+r AS (SELECT *, CASE WHEN host LIKE 'gone%' THEN 'host is not permitted' WHEN NOT has_registry THEN 'source has no column registry'
+  WHEN NOT source_active THEN 'table is inactive at its source' WHEN pub = 0 THEN 'table has no classified column'
+  WHEN safe = 0 THEN 'none of ' || CAST(pub AS VARCHAR) || ' classified columns is safe'
+  WHEN load_mode = 'incremental' AND NOT mark_safe THEN 'load mark ' || incremental_column || ' is not a safe column' END AS skip_reason FROM j)
 SELECT table_name, CASE WHEN skip_reason IS NULL THEN 'load' ELSE 'skipped' END AS decision, skip_reason, safe AS columns_selected, pub - safe AS columns_excluded FROM r""",
 )
 def load_decisions(t: Tables):
@@ -740,12 +740,12 @@ def catalogue_json(t: Tables):
 @query(
     "run_report",
     ctes(r=E.RUNS)
-    + f"""SELECT run_id, status, coalesce(rows_written, 0) AS rows_written, left(coalesce(skip_reason, error_message, ''), 6) AS note
+    + f"""SELECT run_id, status, coalesce(rows_written, 0) AS rows_written, left(coalesce(skip_reason, error_message, ''), 64) AS note
  FROM r WHERE started_at > {LAST} - INTERVAL 30 DAY""",
 )
 def run_report(t: Tables):
     recent = t.sql(E.RUNS).filter(search.since(F.col("started_at"), last_order(t), "30 DAYS"))
-    note = F.left(M.first_filled(F.col("skip_reason"), F.col("error_message"), F.lit(" ")), F.lit(6))
+    note = F.left(M.first_filled(F.col("skip_reason"), F.col("error_message"), F.lit(" ")), F.lit(64))
     return recent.select("run_id", "status", F.coalesce("rows_written", F.lit(0)).alias("rows_written"), F.trim(note).alias("note"))
 
 

@@ -8,7 +8,7 @@ from loamlake.plans import ingest
 from loamlake.queries import estate as E
 from loamlake.queries.base import Tables, query
 from loamlake.queries.corpus import key_sql
-from loamlake.runtime import scratch_dir
+from loamlake.runtime import is_folder, scratch_dir
 from loamlake.sinks import documents
 from loamlake.sinks import tables as K
 from loamlake.sources import tables as S
@@ -129,9 +129,9 @@ def csv_lines(t: Tables):
     "registry_load",
     """SELECT 'customer' AS table_name, 'succeeded' AS status, (SELECT count(*) FROM customer) AS rows_written, CAST(3 AS BIGINT) AS columns_selected, NULL AS skip_reason, NULL AS mark
 UNION ALL SELECT 'orders', 'succeeded', (SELECT count(*) FROM orders WHERE o_orderkey > 100), 2, NULL, (SELECT CAST(max(o_orderkey) AS VARCHAR) FROM orders)
-UNION ALL SELECT 'part', 'skipped', NULL, 0, 'every one of the 1 published columns is classified as not safe', NULL
-UNION ALL SELECT 'supplier', 'skipped', NULL, 0, 'no column classification published for this table', NULL
-UNION ALL SELECT 'lineitem', 'skipped', NULL, 1, 'guardrail refused the source', NULL
+UNION ALL SELECT 'part', 'skipped', NULL, 0, 'none of 1 classified columns is safe', NULL
+UNION ALL SELECT 'supplier', 'skipped', NULL, 0, 'table has no classified column', NULL
+UNION ALL SELECT 'lineitem', 'skipped', NULL, 1, 'host is not permitted', NULL
 UNION ALL SELECT 'nation', 'failed', NULL, 1, NULL, NULL""",
 )
 def registry_load(t: Tables):
@@ -164,6 +164,33 @@ def registry_load(t: Tables):
     )
 
 
+@query(
+    "registry_reload",
+    """WITH h AS (SELECT max(o_orderkey) AS top, max(o_orderkey) // 2 AS half FROM orders)
+SELECT 1 AS run, 'orders' AS table_name, 'succeeded' AS status, (SELECT count(*) FROM orders, h WHERE o_orderkey <= half) AS rows_written, (SELECT CAST(max(o_orderkey) AS VARCHAR) FROM orders, h WHERE o_orderkey <= half) AS mark
+UNION ALL SELECT 2, 'orders', 'succeeded', (SELECT count(*) FROM orders, h WHERE o_orderkey > half), (SELECT CAST(top AS VARCHAR) FROM h)
+UNION ALL SELECT 3, 'orders', 'succeeded', 0, (SELECT CAST(top AS VARCHAR) FROM h)
+UNION ALL SELECT 4, 'orders', 'in target', count(*), NULL FROM orders""",
+)
+def registry_reload(t: Tables):
+    """Three runs that know each other by the run log alone: half the table, the rest, nothing."""
+    listed = t.spark.createDataFrame(
+        [("orders", "db.example.org", True, True, "incremental", "o_orderkey")],
+        "table_name string, host string, has_registry boolean, source_active boolean, load_mode string, incremental_column string",
+    )
+    registry = t.spark.createDataFrame([("orders", "o_orderkey", "public", 0), ("orders", "o_custkey", "public", 0)], "table_name string, column_name string, classification string, secret_level int")
+    half = t.orders.agg(F.floor(F.max("o_orderkey") / 2).alias("half"))
+    root, log = scratch_dir(t.spark, "lake"), scratch_dir(t.spark, "runs")
+    out = None
+    for run in (1, 2, 3):
+        there = t.orders.filter(F.col("o_orderkey") <= half.scalar()) if run == 1 else t.orders
+        job = ingest.Job(root=root, source_key="erp", read=lambda name, columns, df=there: df.select(*columns), at=AT, allowed=["db.example.org"], log=log)
+        made = ingest.load_all(t.spark, job, listed, registry).select(F.lit(run).alias("run"), "table_name", "status", "rows_written", "mark")
+        out = made if out is None else out.unionByName(made)
+    loaded = K.read_table(t.spark, f"{root}/raw/orders").agg(F.count("*").alias("rows_written"))
+    return out.unionByName(loaded.select(F.lit(4).alias("run"), F.lit("orders").alias("table_name"), F.lit("in target").alias("status"), "rows_written", F.lit(None).cast("string").alias("mark")))
+
+
 @query("changed_only", "SELECT n_nationkey, n_name, CAST(2 AS BIGINT) AS versions FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
 def changed_only(t: Tables):
     """Three publications, the second of which changes nothing."""
@@ -183,7 +210,9 @@ def changed_only(t: Tables):
 
 def stream(t: Tables, name: str):
     schema = getattr(t, name).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
+    reader, path = t.spark.readStream.schema(schema), f"{t.folder}/{name}.parquet"
+    # A stream reads folders: the table's own, or the one its single file lies in.
+    return reader.parquet(path) if is_folder(t.spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
 
 
 @query("stream_append", "SELECT event_id, event_type FROM events")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loamlake.functions import formats as M
 from loamlake.operators import registry as G
 from loamlake.operators import reports as R
-from loamlake.queries.base import Tables, query
+from loamlake.queries.base import TABLES, Tables, query
 from loamlake.sources import files
 
 BKK = "(ts + INTERVAL 7 HOUR)"
@@ -94,9 +94,10 @@ def user_mix(t: Tables):
 
 @query("collection_profile")
 def collection_profile(t: Tables):
-    sizes = {r.name: r.bytes for r in files.list_files(t.spark, t.folder).collect()}  # a folder listing
-    names = ["customer", "orders", "lineitem", "events", "documents"]
-    return R.collection_profile({n: (getattr(t, n), sizes.get(f"{n}.parquet", 0)) for n in names})
+    # A table is a file or a folder of files; their bytes are summed by the table's name in the path.
+    table = F.regexp_extract("path", r"/(\w+)\.parquet(?:/[^/]*)?\z", 1)
+    sizes = files.list_files(t.spark, t.folder).groupBy(table.alias("collection")).agg(F.sum("bytes").alias("bytes"))
+    return R.collection_profile({n: getattr(t, n) for n in TABLES}, sizes)
 
 
 @query("row_counts", "SELECT count(*) AS row_count FROM lineitem")
@@ -166,11 +167,11 @@ def pie_chart(t: Tables):
 
 @query(
     "bar_chart",
-    "SELECT l_returnflag, l_linestatus, count(*) AS lines, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY 1, 2 LIMIT 1000",
+    "SELECT l_returnflag, l_linestatus, count(*) AS lines, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 1000",
 )
 def bar_chart(t: Tables):
     metrics = {"lines": F.count("*"), "quantity": F.sum(F.col("l_quantity").cast("bigint"))}
-    return R.chart(t.lineitem, columns=["l_returnflag", "l_linestatus"], metrics=metrics, row_limit=1000)
+    return R.chart(t.lineitem, columns=["l_returnflag", "l_linestatus"], metrics=metrics, order=[F.asc("l_returnflag"), F.asc("l_linestatus")], row_limit=1000)
 
 
 @query(

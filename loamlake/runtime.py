@@ -54,6 +54,13 @@ def path_exists(spark: SparkSession, uri: str) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
+def is_folder(spark: SparkSession, uri: str) -> bool:
+    """Whether a folder stands at ``uri``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(path) and files.getFileStatus(path).isDirectory()
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A file scan with fewer splits than the session has cores, dealt out to all of them.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +22,7 @@ def watch_extracts(
     declared: Mapping[str, Mapping[str, str]],
     root: str,
     checkpoint: str,
-    at: str,
+    at: str | None = None,
     source_key: str = "extracts",
     interval: str | None = None,
 ) -> list[StreamingQuery]:
@@ -29,7 +30,8 @@ def watch_extracts(
 
     One query per table: the table's own columns and types are declared, an
     undeclared file is never read. A batch replaces the contents. Without an
-    ``interval`` what is there is processed and the queries end.
+    ``interval`` what is there is processed and the queries end. ``at`` is the
+    load time; without it each batch carries the time it is loaded.
     """
     started = []
     for table, types in declared.items():
@@ -44,8 +46,9 @@ def watch_extracts(
         def load(batch: DataFrame, epoch: int, table: str = table, types: Mapping[str, str] = types) -> None:
             if batch.isEmpty():
                 return
-            rows = with_audit(typed(batch, types), at, source_system=source_key, source_table=table, run_id=f"{table}-{epoch}")
-            write_table(rows, f"{root}/{table}", run_id=f"{table}-{epoch}", at=at)
+            loaded = at or datetime.now(timezone.utc).replace(tzinfo=None).isoformat()
+            rows = with_audit(typed(batch, types), loaded, source_system=source_key, source_table=table, run_id=f"{table}-{epoch}")
+            write_table(rows, f"{root}/{table}", run_id=f"{table}-{epoch}", at=loaded)
 
         writer = files.writeStream.foreachBatch(load).option("checkpointLocation", f"{checkpoint}/{table}")
         trigger = {"processingTime": interval} if interval else {"availableNow": True}
@@ -142,12 +145,15 @@ def decide_attempts(
     return attempts.assign(allowed=allowed, retry_after=retry), count, opened
 
 
-def limit_failures(stream: DataFrame, *, max_failures: int = 5, window_seconds: int = 900) -> DataFrame:
+def limit_failures(stream: DataFrame, *, max_failures: int = 5, window_seconds: int = 900, sweep: bool = False) -> DataFrame:
     """Decision per attempt of a stream (key, event_id, ts, failed).
 
-    State per key is two numbers and is swept by a timer once the window has passed.
+    Every attempt is decided, late ones too: no watermark drops any. State is two numbers
+    for each key whose last attempts failed. ``sweep`` forgets a key once no attempt came for as long as
+    the window by the clock; it is for queries that run on, as its timer keeps a run over available files from ending.
     """
     window = pd.Timedelta(seconds=window_seconds)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if sweep else GroupStateTimeout.NoTimeout
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -161,12 +167,8 @@ def limit_failures(stream: DataFrame, *, max_failures: int = 5, window_seconds:
             state.remove() if state.exists else None
         else:
             state.update((count, opened.value // 1000))
-            end = int((opened + window).timestamp() * 1000)
-            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+            if sweep:
+                state.setTimeoutDuration(window_seconds * 1000)
         yield decided[["key", "event_id", "ts", "failed", "allowed", "retry_after"]]
 
-    return (
-        stream.withWatermark("ts", "1 minute")
-        .groupBy("key")
-        .applyInPandasWithState(step, DECISIONS, "count int, opened_us bigint", "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    return stream.groupBy("key").applyInPandasWithState(step, DECISIONS, "count int, opened_us bigint", "append", timeout)
