@@ -2,7 +2,10 @@
 
 Every string of ``length`` bytes holds an anchor: the place whose ``GRAM``-byte
 hash is least in it. Equal strings have their anchor at the same place, so only
-contexts around anchors with equal hashes can hold equal strings. Each group of
+contexts around anchors with equal hashes can hold equal strings; a context is
+the strings whose anchor it is. Grams that are frequent in the corpus (counted over all texts in
+``BINS`` bins) become anchors only of strings made of such grams, so a common line gathers
+equal contexts, which are one, and no others. Each group of
 such contexts is a collection of shards, in the order they come. Its positional
 Burrows-Wheeler order starts as the shards one after another and is refined
 column by column: a stable counting step by the next byte interleaves the shards
@@ -28,10 +31,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamlake.llm.blocks import U, blocks, joined, prefix_hash, range_hash, spans
+from loamlake.llm.blocks import U, blocks, joined, prefix_hash, range_hash, send, spans
 from loamlake.runtime import cut_lineage
 
 GRAM = 32
+BINS = 1 << 16
 
 
 def sliding(op, x: np.ndarray, width: int) -> np.ndarray:
@@ -43,32 +47,50 @@ def sliding(op, x: np.ndarray, width: int) -> np.ndarray:
     return op(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
-def anchors(texts, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text number, byte place) of the least gram of every string of ``length`` bytes."""
+def gram_counts(texts) -> np.ndarray:
+    """Grams of the texts in BINS bins of their hash."""
+    data, first, last = joined(texts)
+    at = np.flatnonzero(np.repeat(last - GRAM, last - first + 1) >= np.arange(len(data)))
+    return np.bincount((range_hash(prefix_hash(data), at, at + GRAM) & U(BINS - 1)).astype(np.int64), minlength=BINS)
+
+
+def anchors(texts, length: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text number, place) of the least gram of every string of ``length`` bytes; grams of ``frequent`` bins are the greatest.
+
+    A place is a byte number, how far before it the first of those strings begins and how far before it the last, in one number.
+    """
     data, first, last = joined(texts)
     none = (np.zeros(0, np.int64),) * 3
     if len(data) < length or not len(first):
         return none
-    sums = prefix_hash(data)
     at = np.arange(len(data) - GRAM + 1)
-    hashes = range_hash(sums, at, at + GRAM)
+    hashes = range_hash(prefix_hash(data), at, at + GRAM)
+    hashes = hashes >> U(1) | frequent[(hashes & U(BINS - 1)).astype(np.int64)].astype(U) << U(63)
     doc = np.repeat(np.arange(len(first)), last - first + 1)
     width = length - GRAM + 1
-    whole = np.zeros(len(hashes) - width + 1, bool)
-    inside = np.arange(len(whole))
-    whole[:] = inside + length <= last[doc[: len(whole)]]
-    least = np.where(whole, sliding(np.minimum, hashes, width), U(0))
+    inside = np.arange(len(hashes) - width + 1)
+    least = np.where(inside + length <= last[doc[: len(inside)]], sliding(np.minimum, hashes, width), U(0))
     # A gram is an anchor if it is the least of some string it lies in.
     pad = np.zeros(width - 1, U)
     most = sliding(np.maximum, np.concatenate([pad, least, pad]), width)[: len(hashes)]
     picked = np.flatnonzero((hashes == most) & (most > 0))
-    return hashes[picked].view(np.int64), doc[picked], picked - first[doc[picked]]
-
-
-def contexts(data: bytes, places: np.ndarray, length: int) -> list[bytes]:
-    """The bytes around each anchor that a string of ``length`` with it can reach, cut at the text's ends."""
-    side = length - GRAM
-    return [data[max(0, p - side) : p + length] for p in places.tolist()]
+    value, far, near = hashes[picked], np.zeros(len(picked), np.int64), np.full(len(picked), -1, np.int64)
+    for back in range(width):
+        begin = picked - back
+        mine = (begin >= 0) & (begin < len(least))
+        mine[mine] = least[begin[mine]] == value[mine]
+        far[mine] = back
+        near[mine & (near < 0)] = back
+    return value.view(np.int64), doc[picked], (picked - first[doc[picked]]) << 20 | far << 10 | near
+
+
+def contexts(data: bytes, places: list[int], length: int) -> list[tuple[int, int, bytes]]:
+    """(byte number, bytes before it, context) of each anchor: the strings of ``length`` whose least gram it is."""
+    out = []
+    for place in places:
+        pos, far, near = place >> 20, place >> 10 & 1023, place & 1023
+        out.append((pos, far, data[pos - far : pos - near + length]))
+    return out
 
 
 def repeated_windows(columns: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
@@ -105,10 +127,9 @@ def repeated_windows(columns: np.ndarray, group: np.ndarray, length: int) -> np.
 def _spans_of(batch: pd.DataFrame, length: int) -> pd.DataFrame:
     """(h, begin, end) of the repeated strings in complete groups of contexts."""
     side = length - GRAM
-    # Contexts that are equal are one, and all their strings are repeated.
-    whole = batch.groupby(["fp", "lead", "context"], sort=False)
-    number = whole.ngroup().to_numpy()
-    size = np.bincount(number)
+    # Contexts that are equal are one; at several places, all their strings are repeated.
+    number = batch.groupby(["fp", "lead", "context"], sort=False).ngroup().to_numpy()
+    size = np.bincount(number, weights=batch["pos"].map(len))
     one = np.zeros(len(size), np.int64)
     one[number[::-1]] = np.arange(len(batch))[::-1]
     group = batch["fp"].to_numpy()[one]
@@ -117,28 +138,27 @@ def _spans_of(batch: pd.DataFrame, length: int) -> pd.DataFrame:
     meet = (members[group_number] > 1) | (size[by] > 1)
     by, group_number = by[meet], group_number[meet]
     if not len(by):
-        return pd.DataFrame({"h": [], "begin": [], "end": []})
+        return pd.DataFrame({"h": pd.Series([], dtype=object), "begin": [], "end": []})
     lead, texts = batch["lead"].to_numpy(), batch["context"].to_numpy()
-    out = []
     columns = np.full((len(by), side + length), 256, np.uint16)
     for row, i in enumerate(one[by].tolist()):
         columns[row, side - lead[i] : side - lead[i] + len(texts[i])] = np.frombuffer(texts[i], np.uint8)
     found = repeated_windows(columns, group_number, length)
     for row in np.flatnonzero(size[by] > 1).tolist():
         i = one[by[row]]
-        begin = side - lead[i]
-        found[row, begin : max(begin, begin + len(texts[i]) - length + 1)] = True
+        found[row, side - lead[i] : side - lead[i] + len(texts[i]) - length + 1] = True
     place = np.full(len(size), -1, np.int64)
     place[by] = np.arange(len(by))
     rows = np.flatnonzero(place[number] >= 0)
-    mine = found[place[number[rows]]]
-    flat = np.zeros((len(rows), mine.shape[1] + 1), bool)
-    flat[:, :-1] = mine
-    begin, end = spans(flat.ravel())
-    row, begin, end = begin // flat.shape[1], begin % flat.shape[1], end - begin // flat.shape[1] * flat.shape[1]
-    origin = batch["pos"].to_numpy()[rows[row]] - side
-    out = pd.DataFrame({"h": batch["h"].to_numpy()[rows[row]], "begin": origin + begin, "end": origin + end - 1 + length})
-    return out
+    flat = np.zeros((len(rows), found.shape[1] + 1), bool)
+    flat[:, :-1] = found[place[number[rows]]]
+    start, stop = spans(flat.ravel())
+    row, start, run = start // flat.shape[1], start % flat.shape[1], stop - start
+    row = rows[row]
+    made = pd.DataFrame({"h": batch["h"].to_numpy()[row], "pos": batch["pos"].to_numpy()[row], "start": start, "run": run})
+    made = made.explode(["h", "pos"], ignore_index=True)
+    begin = made["pos"].astype(np.int64) - side + made["start"]
+    return pd.DataFrame({"h": made["h"], "begin": begin, "end": begin + made["run"] - 1 + length})
 
 
 def with_hash(docs: DataFrame) -> DataFrame:
@@ -150,35 +170,47 @@ def with_hash(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = 200, batch_rows: int = 8192) -> DataFrame:
     """(h, spans): per distinct text with repeated strings the sorted arrays of begin and end bytes; a null array: all of it.
 
-    ``length`` must exceed GRAM. A group of contexts is worked on by one task, distinct contexts in one order.
+    ``length`` must exceed GRAM and stay below GRAM + 1024. A group of contexts is worked on by one task, distinct contexts in one order.
     """
     rows = with_hash(docs.select("text")).select(F.col("_h").alias("h"), F.col("_text").alias("text"))
-    side = length - GRAM
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(BINS, np.int64)
+        for frame in blocks(frames):
+            total += gram_counts(frame["text"])
+        bins = np.flatnonzero(total)
+        yield pd.DataFrame({"bin": bins, "n": total[bins]})
+
+    counts = rows.select("text").mapInPandas(count, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # BINS numbers
+    frequent = np.zeros(BINS, bool)
+    frequent[counts["bin"].to_numpy(np.int64)[counts["n"].to_numpy() > 16 * counts["n"].sum() / BINS]] = True
+    sent = send(docs.sparkSession, frequent)
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = set()  # copies in one task are read once
+        frequent, seen = sent(), set()  # copies in one task are read once
         for frame in blocks(frames):
-            fresh = [h not in seen and not seen.add(h) for h in frame["h"]]
-            frame = frame[fresh]
-            fp, doc, pos = anchors(frame["text"], length)
-            yield pd.DataFrame({"fp": fp, "h": frame["h"].to_numpy()[doc], "pos": pos})
+            frame = frame[[h not in seen and not seen.add(h) for h in frame["h"]]]
+            fp, doc, place = anchors(frame["text"], length, frequent)
+            yield pd.DataFrame({"fp": fp, "h": frame["h"].to_numpy()[doc], "place": place})
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row per distinct context of a block of texts, with all its places there."""
         seen = set()
         for frame in blocks(frames, 1 << 19):
-            out = []
-            for h, text, pos in zip(frame["h"], frame["text"], frame["places"]):
+            found: dict[tuple, tuple[list, list]] = {}
+            for h, text, anchored in zip(frame["h"], frame["text"], frame["places"]):
                 if h in seen:
                     continue
                 seen.add(h)
-                data, pos = text.encode("utf-8", "surrogatepass"), np.asarray(pos)
-                sums = prefix_hash(np.frombuffer(data, np.uint8))
-                out.append(pd.DataFrame({
-                    "fp": range_hash(sums, pos, pos + GRAM).view(np.int64), "h": [h] * len(pos), "pos": pos,
-                    "lead": np.minimum(pos, side).astype(np.int32), "context": contexts(data, pos, length),
-                }))
-            if out:
-                yield pd.concat(out)
+                data = text.encode("utf-8", "surrogatepass")
+                fps, places = [a["fp"] for a in anchored], [a["place"] for a in anchored]
+                for fp, (pos, lead, context) in zip(fps, contexts(data, places, length)):
+                    texts, at = found.setdefault((fp, lead, context), ([], []))
+                    texts.append(h)
+                    at.append(pos)
+            if found:
+                made = pd.DataFrame(list(found), columns=["fp", "lead", "context"])
+                yield made.assign(h=[v[0] for v in found.values()], pos=[v[1] for v in found.values()])
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -198,13 +230,12 @@ def repeated_spans(docs: DataFrame, length: int = 200, batch_rows: int = 8192) -
             yield _spans_of(pd.concat(held, ignore_index=True), length)
 
     bucket = Window.partitionBy("fp")
-    places = rows.mapInPandas(find, "fp bigint, h binary, pos int").withColumn("_n", F.count("*").over(bucket)).filter("_n > 1")
-    # Places of one text: no more than its length has.
-    by_text = cut_lineage(places.groupBy("h").agg(F.sort_array(F.collect_set("pos")).alias("places")), "places")
-    around = rows.join(by_text, "h").mapInPandas(cut, "fp bigint, h binary, pos int, lead int, context binary")
-    # Copies read by different tasks give a place twice.
-    once = around.repartition("fp").dropDuplicates(["fp", "h", "pos"]).sortWithinPartitions("fp")
-    found = once.mapInPandas(compare, "h binary, begin int, end int")
+    places = rows.mapInPandas(find, "fp bigint, h binary, place bigint").withColumn("_n", F.count("*").over(bucket)).filter("_n > 1")
+    # Anchors of one text: no more than its length has.
+    by_text = cut_lineage(places.groupBy("h").agg(F.sort_array(F.collect_set(F.struct("place", "fp"))).alias("places")), "places")
+    around = rows.join(by_text, "h").mapInPandas(cut, "fp bigint, lead int, context binary, h array<binary>, pos array<bigint>")
+    # A place that two tasks give belongs to a text of several rows, all of whose strings are repeated.
+    found = around.repartition("fp").sortWithinPartitions("fp").mapInPandas(compare, "h binary, begin bigint, end bigint")
     spans_by_text = found.groupBy("h").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans"))
     copies = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", F.lit(True).alias("copied"))
     both = copies.join(spans_by_text, "h", "full")
