@@ -47,7 +47,19 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text"), model).withColumn("held_out", held_out)
 
 
-@query("op2_ngram_jaccard_join")
+UPPER, LOWER = urls.UPPER, urls.LOWER
+
+NEAR_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+r AS (SELECT a AS node, b AS reached FROM e UNION SELECT node, b FROM r JOIN e ON e.a = reached),
+c AS (SELECT node, min(reached) AS least FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(least, d.doc_id)) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id"""
+
+
+@query("op2_ngram_jaccard_join", NEAR_SQL)
 def near_components(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     return jaccard.jaccard_components(table(spark, folder, "documents")).withColumnRenamed("component", "component_id").drop("text_hash")
@@ -102,7 +114,34 @@ def repeats(spark: SparkSession, folder: str) -> DataFrame:
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
-@query("op8_url_filters")
+def _address_sql(url: str) -> str:
+    """Columns host, path and address of a url expression."""
+    rest = f"CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) ELSE '' END"
+    host = f"translate(regexp_extract({rest}, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
+    path = f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
+    bare = f"regexp_replace({host}, '^(www|m)\\.', '') || regexp_replace({path}, '(/|\\.html)+$', '')"
+    return f"{host} AS host, {path} AS path, CASE WHEN {host} <> '' THEN {bare} END AS address"
+
+
+_TARGET = "coalesce(" + ", ".join("nullif(regexp_extract(html, '" + p.replace("'", "''") + "', 1), '')" for p in urls.CANONICAL) + ")"
+_RULE = "list_max(list_filter([" + ", ".join(
+    f"CASE WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{'size': {len(h + p)}, 'rule': '{h + p}', 'verdict': '{v}'}} END" for h, p, v in RULES
+) + "], lambda x: x IS NOT NULL))"
+URL_SQL = f"""WITH RECURSIVE p AS (SELECT page_id, html, {_address_sql("coalesce(url, '')")} FROM pages),
+f AS (SELECT page_id, host, path, address, {_RULE} AS found FROM p),
+t AS (SELECT host, address AS a, {_TARGET} AS target FROM p),
+l AS (SELECT a, CASE WHEN contains(target, '://') THEN target ELSE 'http://' || host || CASE WHEN starts_with(target, '/') THEN '' ELSE '/' END || target END AS target FROM t WHERE target IS NOT NULL),
+b AS (SELECT a, address AS b FROM (SELECT a, {_address_sql("target")} FROM l)),
+e AS MATERIALIZED (SELECT a, b FROM b WHERE a <> b UNION SELECT b, a FROM b WHERE a <> b),
+r AS (SELECT a AS node, b AS reached FROM e UNION SELECT node, b FROM r JOIN e ON e.a = reached),
+c AS (SELECT node, min(least(node, reached)) AS component FROM r GROUP BY 1),
+j AS (SELECT f.*, coalesce(c.component, f.address) AS component FROM f LEFT JOIN c ON c.node = f.address),
+g AS (SELECT component, bool_or(found.verdict = 'allow') AS allowed, bool_or(found.verdict = 'block') AS blocked FROM j WHERE found IS NOT NULL AND component IS NOT NULL GROUP BY 1)
+SELECT page_id, host, path, found.rule AS rule, coalesce(found.verdict, CASE WHEN blocked AND NOT allowed THEN 'block' ELSE 'allow' END) AS verdict, j.component,
+ found IS NULL AND coalesce(blocked AND NOT allowed, false) AS by_alias FROM j LEFT JOIN g ON g.component = j.component"""
+
+
+@query("op8_url_filters", URL_SQL)
 def urls_judged(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, host, path, rule, verdict, component, by_alias."""
     return urls.judge(table(spark, folder, "pages"), RULES)
