@@ -257,13 +257,15 @@ def test_toxicity_learns(spark, docs, none):
 
 
 def test_decontamination(spark, docs, none):
-    items = [(1, prose("item1", 30)), (2, prose("item2", 45)), (3, None), (4, " "), (5, prose("item1", 30))]
+    # Over few words any two texts have long common subsequences; real texts have many.
+    wide = lambda seed, n: " ".join(f"{random.Random(f'{seed}-{i}').choice(WORDS)}{random.Random(f'{i}-{seed}').randrange(90)}" for i in range(n))
+    items = [(1, wide("item1", 30)), (2, wide("item2", 45)), (3, None), (4, " "), (5, wide("item1", 30))]
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
     spare = [w + "x" for w in WORDS]
     vary = lambda t: " ".join(spare[i % 7] if i % 5 == 2 else w for i, w in enumerate(t.split(" ")))
-    planted = [(1000, prose(31, 200) + " " + items[0][1] + " " + prose(32, 200)), (1001, items[1][1].upper()), (1002, prose(33, 99) + " " + vary(items[1][1])), (1003, prose(34, 500))]
+    planted = [(1000, wide(31, 200) + " " + items[0][1] + " " + wide(32, 200)), (1001, items[1][1].upper()), (1002, wide(33, 99) + " " + vary(items[1][1])), (1003, wide(34, 500))]
     every = docs.select("doc_id", "text", "key").unionByName(spark.createDataFrame([(*p, 7) for p in planted], "doc_id bigint, text string, key int"))
-    got = {r["doc_id"]: r for r in decontam.judge(every, benchmark, sample_rows=2000, near=0.25).collect()}
+    got = {r["doc_id"]: r for r in decontam.judge(every, benchmark, sample_rows=2000, near=0.4).collect()}
     assert [(i, got[i]["leaked"], got[i]["item_id"]) for i in range(1000, 1004)] == [(1000, True, 1), (1001, True, 2), (1002, True, 2), (1003, False, None)]
     assert got[1000]["n_items"] == 2 and got[1000]["common"] == 1.0 and got[1002]["common"] < 1
     assert not any(r["leaked"] for i, r in got.items() if i is None or i < 1000)
