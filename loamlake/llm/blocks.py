@@ -30,6 +30,13 @@ def send(spark, thing) -> Callable:
     return lambda: cloudpickle.loads(sent.value)
 
 
+def small_batches(spark, rows: int = 1000) -> None:
+    """Let tasks take texts from the engine in batches of ``rows``: a batch is held several times over while it is converted."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def blocks(frames: Iterator[pd.DataFrame], limit: int = 1 << 20, text: str = "text") -> Iterator[pd.DataFrame]:
     """The rows of ``frames`` in pieces of about ``limit`` characters; one text is never cut. Null texts become empty."""
     for frame in frames:

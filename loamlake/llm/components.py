@@ -1,4 +1,4 @@
-"""Connected components by alternating large and small stars."""
+"""Connected components by least labels and shortcuts."""
 
 from __future__ import annotations
 
@@ -11,24 +11,21 @@ from loamlake.runtime import cut_lineage
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b); a component is named by its least node.
 
-    Each step links nodes to the least node they know, by a partial aggregate
-    and a join, so a node with very many edges is met by the join's skew split.
-    The edges shrink to one per node. A step's edges are written to the shared folder.
+    In each step a node takes the least label among its neighbours, and then the
+    label which that label's node had: chains shorten by half, stars end at once. A node with
+    very many edges is met by the join's skew split and by partial minima. Every step
+    writes one row per node to the shared folder; the steps end when no label changes.
     """
-    pairs = cut_lineage(edges.select("a", "b").filter("a <> b AND a IS NOT NULL AND b IS NOT NULL").distinct())
-    state = None
+    ends = edges.select("a", "b").filter("a <> b AND a IS NOT NULL AND b IS NOT NULL")
+    pairs = cut_lineage(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = cut_lineage(pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")), "labels")
     while True:
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        pairs = cut_lineage(large.distinct())
-        down = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        pairs = cut_lineage(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    centres = pairs.select(F.col("b").alias("node")).distinct()
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(centres.select("node", F.col("node").alias("component")))
+        known = labels.select(F.col("node").alias("b"), "component")
+        near = pairs.join(known, "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        hooked = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("to"))
+        further = labels.select(F.col("node").alias("to"), F.col("component").alias("beyond"))
+        moved = hooked.join(further, "to", "left").select("node", "old", F.least("to", "beyond").alias("component"))
+        step = cut_lineage(moved.select("node", "component", (F.col("component") != F.col("old")).alias("changed")), "labels")
+        labels = step.drop("changed")
+        if step.filter("changed").isEmpty():
+            return labels

@@ -3,7 +3,8 @@
 All shingles have one global order, rare ones first; it is cut into fragments of
 equal weight. A set's first few shingles are indexed: two sets that are similar
 enough share one of them. For a candidate pair the overlap is counted in each
-fragment by itself and summed.
+fragment by itself and summed; the fragment of the rarest shingles goes first, as
+what it leaves open settles most pairs.
 
 Equal sets are one class from the start, so copies cost nothing. Inside the sets
 that share an indexed shingle not all pairs are made: each round compares a few
@@ -35,6 +36,7 @@ from loamlake.runtime import cut_lineage
 
 BINS = 1 << 18
 NO_KEY = -(1 << 63)
+FEW = 20_000
 
 
 def shingle_sets(texts, k: int) -> list[np.ndarray]:
@@ -64,7 +66,7 @@ def class_of(tokens: np.ndarray) -> bytes:
 
 
 def jaccard_components(docs: DataFrame, *, key: str = "doc_id", k: int = 3, percent: int = 90, fragments: int = 8) -> DataFrame:
-    """key, n_shingles, component (the least key reachable by links of at least ``percent``) of every row of ``docs``."""
+    """key, text_hash, n_shingles, component (the least key reachable by links of at least ``percent``) of every row of ``docs``."""
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.xxhash64(text).alias("of_text"), text.alias("text"))
@@ -72,7 +74,7 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", k: int = 3, perc
     def classes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BINS, np.int64)
         with np.errstate(over="ignore"):
-            for frame in blocks(frames):
+            for frame in blocks(frames, 1 << 18):
                 sets = shingle_sets(frame["text"], k)
                 total += np.bincount((np.concatenate(sets) & U(BINS - 1)).astype(np.int64), minlength=BINS)
                 yield pd.DataFrame({"key": frame["key"].array, "of_text": frame["of_text"].array, "n": [len(s) for s in sets], "cls": [class_of(s) for s in sets]}).assign(bin=None, weight=None)
@@ -92,34 +94,44 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", k: int = 3, perc
     fragment[order] = np.minimum((share * fragments).astype(np.int8), fragments - 1)
     sent = send(spark, (rank, fragment))  # BINS numbers each
 
-    def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rank, _ = sent()
+    def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Two kinds of rows: a class and one of its first shingles; a class and 16 bits of each of its shingles in fragment 0."""
+        rank, fragment = sent()
         seen = set()  # copies in one task are indexed once
         with np.errstate(over="ignore"):
-            for frame in blocks(frames):
-                tokens, names, sizes = [], [], []
+            for frame in blocks(frames, 1 << 18):
+                tokens, names, sizes, places, rare = [], [], [], [], []
                 for s in shingle_sets(frame["text"], k):
                     name = class_of(s)
                     if not len(s) or name in seen:
                         continue
                     seen.add(name)
+                    bins = (s & U(BINS - 1)).astype(np.int64)
                     n = len(s) + (-len(s) * percent // 100) + 1  # less what must overlap at least, plus one
-                    kept = s[np.lexsort((s, rank[(s & U(BINS - 1)).astype(np.int64)]))[:n]]
+                    kept = s[np.lexsort((s, rank[bins]))[:n]]
                     tokens.append(kept.view(np.int64))
                     names += [name] * len(kept)
                     sizes += [len(s)] * len(kept)
+                    places.append(np.arange(len(kept), dtype=np.int32))
+                    own = s[fragment[bins] == 0]
+                    short = np.unique((own >> U(20)).astype(np.uint16)).view(np.int16)
+                    rare.append((name, len(own), len(own) - len(short), short))
                 if tokens:
-                    yield pd.DataFrame({"token": np.concatenate(tokens), "cls": names, "n": np.array(sizes, np.int32)})
+                    yield pd.DataFrame({"token": np.concatenate(tokens), "cls": names, "n": np.array(sizes, np.int32), "place": np.concatenate(places), "short": None})
+                    yield pd.DataFrame(rare, columns=["cls", "n", "place", "short"]).assign(token=None)
 
     bucket = Window.partitionBy("token")
-    indexed = rows.mapInPandas(prefixes, "token bigint, cls binary, n int")
+    both = cut_lineage(rows.mapInPandas(index, "token bigint, cls binary, n int, place int, short array<short>"), "index")
+    indexed = both.filter("short IS NULL").select("token", "cls", "n", "place")
     shared_by = indexed.withColumns({"_low": F.min("cls").over(bucket), "_high": F.max("cls").over(bucket)})
-    open_rows = cut_lineage(shared_by.filter("_low < _high").select("token", "cls", "n", F.col("cls").alias("comp")).distinct(), "open")
+    open_rows = cut_lineage(shared_by.filter("_low < _high").select("token", "cls", "n", "place", F.col("cls").alias("comp")).distinct(), "open")
+    rare = both.filter("short IS NOT NULL").select("cls", F.col("n").alias("n0"), F.col("place").alias("hidden"), "short")
+    rare = cut_lineage(rare.dropDuplicates(["cls"]).join(open_rows.select("cls").distinct(), "cls", "left_semi"), "rare")
 
     def cut_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _, fragment = sent()
         with np.errstate(over="ignore"):
-            for frame in blocks(frames):
+            for frame in blocks(frames, 1 << 18):
                 out = []
                 for name, s in zip(frame["cls"], shingle_sets(frame["text"], k)):
                     part = fragment[(s & U(BINS - 1)).astype(np.int64)]
@@ -128,40 +140,63 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", k: int = 3, perc
                     out += [(name, f, s[by[b:e]].view(np.int64)) for f, (b, e) in enumerate(zip(ends[:-1], ends[1:])) if e > b]
                 yield pd.DataFrame(out, columns=["cls", "fragment", "tokens"])
 
-    # One text of each class that shares an indexed shingle.
-    wanted = open_rows.select("cls").distinct()
-    chosen = members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("key", "of_text")).alias("first"))
-    chosen = chosen.select("cls", F.col("first.of_text").alias("of_text"), F.coalesce("first.key", F.lit(NO_KEY)).alias("at"))
-    texts = rows.select(F.coalesce("key", F.lit(NO_KEY)).alias("at"), "of_text", "text")
-    pieces = cut_lineage(texts.join(chosen, ["at", "of_text"]).dropDuplicates(["at", "of_text"]).mapInPandas(cut_sets, "cls binary, fragment int, tokens array<bigint>"), "fragments")
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Of (a, b, na, nb) those whose overlap in fragment 0 leaves enough for the rest; never fewer than are similar."""
+        for side in ("a", "b"):
+            own = rare.select(F.col("cls").alias(side), F.col("n0").alias(f"n0{side}"), F.col("hidden").alias(f"h{side}"), F.col("short").alias(f"s{side}"))
+            pairs = pairs.join(own, side)
+        partial = F.size(F.array_intersect("sa", "sb")) + F.least("ha", "hb")
+        most = partial + F.least(F.col("na") - F.col("n0a"), F.col("nb") - F.col("n0b"))
+        return pairs.filter(enough(most, F.col("na"), F.col("nb"))).select("a", "b", "na", "nb")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of (a, b, na, nb) those similar enough: partial overlaps by fragment, summed by pair."""
+        # One text of each class in a pair; its fragments meet the pairs of their class.
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        chosen = members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("key", "of_text")).alias("first"))
+        chosen = chosen.select("cls", F.col("first.of_text").alias("of_text"), F.coalesce("first.key", F.lit(NO_KEY)).alias("at"))
+        chosen = cut_lineage(chosen, "chosen")
+        few = chosen.count() <= FEW  # then a broadcast of bounded size spares the shuffle of all texts
+        texts = rows.select(F.coalesce("key", F.lit(NO_KEY)).alias("at"), "of_text", "text").join(F.broadcast(chosen) if few else chosen, ["at", "of_text"]).dropDuplicates(["at", "of_text"])
+        pieces = cut_lineage(texts.mapInPandas(cut_sets, "cls binary, fragment int, tokens array<bigint>"), "fragments")
         left = pieces.select(F.col("cls").alias("a"), "fragment", F.col("tokens").alias("ta"))
         right = pieces.select(F.col("cls").alias("b"), "fragment", F.col("tokens").alias("tb"))
         partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("overlap"))
         total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-        return total.filter((100 + percent) * F.col("overlap") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+        return total.filter(enough(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")
 
-    links, most = None, 2
+    def enough(overlap, na, nb):
+        return (100 + percent) * overlap >= percent * (na + nb)
+
+    links, most = None, 8
     while not open_rows.isEmpty():
-        pivots = _pivots(open_rows, most)
-        met = open_rows.join(pivots, "token").filter("comp <> pcomp AND cls <> pivot")
-        met = met.filter(100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
-        a, b = F.least("cls", "pivot"), F.greatest("cls", "pivot")
-        first_is = F.col("cls") < F.col("pivot")
-        pairs = met.select(a.alias("a"), b.alias("b"), F.when(first_is, F.col("n")).otherwise(F.col("pn")).alias("na"), F.when(first_is, F.col("pn")).otherwise(F.col("n")).alias("nb"))
-        found = cut_lineage(verified(cut_lineage(pairs.distinct(), "pairs")), "links")
-        links = found if links is None else links.unionByName(found)
-        comp = open_rows.select("cls", "comp").distinct()
-        edges = found.join(comp.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b")
-        left_over = open_rows.join(pivots.select("token", F.col("pivot").alias("cls")), ["token", "cls"], "left_anti")
-        if not found.isEmpty():
-            renamed = components(edges.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), "component")
-            left_over = left_over.join(renamed, "comp", "left").select("token", "cls", "n", F.coalesce("component", "comp").alias("comp"))
-        still = left_over.withColumns({"_low": F.min("comp").over(bucket), "_high": F.max("comp").over(bucket)})
-        open_rows = cut_lineage(still.filter("_low < _high").drop("_low", "_high"), "open")
-        most = min(2 * most, 16)
+        # Pivots: the first by hash, members of small components first; everyone else in the bucket meets them.
+        of_comp = F.count("*").over(Window.partitionBy("token", "comp"))
+        nth = F.row_number().over(bucket.orderBy("_size", F.xxhash64("cls"), "cls"))
+        ranked = open_rows.withColumn("_size", of_comp if links is not None else F.lit(1)).withColumn("nth", nth).drop("_size")
+        pivots = ranked.filter(F.col("nth") <= most).select("token", *[F.col(c).alias(f"p{c}") for c in ("cls", "n", "place", "comp", "nth")])
+        met = ranked.join(pivots, "token").filter("nth > pnth AND comp <> pcomp")
+        # If the shared shingle is the first one of both, the overlap is at most what follows it; the pair meets there if nowhere else.
+        rest = F.least(F.col("n") - F.col("place"), F.col("pn") - F.col("pplace"))
+        met = met.filter((100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & enough(rest, F.col("n"), F.col("pn")))
+        first_is = F.col("cls") < F.col("pcls")
+        pairs = met.select(
+            F.least("cls", "pcls").alias("a"), F.greatest("cls", "pcls").alias("b"),
+            F.when(first_is, F.col("n")).otherwise(F.col("pn")).alias("na"), F.when(first_is, F.col("pn")).otherwise(F.col("n")).alias("nb"),
+        )
+        pairs = cut_lineage(possible(pairs.distinct()), "pairs")
+        found = cut_lineage(verified(pairs), "links") if not pairs.isEmpty() else None
+        if found is not None:
+            links = found if links is None else links.unionByName(found)
+        apart = {"_low": F.min("comp").over(bucket), "_high": F.max("comp").over(bucket)}
+        still_open = lambda df: cut_lineage(df.withColumns(apart).filter("_low < _high").drop("_low", "_high"), "open")  # noqa: B023, E731
+        left_over = still_open(ranked.filter(F.col("nth") > most).drop("nth"))
+        if found is not None and not left_over.isEmpty():
+            comp = open_rows.select("cls", "comp").distinct()
+            ends = found.join(comp.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b")
+            renamed = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), "component")
+            left_over = still_open(left_over.join(renamed, "comp", "left").select("token", "cls", "n", "place", F.coalesce("component", "comp").alias("comp")))
+        open_rows, most = left_over, 4 * most
 
     named = members.filter("n > 0").groupBy("cls").agg(F.min("key").alias("least"))
     if links is not None:
@@ -171,17 +206,23 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", k: int = 3, perc
         named = whole.select("cls", "component").join(least, "component").select("cls", "least")
     named = named.withColumnRenamed("least", "component")
     joined = members.join(named, "cls", "left")
-    return joined.select(F.col("key").alias(key), F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component"))
+    return joined.select(F.col("key").alias(key), F.col("of_text").alias("text_hash"), F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component"))
 
 
-def _pivots(open_rows: DataFrame, most: int) -> DataFrame:
-    """(token, pivot, pn, pcomp): up to ``most`` members of each bucket, of its smallest components first.
+def keep_one(docs: DataFrame, *, key: str = "doc_id", **rules) -> DataFrame:
+    """``docs`` with one row of each component: that with the least key (null last), then the least text hash.
 
-    Each of ``most`` hash functions names the least member of each component in the bucket, then the least of the
-    smallest component: aggregates that are computed before the shuffle, however large the bucket.
+    Rows without a shingle are linked with nothing and all stay.
     """
-    least = lambda s: F.min(F.struct(F.xxhash64("cls", F.lit(s)).alias("h"), "cls", "n"))
-    by_component = open_rows.groupBy("token", "comp").agg(F.count("*").alias("size"), *[least(s).alias(f"m{s}") for s in range(most)])
-    best = by_component.groupBy("token").agg(*[F.min(F.struct("size", f"m{s}", "comp")).alias(f"p{s}") for s in range(most)])
-    named = [F.struct(F.col(f"p{s}.m{s}.cls").alias("pivot"), F.col(f"p{s}.m{s}.n").alias("pn"), F.col(f"p{s}.comp").alias("pcomp")) for s in range(most)]
-    return best.select("token", F.explode(F.array_distinct(F.array(*named))).alias("p")).select("token", "p.*")
+    found = jaccard_components(docs.select(key, "text"), key=key, **rules).filter("n_shingles > 0")
+    one = found.groupBy("component").agg(F.min(F.struct(F.col(key).isNull(), F.col(key).alias("at"), "text_hash")).alias("one"))
+    one = one.select(F.coalesce("one.at", F.lit(NO_KEY)).alias("_at"), F.col("one.text_hash").alias("_hash"))
+    out = found.select(F.coalesce(key, F.lit(NO_KEY)).alias("_at"), F.col("text_hash").alias("_hash")).distinct().join(one, ["_at", "_hash"], "left_anti")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(
+        *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], F.coalesce(F.col(key).cast("bigint"), F.lit(NO_KEY)).alias("_at"), F.xxhash64(F.col("text").cast("string")).alias("_hash"),
+        (F.trim(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\t\n\x0b\x0c\r", "     ")) == "").alias("_none"),
+    )
+    left = rows.join(out, ["_at", "_hash"], "left_anti")
+    again = F.row_number().over(Window.partitionBy("_at", "_hash").orderBy("_at"))
+    return left.withColumn("_again", again).filter("_again = 1 OR _none").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
