@@ -272,6 +272,36 @@ def test_decontamination(spark, docs, none):
     assert decontam.judge(every, benchmark.limit(0)).filter("leaked").count() == 0 and decontam.judge(none, benchmark).count() == 0
 
 
+def test_decontamination_finds_what_brute_force_finds(spark):
+    """Production values: changed, thinned out and short items among other words, item by item against all passages."""
+    rng = random.Random(6)
+    wide = lambda n: [rng.choice(WORDS) + str(rng.randrange(90)) for _ in range(n)]
+    often = wide(4)
+    items = [wide(n) for n in (5, 8, 12, 20, 30, 45, 64, 65, 90, 150)] + [[w if i % 2 else often[0] for i, w in enumerate(wide(20))]]
+    docs = [wide(n) for n in (0, 1, 15, 16, 17, 300)]
+    for item in items:
+        for step in (2, 3, 5):  # every so many words is another, or has others beside it
+            changed = [f"new{rng.randrange(999)}" if i % step == 0 and i < 0.7 * len(item) else w for i, w in enumerate(item)]
+            widened = [x for i, w in enumerate(item) for x in ([w, *wide(2)] if i % step == 0 else [w])]
+            docs += [wide(rng.randrange(90)) + x + wide(rng.randrange(200)) for x in (changed, widened, item[: len(item) // step], item[::-1])]
+    hashed = [decontam.hashed_words([" ".join(x)])[0] for x in items]
+    want = {}
+    for d, doc in enumerate(docs):
+        words, _ = decontam.hashed_words([" ".join(doc)])
+        for i, item in enumerate(hashed):
+            answer, n = item[-max(3, len(item) // 4) :], len(item)
+            for begin in range(0, len(words), 16):
+                region = words[max(0, begin - n) : begin + 48 + n]
+                share = decontam.common_subsequence(item, region) / n
+                if share >= 0.75 or share >= 0.5 and decontam.common_subsequence(answer, region) / len(answer) >= 0.6:
+                    want.setdefault(d, {}).setdefault(i, []).append(share)
+    made = spark.createDataFrame([(d, " ".join(doc)) for d, doc in enumerate(docs)], "doc_id bigint, text string").repartition(4)
+    benchmark = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id bigint, text string")
+    got = {r["doc_id"]: (r["n_items"], r["common"]) for r in decontam.judge(made, benchmark).filter("leaked").collect()}
+    assert {i for found in want.values() for i in found} == set(range(len(items)))
+    assert got == {d: (len(found), max(max(x) for x in found.values())) for d, found in want.items()}
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
