@@ -1,9 +1,8 @@
 """Order MinHash fingerprints, in DataFrame functions alone.
 
 The words of a text give k-mers (k words in a row), numbered by occurrence, so a
-repeated k-mer counts as often as it stands. The ``pool`` least of their hashes
-are kept with their places; each of ``slots`` hash functions picks the ``tuple_size``
-least of the pool, puts them into text order and hashes that tuple. Texts with the same k-mers in
+repeated k-mer counts as often as it stands. Each of ``slots`` hash functions picks the ``tuple_size``
+least of all of them, puts them into text order and hashes that tuple. Texts with the same k-mers in
 another order therefore differ, as edit distance has it. Likeness is the
 share of equal slots.
 
@@ -31,7 +30,7 @@ def _hash(packed: Column) -> Column:
     return F.shiftright(packed, 24)
 
 
-def with_fingerprint(df: DataFrame, text: str, name: str, *, k: int = 3, slots: int = 32, tuple_size: int = 2, pool: int = 48) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: str, name: str, *, k: int = 3, slots: int = 32, tuple_size: int = 2) -> DataFrame:
     """Adds ``name``: an array of ``slots`` 64-bit numbers. Every step stands behind a generator, so none is computed twice."""
     at = lambda a, i: F.get(F.col(a), i)
     df = with_once(df, {"_words": F.split(F.coalesce(F.col(text), F.lit("")), r"\s+")})
@@ -44,16 +43,22 @@ def with_fingerprint(df: DataFrame, text: str, name: str, *, k: int = 3, slots:
     # The i-th of the equal k-mers from ``begin`` on is occurrence i - begin.
     numbered = lambda begin: lambda i: _packed(F.xxhash64(_hash(at("_sorted", i)), i - begin), at("_sorted", i).bitwiseAND(F.lit(PLACE)))
     runs = F.transform("_first", lambda begin, r: F.transform(F.sequence(begin, F.coalesce(at("_first", r + 1), F.size("_sorted")) - 1), numbered(begin)))
-    df = with_once(df, {"_pool": F.slice(F.sort_array(F.flatten(runs)), 1, pool)}).drop("_sorted", "_first")
+    df = with_once(df, {"_all": F.flatten(runs)}).drop("_sorted", "_first")
+    df = with_once(df, {"_ids": F.transform("_all", _hash), "_all": F.col("_all")})
 
     def slot(j: Column) -> Column:
-        ranked = F.sort_array(F.transform("_pool", lambda x, i: F.xxhash64(_hash(x), j).bitwiseAND(F.lit(~255)).bitwiseOR(i.cast("bigint"))))
-        in_order = F.sort_array(F.transform(F.slice(ranked, 1, tuple_size), lambda v: _packed(at("_pool", v.bitwiseAND(F.lit(255)).cast("int")).bitwiseAND(F.lit(PLACE)) * F.lit(PLACE + 1), v.bitwiseAND(F.lit(255)))))
-        return F.xxhash64(F.transform(in_order, lambda v: _hash(at("_pool", v.bitwiseAND(F.lit(255)).cast("int")))))
-
-    if pool > 256:
-        raise ValueError("pool: 256 at most")
-    return with_once(df, {name: F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), slot)}).drop("_pool")
+        return F.get(F.transform(F.array(F.transform("_ids", lambda x: F.xxhash64(x, j))), least), 0)
+
+    def least(values: Column) -> Column:
+        picked, rest = [], values
+        for _ in range(tuple_size):
+            picked.append(F.array_min(rest))
+            rest = F.array_remove(rest, picked[-1])
+        at_place = lambda v: F.struct(at("_all", F.array_position(values, v).cast("int") - 1).bitwiseAND(F.lit(PLACE)).alias("place"), v.alias("value"))
+        in_order = F.array_sort(F.transform(F.array_compact(F.array(*picked)), at_place))
+        return F.xxhash64(F.transform(in_order, lambda s: s["value"]))
+
+    return with_once(df, {name: F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), slot)}).drop("_all", "_ids")
 
 
 def as_text(fingerprint: str) -> Column:

@@ -190,6 +190,15 @@ def test_order_minhash(spark, docs, none):
     assert near["same"] == 1 and near["edit"] > 0.6 and near["far"] == 0 and near["edit"] > near["blocks"] > near["half"] > 0 and near["blocks"] < 1
 
 
+def test_order_minhash_of_unequal_lengths(spark):
+    """Both least k-mers of a function are shared with the chance that all k-mers give, not those of a pool."""
+    rows = [(i, " ".join(f"a{i}x{j}" for j in range(302)), " ".join(f"a{i}x{j}" for j in range(902))) for i in range(8)]
+    df = spark.createDataFrame(rows, "i int, short string, long string")
+    df = orderhash.with_fingerprint(orderhash.with_fingerprint(df, "short", "f", slots=128), "long", "g", slots=128)
+    near = df.agg(F.avg(orderhash.likeness("f", "g"))).first()[0]
+    assert abs(near - 300 / 900 * 299 / 899) < 0.035
+
+
 # 5
 
 
