@@ -61,15 +61,14 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 
 
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Distinct (a, b): a page's address and the different address it names by canonical link or redirect.
+    """Distinct (a, b): a page's address and every different address it names by canonical links and redirects.
 
-    A target without a host is taken from the page's own host.
+    A target without a host is taken from the page's own host; ``//host/path`` has one.
     """
-    target = F.coalesce(*[F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in CANONICAL])
-    named = pages.select(F.col(url).alias("url"), target.alias("target")).filter("target IS NOT NULL")
-    full = F.when(F.contains("target", F.lit("://")), F.col("target")).otherwise(
-        F.concat(F.lit("http://"), host_of(F.col("url")), F.when(F.startswith("target", F.lit("/")), "").otherwise("/"), F.col("target"))
-    )
+    hits = F.flatten(F.array(*[F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(p), F.lit(1)) for p in CANONICAL]))
+    named = pages.select(F.col(url).alias("url"), F.explode(F.array_distinct(hits)).alias("target")).filter("target <> ''")
+    own = F.concat(F.lit("http://"), host_of(F.col("url")), F.when(F.startswith("target", F.lit("/")), "").otherwise("/"), F.col("target"))
+    full = F.when(F.startswith("target", F.lit("//")), F.concat(F.lit("http:"), F.col("target"))).when(F.contains("target", F.lit("://")), F.col("target")).otherwise(own)
     ends = named.select(address(host_of(F.col("url")), path_of(F.col("url"))).alias("a"), address(host_of(full), path_of(full)).alias("b"))
     return ends.filter("a <> b").distinct()
 

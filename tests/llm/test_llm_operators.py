@@ -384,6 +384,21 @@ def test_urls(spark):
     assert again[14] == "allow"  # nothing at that address is a page with a rule
 
 
+def test_every_link_of_a_page_counts(spark):
+    link = '<link rel="canonical" href="{}">'.format
+    turned = '<link href="{}" rel=canonical>'.format
+    moved = '<meta http-equiv="refresh" content="0; url={}">'.format
+    rows = [
+        (1, "http://one.io/p", link("http://one.io/p") + moved("http://example.com/de/1")), (2, "http://two.io/p", link("http://two.io/p") + link("http://example.com/de/1")),
+        (3, "http://three.io/p", turned("http://x.org/fr/1") + link("http://example.com/de/2")), (4, "http://four.io/p", link("//example.com/de/1")),
+        (5, "http://five.io/p", moved("//five.io/q")), (6, "http://five.io/q", moved("http://example.com/de/1") + moved("/p")), (7, "http://six.io/p", link("/p")), (8, "http://seven.io/p", None),
+        (9, "http://example.com/de/1", None), (10, "http://example.com/de/2", ""), (11, "http://x.org/fr/1", ""),
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, queries.RULES).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block", 6: "block", 7: "allow", 8: "allow", 9: "block", 10: "block", 11: "allow"}
+
+
 # 9
 
 
