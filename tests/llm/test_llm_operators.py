@@ -422,6 +422,21 @@ def test_license_with_changed_words(spark):
     assert row["labels"] == "mit" and row["base_labels"] == "" and 0.5 < row["score"] < 1
 
 
+def test_license_spans_are_held_against_the_template(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License"
+    rows = [
+        ("licensed under the GNU General Public License version 2", ""), ("under the GNU General Public License", ""), ("Licensed under the GNU General Public License, version 3", "gpl-3"),
+        ("licensed under the GNU Lesser General Public License version 3", ""), (gpl.format(3), "gpl-3"), (gpl.format(2), ""), ("licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+        ("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ""), ("licensed under a Creative Commons Attribution 3.0 Unported License", "cc-by"),
+        ("of this software " * 40, ""), ("no part of " * 40, ""), ("in any form without permission this may be reproduced no part of all rights reserved", ""),
+        ("All rights reserved. No part of this may be reproduced in any form without our permission", "all-rights-reserved"), ("noise " * 50 + gpl.format(3).replace("terms of", "very terms of"), "gpl-3"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    assert [got[i]["labels"] for i in range(len(rows))] == [x for _, x in rows]
+    assert [(s["start"], s["votes"]) for s in got[2]["spans"]] == [(0, 7)] and got[13]["spans"][0]["start"] == 50
+
+
 # 10
 
 
