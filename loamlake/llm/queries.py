@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlake.llm import decontam, jaccard, language, licenses, orderhash, packing, suffixes, tokenfile, toxicity, urls
+from loamlake.llm import decontam, jaccard, language, licenses, orderhash, packing, simhash, suffixes, tokenfile, toxicity, urls
 from loamlake.llm.blocks import small_batches
 from loamlake.runtime import scratch_dir
 
@@ -159,3 +159,10 @@ def license_scans(spark: SparkSession, folder: str) -> DataFrame:
 def packed(spark: SparkSession, folder: str) -> DataFrame:
     """A row per piece of the packed sequences."""
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1)
+
+
+@query("op13_simhash_near_dedup")
+def near_prints(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, fingerprint, component_id."""
+    made = simhash.near_components(table(spark, folder, "documents"))
+    return made.select("doc_id", simhash.as_hex("fingerprint").alias("fingerprint"), F.col("component").alias("component_id"))
