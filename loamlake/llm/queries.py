@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlake.llm import decontam, jaccard, language, licenses, orderhash, packing, simhash, suffixes, tokenfile, toxicity, urls
+from loamlake.llm import decontam, jaccard, language, licenses, merkle, orderhash, packing, simhash, suffixes, tokenfile, toxicity, urls
 from loamlake.llm.blocks import small_batches
 from loamlake.runtime import scratch_dir
 
@@ -161,6 +161,35 @@ def packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1)
 
 
+MANIFEST_SQL = f"""WITH RECURSIVE c AS (SELECT list(list_reduce(list_concat([b], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM range(256) r(b)),
+f AS (SELECT *, list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])) AS crc FROM documents, c),
+h AS (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM f),
+d AS (SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, '{UPPER}', '{LOWER}'), '-')) END AS seen FROM h),
+p AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS size FROM d),
+l AS (SELECT g, 0 AS lvl, pos, leaf AS x, size FROM p UNION ALL SELECT g, lvl + 1, pos // 8, sha256(string_agg(x, '' ORDER BY pos)), (size + 7) // 8 FROM l WHERE size > 1 GROUP BY g, lvl, pos // 8, size),
+s AS (SELECT g, x AS subroot, lvl AS height, count(*) OVER () AS size FROM l WHERE size = 1),
+m AS (SELECT 0 AS lvl, g AS pos, subroot AS x, size FROM s UNION ALL SELECT lvl + 1, pos // 8, sha256(string_agg(x, '' ORDER BY pos)), (size + 7) // 8 FROM m WHERE size > 1 GROUP BY lvl, pos // 8, size),
+q AS (SELECT p.g, p.pos, l.lvl, l.pos < p.pos >> (3 * l.lvl) AS lo, l.pos > p.pos >> (3 * l.lvl) AS hi, x, l.pos AS nth FROM p JOIN l ON l.g = p.g AND l.size > 1 AND l.pos // 8 = p.pos >> (3 * l.lvl + 3)),
+u AS (SELECT s.g, height + m.lvl AS lvl, m.pos < s.g >> (3 * m.lvl) AS lo, m.pos > s.g >> (3 * m.lvl) AS hi, x, m.pos AS nth FROM s JOIN m ON m.size > 1 AND m.pos // 8 = s.g >> (3 * m.lvl + 3)),
+a AS (SELECT g, pos, lvl, coalesce(string_agg(x, '' ORDER BY nth) FILTER (lo), '') AS l, coalesce(string_agg(x, '' ORDER BY nth) FILTER (hi), '') AS r
+ FROM (SELECT g, pos, lvl, lo, hi, x, nth FROM q UNION ALL SELECT p.g, p.pos, lvl, lo, hi, x, nth FROM p JOIN u ON u.g = p.g) GROUP BY g, pos, lvl),
+w AS (SELECT g, pos, sha256(string_agg(l || r, '' ORDER BY lvl)) AS proof, list({{'l': l, 'x': '', 'r': r}} ORDER BY lvl) AS path FROM a GROUP BY g, pos),
+z AS (SELECT p.*, s.subroot, coalesce(proof, sha256('')) AS proof, list_reduce(list_concat([{{'l': '', 'x': coalesce(seen, leaf), 'r': ''}}], coalesce(path, [])), lambda a, b: {{'l': '', 'x': sha256(b.l || a.x || b.r), 'r': ''}}).x AS folded
+ FROM p JOIN s ON s.g = p.g LEFT JOIN w ON w.g = p.g AND w.pos = p.pos)
+SELECT doc_id, leaf, subroot, m.x AS root, proof AS proof_sha256, folded AS folded_root, folded = m.x AS verified FROM z, m WHERE m.size = 1"""
+
+
+@query("op11_merkle_manifest", MANIFEST_SQL)
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified."""
+    docs = table(spark, folder, "documents")
+    fields = [F.col(c) for c in merkle.FIELDS]
+    changed = F.when(fold("doc_id", 3) == 0, merkle.leaf([*fields[:-1], F.translate("text", UPPER, LOWER)]))
+    made = merkle.tree(docs.select(F.col("lang").alias("group"), F.col("doc_id").alias("key"), merkle.leaf(fields).alias("leaf"), changed.alias("seen")))
+    folded = made.withColumns({"proof_sha256": merkle.proof(F.col("path")), "folded_root": merkle.fold(F.col("path"), F.coalesce("seen", "leaf"))})
+    return folded.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 @query("op13_simhash_near_dedup")
 def near_prints(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, fingerprint, component_id."""
