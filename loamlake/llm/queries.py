@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlake.llm import decontam, jaccard, language, licenses, merkle, orderhash, packing, simhash, suffixes, tokenfile, toxicity, urls
+from loamlake.llm import decontam, jaccard, language, lexical, licenses, merkle, orderhash, packing, simhash, suffixes, tokenfile, toxicity, urls
 from loamlake.llm.blocks import small_batches
 from loamlake.runtime import scratch_dir
 
@@ -190,6 +190,22 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return folded.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+SEARCH_SQL = f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{lexical.TERM}') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM d),
+f AS (SELECT row, doc_id, n, term, count(*) AS tf FROM s GROUP BY ALL),
+t AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+g AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM f, t GROUP BY term, n_docs),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{lexical.TERM}')) AS term FROM benchmark),
+r AS (SELECT item_id, row, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // n_terms)))))::BIGINT AS score FROM i JOIN g USING (term) JOIN f USING (term), t GROUP BY item_id, row, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 10"""
+
+
+@query("op12_ranked_lexical_search", SEARCH_SQL)
+def best_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """item_id, rank, doc_id, score."""
+    return lexical.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op13_simhash_near_dedup")
 def near_prints(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, fingerprint, component_id."""
