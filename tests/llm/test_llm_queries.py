@@ -24,6 +24,9 @@ COLUMNS = {
     "op8_url_filters": "page_id host path rule verdict",
     "op9_license_scans": "doc_id n_words n_base first_word last_word base_labels labels score",
     "op10_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    "op11_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op12_ranked_lexical_search": "item_id rank doc_id score",
+    "op13_simhash_near_dedup": "doc_id fingerprint component_id",
 }
 
 
@@ -35,10 +38,10 @@ def test_all_are_registered():
 def test_columns_and_rows(spark, name):
     df = QUERIES[name](spark, FOLDER)
     assert set(COLUMNS[name].split()) <= set(df.columns)
-    table, key = ("pages", "page_id") if name.startswith("op8") else ("documents", "doc_id")
+    table, key = {"op8_url_filters": ("pages", "page_id"), "op12_ranked_lexical_search": ("benchmark", "item_id")}.get(name, ("documents", "doc_id"))
     keys = {r[0] for r in spark.read.parquet(f"{FOLDER}/{table}.parquet").select(key).collect()}
     got = [r[0] for r in df.select(key).collect()]
-    assert set(got) == keys and (name == "op10_packing" or len(got) == len(keys))
+    assert set(got) == keys and (name in ("op10_packing", "op12_ranked_lexical_search") or len(got) == len(keys))
 
 
 def test_held_out_accuracy(spark):
