@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamlake.operators.restarts import restarting
 from loamlake.runtime import cut_lineage
 
 
@@ -28,11 +29,13 @@ def running_sum(
     by: Sequence[str] = (),
     *,
     slices: int | None = None,
+    keep_slice: bool = False,
 ) -> DataFrame:
     """``by`` + ``order`` + ``value`` + ``before``: the sum of ``value`` over earlier rows of the key.
 
     ``order`` must identify a row within its key. Inclusive sum: ``before + value``.
-    The number of slices follows the data's size unless ``slices`` sets it.
+    The number of slices follows the data's size unless ``slices`` sets it; with
+    ``keep_slice`` the number of a row's slice comes as ``slice``.
     """
     thin = df.select(*by, *order, value.cast("bigint").alias("value"))
     # Range bounds come from a sample, so the slice of a row is written
@@ -50,7 +53,7 @@ def running_sum(
     joined = sliced.alias("l").join(offsets.alias("r"), _same(sliced, offsets, keys)).select("l.*", "r.offset")
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return joined.select(
-        *by, *order, "value", (F.col("offset") + F.coalesce(F.sum("value").over(inside), F.lit(0))).alias("before")
+        *by, *order, *(["slice"] if keep_slice else []), "value", (F.col("offset") + F.coalesce(F.sum("value").over(inside), F.lit(0))).alias("before")
     )
 
 
@@ -74,16 +77,12 @@ def within_budget(df: DataFrame, size: str, order: Sequence[str], target: int) -
 
 
 def assign_shards(df: DataFrame, size: str, order: Sequence[str], shard_size: int) -> DataFrame:
-    """Add ``shard``: a new one starts whenever another ``shard_size`` has gone before.
-
-    Overshoot is not carried over to the next shard, so a boundary lies within
-    one record of where a writer that restarts its count would put it.
-    """
+    """Add ``shard``: the count restarts at every shard, which is full with the record that reaches ``shard_size``."""
     return df.join(budgeted_shards(df, size, order, None, shard_size), list(order))
 
 
-def budgeted_shards(thin: DataFrame, size: str, order: Sequence[str], target: int | None, shard_size: int) -> DataFrame:
+def budgeted_shards(thin: DataFrame, size: str, order: Sequence[str], target: int | None, shard_size: int, *, slices: int | None = None) -> DataFrame:
     """``order`` + ``shard`` of the rows within the budget: both follow from one running sum."""
-    sums = running_sum(thin, F.col(size), order)
+    sums = running_sum(thin, F.col(size), order, slices=slices, keep_slice=True)
     kept = sums if target is None else sums.filter(F.col("before") < target)
-    return kept.select(*order, F.floor(F.col("before") / shard_size).cast("int").alias("shard"))
+    return restarting(cut_lineage(kept, "sums"), order, shard_size)

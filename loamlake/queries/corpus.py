@@ -166,11 +166,15 @@ def budget_cut(t: Tables):
     return running.within_budget(kept, "char_count", ["doc_id"], TARGET).select("doc_id", "source", "char_count")
 
 
+# Where each shard begins, the count restarting there, and the shard of every record.
+PLACED = f"""WITH RECURSIVE s AS (SELECT doc_id, n_chars, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents),
+b AS (SELECT 0 AS shard, CAST(0 AS HUGEINT) AS start UNION ALL SELECT shard + 1, (SELECT min(before) FROM s WHERE before >= b.start + {SHARD}) FROM b WHERE EXISTS (SELECT 1 FROM s WHERE before >= b.start + {SHARD})),
+p AS (SELECT doc_id, n_chars, shard FROM s ASOF JOIN b ON s.before >= b.start) """
+
+
 @query(
     "shard_assignment",
-    f"""WITH s AS (SELECT doc_id, n_chars, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)
-SELECT CAST(floor(before / {SHARD}) AS INT) AS shard, count(*) AS n_rows, CAST(sum(n_chars) AS BIGINT) AS chars, min(doc_id) AS first_id, max(doc_id) AS last_id
-FROM s GROUP BY 1""",
+    PLACED + "SELECT shard, count(*) AS n_rows, CAST(sum(n_chars) AS BIGINT) AS chars, min(doc_id) AS first_id, max(doc_id) AS last_id FROM p GROUP BY shard",
 )
 def shard_assignment(t: Tables):
     placed = running.assign_shards(t.documents.select("doc_id", "n_chars"), "n_chars", ["doc_id"], SHARD)
@@ -179,12 +183,7 @@ def shard_assignment(t: Tables):
     )
 
 
-@query(
-    "written_shards",
-    f"""WITH s AS (SELECT doc_id, n_chars, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)
-SELECT CAST(floor(before / {SHARD}) AS INT) AS shard, count(*) AS n_rows, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(1 AS BIGINT) AS files
-FROM s GROUP BY 1""",
-)
+@query("written_shards", PLACED + "SELECT shard, count(*) AS n_rows, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(1 AS BIGINT) AS files FROM p GROUP BY shard")
 def written_shards(t: Tables):
     root = scratch_dir(t.spark, "shards")
     sink.write_shards(records(t), root, ["arrival"], SHARD)

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from loamlake.operators import corpus as C
@@ -53,6 +54,33 @@ def test_shards_follow_running_size(spark):
     assert {r.doc_id: r.shard for r in placed.collect()} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 2}
 
 
+def shards_by_loop(sizes, full):
+    shard, chars, out = 0, 0, []
+    for n in sizes:
+        out.append(shard)
+        chars += n
+        if chars >= full:
+            shard, chars = shard + 1, 0
+    return out
+
+
+@pytest.mark.parametrize("full,largest", [(10, 4), (25, 60), (400, 3)])
+def test_restarting_count_equals_a_loop(spark, full, largest):
+    rng = random.Random(full)
+    sizes = [rng.choice([0, 0, rng.randint(0, largest)]) for _ in range(700)] + [0, 0]
+    df = spark.createDataFrame([(i, "k", n) for i, n in enumerate(sizes)], "o bigint, p string, n bigint").repartition(6)
+    for slices in (1, 9):
+        placed = running.budgeted_shards(df, "n", ["o", "p"], None, full, slices=slices)
+        assert [r.shard for r in sorted(placed.collect())] == shards_by_loop(sizes, full)
+
+
+def test_restarting_count_at_the_edges(spark):
+    for sizes in ([], [0, 0, 0], [10, 0, 0], [10, 10]):
+        df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "o bigint, n bigint")
+        placed = running.budgeted_shards(df, "n", ["o"], None, 10, slices=3)
+        assert [r.shard for r in sorted(placed.collect())] == shards_by_loop(sizes, 10)
+
+
 def test_lookup_equals_join(spark):
     rows = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"k{i}") for i in range(4000)], "id bigint, k string")
     table = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 4000, 2)], "k string, v bigint")
