@@ -155,7 +155,29 @@ def shingle_counts(t: Tables):
     return t.documents.select("doc_id", F.size(X.shingles(F.col("text"))).cast("bigint").alias("grams"))
 
 
-@query("near_dup")
+def near_sql() -> str:
+    """Signatures by the same hash functions, then keep-first by recursion from text to text."""
+    bands, rows = neardup.band_layout(0.8, 128)
+    a, b = neardup.permutations(bands * rows)
+    functions = ", ".join(f"{{'a': {x}, 'b': {y}}}" for x, y in zip(a, b))
+    base = [pow(neardup.GRAM_BASE, 4 - k, 1 << 32) for k in range(5)]
+    gram = " + ".join(f"c[i + {k}] * {p}" for k, p in enumerate(base))
+    short = "list_reduce(list_concat([0], c), lambda g, x: (g * {} + x) & 4294967295)".format(neardup.GRAM_BASE)
+    return f"""WITH RECURSIVE t AS (SELECT doc_id, source, n_chars, lower(trim(regexp_replace(text, '{WS}+', ' ', 'g'))) AS s FROM documents),
+u AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY md5(s) ORDER BY doc_id) = 1),
+c AS (SELECT doc_id, list_transform(string_split(s, ''), lambda x: unicode(x)::BIGINT) AS c FROM u WHERE s <> ''),
+g AS (SELECT doc_id, CASE WHEN len(c) >= 5 THEN list_distinct(list_transform(range(1, len(c) - 3), lambda i: ({gram}) & 4294967295)) ELSE [{short}] END AS g FROM c),
+m AS (SELECT doc_id, list_transform(list_transform(g, lambda x: (x * {neardup.GRAM_MIX}) & 4294967295), lambda x: xor(x, x >> 15)) AS h FROM g),
+f AS (SELECT doc_id, list_transform([{functions}], lambda p: list_min(list_transform(h, lambda x: (p.a * x + p.b) & 4294967295))) AS low FROM m),
+b AS (SELECT doc_id, unnest(list_transform(range({bands}), lambda i: md5(i || ':' || low[i * {rows} + 1 : i * {rows} + {rows}]::VARCHAR))) AS bucket FROM f),
+d AS (SELECT doc_id, list(bucket) AS own FROM b WHERE bucket IN (SELECT bucket FROM b GROUP BY 1 HAVING count(*) > 1) GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS nth FROM d),
+r AS (SELECT CAST(0 AS BIGINT) AS nth, CAST([] AS VARCHAR[]) AS taken, false AS lost UNION ALL
+ SELECT o.nth, CASE WHEN list_has_any(taken, own) THEN taken ELSE list_concat(taken, own) END, list_has_any(taken, own) FROM r JOIN o ON o.nth = r.nth + 1)
+SELECT doc_id, source, n_chars FROM u WHERE doc_id NOT IN (SELECT doc_id FROM o JOIN r USING (nth) WHERE lost)"""
+
+
+@query("near_dup", near_sql())
 def near_dup(t: Tables):
     return neardup.near_dedup(t.documents).select("doc_id", "source", "n_chars")
 

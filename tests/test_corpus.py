@@ -113,6 +113,30 @@ def test_rounds_equal_sequential_greedy(spark):
         assert {r.id for r in neardup.dropped_ids(rows).collect()} == greedy(pairs)
 
 
+def test_batches_equal_sequential_greedy(spark):
+    """More open texts than one batch takes: rounds, components and batches of each."""
+    rng = random.Random(5)
+    pairs = {(i, f"chain{i // 60}-{(i + j) % 997}") for i in range(240) for j in (0, 1)} | {(i, f"b{rng.randint(0, 80)}") for i in range(0, 240, 5)}
+    rows = spark.createDataFrame([(i, b.encode()) for i, b in sorted(pairs)], "id bigint, bucket binary")
+    assert {r.id for r in neardup.dropped_ids(rows, 30).collect()} == greedy(pairs)
+
+
+def test_a_long_chain_ends_in_few_rounds(spark, monkeypatch):
+    """Ten thousand versions, each near the one before; alone and among enough others that rounds are needed."""
+    rounds = []
+    counted = neardup.cut_lineage
+    monkeypatch.setattr(neardup, "cut_lineage", lambda df: rounds.append(1) or counted(df))
+    chain = spark.range(10_000).select("id", F.explode(F.array("id", F.col("id") + 1)).alias("bucket"))
+    assert neardup.dropped_ids(chain).filter("id % 2 = 1").count() == 5000 and len(rounds) < 5
+    rounds.clear()
+    assert neardup.dropped_ids(chain, 6000).filter("id % 2 = 1").count() == 5000 and len(rounds) < 30
+
+
+def test_struct_ids_keep_their_order(spark):
+    rows = spark.createDataFrame([((2, "a"), b"x"), ((10, "a"), b"x"), ((2, "b"), b"y")], "id struct<n:bigint,s:string>, bucket binary")
+    assert [tuple(r.id) for r in neardup.dropped_ids(rows).collect()] == [(10, "a")]
+
+
 def test_chain_keeps_both_ends(spark):
     rows = spark.createDataFrame([(1, b"x"), (2, b"x"), (2, b"y"), (3, b"y")], "id bigint, bucket binary")
     assert {r.id for r in neardup.dropped_ids(rows).collect()} == {2}
