@@ -127,12 +127,15 @@ def not_yet_written(df: DataFrame, written: DataFrame, order: Sequence[str] = ("
 
 
 def dedup_stats(df: DataFrame, written: DataFrame | None = None, key: Column | None = None) -> DataFrame:
-    """One row: texts dropped as exact copies, and distinct texts seen (written ones included)."""
-    by_text = X.dedup_key(F.col("text"))
-    marked = df.select((by_text if key is None else key).alias("_key"), F.lit(1).alias("_new"))
+    """One row: texts dropped as exact copies, and distinct texts seen (written ones included).
+
+    With ``key`` both inputs have it and no text is read.
+    """
+    by_text = X.dedup_key(F.col("text")) if key is None else key
+    marked = df.select(by_text.alias("_key"), F.lit(1).alias("_new"))
     if written is not None:
-        seen = written.filter(F.col("text") != "").select(by_text.alias("_key"), F.lit(0).alias("_new"))
-        marked = marked.unionByName(seen)
+        seen = written if key is not None else written.filter(F.col("text") != "")
+        marked = marked.unionByName(seen.select(by_text.alias("_key"), F.lit(0).alias("_new")))
     per_key = marked.groupBy("_key").agg(F.sum("_new").alias("_n"), F.min("_new").alias("_was"))
     return per_key.agg(
         F.coalesce(F.sum(F.when(F.col("_was") == 0, F.col("_n")).otherwise(F.col("_n") - 1)), F.lit(0)).alias(

@@ -196,12 +196,16 @@ def near_dropped(texts: DataFrame, order: str, written: DataFrame | None = None,
     ``texts`` and ``written`` hold ``text``; exact copies must be gone.
     """
     rows = cut_lineage(bucket_rows(texts, order, **rules))
-    if written is None:
-        return dropped_ids(rows).select(F.col("id").alias(order))
-    taken = written.filter(F.col("text") != "").select(F.explode(band_buckets(F.col("text"), **rules)).alias("bucket")).distinct()
-    near_written = cut_lineage(lookup(rows, taken, "bucket").select("id").distinct())
-    among_new = dropped_ids(rows.join(near_written, "id", "left_anti"))
-    return near_written.unionByName(among_new).select(F.col("id").alias(order))
+    taken = None if written is None else written.filter(F.col("text") != "").select(F.explode(band_buckets(F.col("text"), **rules)).alias("bucket"))
+    return near_rows(rows, taken).select(F.col("id").alias(order))
+
+
+def near_rows(rows: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """Ids of (id, bucket) that are dropped: those with a bucket of ``taken``, then by keep-first. ``rows`` should be cheap to read again."""
+    if taken is None:
+        return dropped_ids(rows).select("id")
+    near_taken = cut_lineage(lookup(rows, taken.select("bucket").distinct(), "bucket").select("id").distinct())
+    return near_taken.unionByName(dropped_ids(rows.join(near_taken, "id", "left_anti")).select("id"))
 
 
 def near_dedup(df: DataFrame, order: str = "doc_id", written: DataFrame | None = None, **rules) -> DataFrame:

@@ -49,18 +49,20 @@ def restarting(sums: DataFrame, order: Sequence[str], size: int) -> DataFrame:
         few = int(np.searchsorted(starts, starts[0] + size)) + 1
         return pd.DataFrame({"slice": slice_["slice"].iloc[0], "entry": starts[:few], "out": out[:few], "steps": steps[:few]})
 
-    sized = sums.filter("value > 0").select("slice", "before")
-    found = cut_lineage(sized.groupBy("slice").applyInPandas(entries, "slice int, entry bigint, out bigint, steps bigint"), "entries")
-    reached = _chain(found)
-
-    # What a slice begins with: the next shard's number and the sum at which it begins.
-    slices = sums.select("slice").distinct().join(reached.select("slice", "number", "out", "steps"), "slice", "left")
-    earlier = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
-    state = slices.select(
-        "slice",
-        F.coalesce(F.last(F.col("number") + F.col("steps"), True).over(earlier), F.lit(0)).alias("_next"),
-        F.coalesce(F.last("out", True).over(earlier), F.lit(0)).alias("_at"),
-    )
+    parts = sums.select("slice").distinct()
+    if parts.count() < 2:  # the chain never leaves its slice
+        state = parts.select("slice", F.lit(0).cast("bigint").alias("_next"), F.lit(0).cast("bigint").alias("_at"))
+    else:
+        sized = sums.filter("value > 0").select("slice", "before")
+        found = cut_lineage(sized.groupBy("slice").applyInPandas(entries, "slice int, entry bigint, out bigint, steps bigint"), "entries")
+        # What a slice begins with: the next shard's number and the sum at which it begins.
+        met = parts.join(_chain(found).select("slice", "number", "out", "steps"), "slice", "left")
+        earlier = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+        state = met.select(
+            "slice",
+            F.coalesce(F.last(F.col("number") + F.col("steps"), True).over(earlier), F.lit(0)).alias("_next"),
+            F.coalesce(F.last("out", True).over(earlier), F.lit(0)).alias("_at"),
+        )
 
     def numbered(slice_: pa.Table) -> pa.Table:
         before = slice_.column("before").to_numpy()

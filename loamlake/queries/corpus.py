@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamlake.functions import text as X
@@ -237,6 +240,48 @@ def corpus_resume(t: Tables):
     )
 
 
+# Kept records with the shard a count that restarts gives them.
+SHARDED = CLEANED.replace("WITH c", "WITH RECURSIVE c", 1) + f""", k AS (SELECT * FROM summed WHERE before < {TARGET}),
+b AS (SELECT 0 AS shard, CAST(0 AS HUGEINT) AS start UNION ALL SELECT shard + 1, (SELECT min(before) FROM k WHERE before >= b.start + {SHARD}) FROM b WHERE EXISTS (SELECT 1 FROM k WHERE before >= b.start + {SHARD})),
+p AS (SELECT k.*, shard FROM k ASOF JOIN b ON k.before >= b.start) """
+
+
+@query(
+    "written_manifest",
+    SHARDED
+    + f"""SELECT 'total' AS kind, '' AS name, count(*) AS n_rows, CAST(coalesce(sum(char_count), 0) AS BIGINT) AS chars FROM p
+UNION ALL SELECT 'target', CAST(coalesce(sum(char_count), 0) >= {TARGET} AS VARCHAR), CAST({TARGET} AS BIGINT), CAST(NULL AS BIGINT) FROM p
+UNION ALL SELECT 'dedup', '', (SELECT count(*) FROM cleaned) - (SELECT count(*) FROM kept), (SELECT count(*) FROM kept)
+UNION ALL SELECT 'dataset', 'given:' || source, count(*), CAST(sum(char_count) AS BIGINT) FROM p GROUP BY source
+UNION ALL SELECT 'shard', CAST(shard AS VARCHAR), count(*), CAST(sum(char_count) AS BIGINT) FROM p GROUP BY shard""",
+)
+def written_manifest(t: Tables):
+    """What the manifest of a run says: totals, budget, copies dropped and texts seen, datasets, shards."""
+    root = scratch_dir(t.spark, "corpus")
+    plan.run(t.spark, records(t), root, order=["arrival"], target=TARGET, shard_chars=SHARD, **RULES)
+    totals = shards.read_manifest(t.spark, root)
+    none = F.lit("")
+    parts = [
+        totals.select(F.lit("total").alias("kind"), none.alias("name"), F.col("total_rows").alias("n_rows"), F.col("total_chars").alias("chars")),
+        totals.select(F.lit("target"), F.col("target_reached").cast("string"), "target", F.lit(None).cast("bigint")),
+        totals.select(F.lit("dedup"), none, "dedup.exact_dropped", "dedup.unique_kept"),
+        t.spark.read.json(f"{root}/_manifest/datasets").select(F.lit("dataset"), "dataset", "rows", "chars"),
+        t.spark.read.json(f"{root}/_manifest/shards").select(F.lit("shard"), F.col("shard").cast("string"), "rows", "chars"),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
+@query("merged_order", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place FROM documents")
+def merged_order(t: Tables):
+    """Place of every record in the merged files, read one after the other."""
+    root, out = scratch_dir(t.spark, "shards"), scratch_dir(t.spark, "merged")
+    sink.write_shards(records(t), root, ["arrival"], SHARD)
+    sink.merge_shards(t.spark, root, out, ["arrival"])
+    rows = t.spark.read.parquet(out).select("arrival", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    placed = running.row_number(rows, ["file", "row", "arrival"])
+    return placed.select(F.col("arrival").alias("doc_id"), F.col("position").alias("place"))
+
+
 @query(
     "dataset_totals",
     """SELECT 'given:' || source AS dataset, source AS dataset_name, min(lang) AS topic, count(*) AS n_rows, CAST(sum(n_chars) AS BIGINT) AS chars

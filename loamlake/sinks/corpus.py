@@ -2,34 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loamlake.operators.corpus import dataset_totals
 from loamlake.operators.running import assign_shards
-from loamlake.sources.shards import list_shards, next_shard
+from loamlake.sources.shards import KEYS, list_shards, next_shard, read_sidecar
 
 SHARD_CHARS = 100_000_000
 MERGED_FILE_BYTES = 1 << 30
 
 
-def write_shards(df: DataFrame, root: str, order: list[str], shard_chars: int = SHARD_CHARS) -> None:
-    """zstd parquet, one directory and one file per shard, numbered after what is there.
+def write_shards(df: DataFrame, root: str, order: list[str], shard_chars: int = SHARD_CHARS) -> dict:
+    """zstd parquet, one directory and one file per shard, numbered after what is there; returns rows and characters written.
 
     Records without a ``shard`` column are placed by their running characters.
+    The figures are observed while writing: nothing is read again.
     """
     first = next_shard(df.sparkSession, root)
     sharded = df if "shard" in df.columns else assign_shards(df, "char_count", order, shard_chars)
-    numbered = sharded.withColumn("shard", F.lpad((F.col("shard") + first).cast("string"), 5, "0"))
+    count = sharded.agg(F.coalesce(F.max("shard") + 1, F.lit(1))).first()[0]
+    seen = Observation()
+    figures = [F.count("*").alias("rows"), F.coalesce(F.sum("char_count"), F.lit(0)).alias("chars")]
     (
-        numbered.repartition("shard")
+        numbered(sharded, first).repartition(count, "shard")
         .sortWithinPartitions("shard", *order)
+        .observe(seen, *figures)
         .write.mode("append")
         .option("compression", "zstd")
         .option("parquet.compression.codec.zstd.level", "3")
         .partitionBy("shard")
         .parquet(root)
     )
+    return {"first": first, "shards": count, "rows": 0, "chars": 0, **seen.get}
+
+
+def numbered(df: DataFrame, first: int) -> DataFrame:
+    """``shard`` counted from ``first``, with five digits at least."""
+    return df.withColumn("shard", F.format_string("%05d", F.col("shard") + first))
+
+
+def write_sidecar(df: DataFrame, root: str, name: str, first: int, shards: int) -> None:
+    """One file per shard of ``df``, which has a ``shard`` counted from ``first``, beside the shards.
+
+    It is written after the shards, so a file that is there covers its shard.
+    """
+    numbered(df, first).repartition(shards, "shard").write.mode("append").partitionBy("shard").parquet(f"{root}/{name}")
 
 
 def manifest_totals(df: DataFrame, target: int | None = None) -> DataFrame:
@@ -44,19 +62,17 @@ def manifest_totals(df: DataFrame, target: int | None = None) -> DataFrame:
     )
 
 
-def write_manifest(spark: SparkSession, root: str, target: int | None = None, stats: DataFrame | None = None) -> None:
-    """JSON next to the shards: totals (with deduplication counts), per dataset, per shard.
+def write_manifest(spark: SparkSession, root: str, totals: DataFrame) -> None:
+    """JSON next to the shards: ``totals``, per dataset, per shard.
 
-    Rewritten from the shards themselves, so it can never disagree with them.
-    The lists grow with the data and are written as JSON lines, not as one document.
+    The lists come from the key sidecars, so no written text is read. They
+    grow with the data and are written as JSON lines, not as one document.
     """
-    written = spark.read.parquet(root)
-    totals = manifest_totals(written, target)
-    if stats is not None:
-        totals = totals.join(stats.select(F.struct(*stats.columns).alias("dedup"), F.lit(1).alias("_one")), F.col("_one") == 1).drop("_one")
     totals.coalesce(1).write.mode("overwrite").json(f"{root}/_manifest/totals")
-    dataset_totals(written).write.mode("overwrite").json(f"{root}/_manifest/datasets")
-    list_shards(spark, root).write.mode("overwrite").json(f"{root}/_manifest/shards")
+    index = read_sidecar(spark, root, KEYS)
+    dataset_totals(index).write.mode("overwrite").json(f"{root}/_manifest/datasets")
+    counts = index.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("char_count").alias("chars"))
+    list_shards(spark, root).join(counts, "shard", "left").write.mode("overwrite").json(f"{root}/_manifest/shards")
 
 
 def merge_shards(spark: SparkSession, root: str, out: str, order: list[str], files: int | None = None) -> int:

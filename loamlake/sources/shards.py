@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from loamlake.runtime import path_exists
 
-SHARD = r"/shard=(\d{5})/"
+SHARD = r"/shard=(\d{5,})/"
+# Sidecars: a key and its figures per record, and a bucket per record and band.
+KEYS, BANDS = "_keys", "_bands"
+KEY_SCHEMA = "_key string, char_count bigint, source string, dataset_id string, dataset_name string, topic string, shard int"
+BAND_SCHEMA = "bucket binary, shard int"
 
 
 def list_shards(spark: SparkSession, root: str) -> DataFrame:
@@ -31,6 +35,22 @@ def written_records(spark: SparkSession, root: str) -> DataFrame:
     return df.filter(F.col("text") != "")
 
 
+def read_sidecar(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Rows of a sidecar, with their ``shard``; none when there is no such sidecar."""
+    schema = {KEYS: KEY_SCHEMA, BANDS: BAND_SCHEMA}[name]
+    path = f"{root}/{name}"
+    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def without_sidecar(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """Records of the shards that have no sidecar, as a run leaves them that broke off, or None; no other shard is opened."""
+    have = list_shards(spark, f"{root}/{name}").select("shard").distinct() if path_exists(spark, f"{root}/{name}") else spark.createDataFrame([], "shard int")
+    lacking = list_shards(spark, root).select("shard").distinct().join(have, "shard", "left_anti")
+    if lacking.isEmpty():
+        return None
+    return spark.read.option("ignoreCorruptFiles", True).parquet(root).join(F.broadcast(lacking), "shard").filter(F.col("text") != "")
+
+
 def read_manifest(spark: SparkSession, root: str) -> DataFrame | None:
     """Latest totals row of a run, or None when there is no readable manifest."""
     if not path_exists(spark, f"{root}/_manifest/totals"):

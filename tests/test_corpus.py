@@ -1,13 +1,15 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from loamlake.operators import corpus as C
-from loamlake.operators import neardup, running
+from loamlake.operators import bitmap, neardup, running
 from loamlake.operators.skew import lookup
 from loamlake.plans import corpus as plan
 from loamlake.runtime import scratch_dir
+from loamlake.sinks import corpus as sink
 from loamlake.sources import shards
 
 
@@ -194,6 +196,40 @@ def test_run_resume_and_manifest(spark):
     assert listed == list(range(len(listed))) and shards.next_shard(spark, root) == len(listed)
 
 
+def test_resume_reads_sidecars_and_no_written_text(spark):
+    root = scratch_dir(spark, "test-sidecars")
+    texts = [f"text number {i} " + "word " * 60 for i in range(12)]
+    rules = {"order": ["arrival"], "script": ("A", "z"), "shard_chars": 1000, "fuzzy": True}
+    plan.run(spark, records(spark, texts[:8]), root, **rules)
+    for path in Path(root).glob("shard=*/*.parquet"):
+        path.write_bytes(b"not a parquet file")
+    plan.run(spark, records(spark, texts), root, resume=True, **rules)
+    index = shards.read_sidecar(spark, root, shards.KEYS)
+    assert index.count() == index.select("_key").distinct().count() and index.count() == shards.read_manifest(spark, root).first().total_rows
+    plan.run(spark, records(spark, texts), root, resume=True, **rules)  # nothing is new
+    assert shards.read_sidecar(spark, root, shards.KEYS).count() == index.count()
+
+
+def test_resume_after_a_run_that_broke_off(spark):
+    """Shards without sidecars, as a run leaves them that ended between the two."""
+    root = scratch_dir(spark, "test-broken")
+    texts = [f"text number {i} " + "word " * 60 for i in range(12)]
+    sink.write_shards(records(spark, texts[:5]), root, ["arrival"], 1000)
+    plan.run(spark, records(spark, texts), root, order=["arrival"], script=("A", "z"), shard_chars=1000, resume=True)
+    assert sorted(int(r.doc_id) for r in shards.written_records(spark, root).collect()) == list(range(12))
+    assert shards.read_manifest(spark, root).first().total_rows == 12
+
+
+def test_bitmaps_lose_no_key(spark):
+    keys = spark.range(0, 3000, 3).select(F.md5(F.col("id").cast("string")).alias("k"))
+    rows = spark.range(3000).select("id", F.md5(F.col("id").cast("string")).alias("k"))
+    bits = bitmap.bits_for(1000)
+    marked = bitmap.maybe_in(rows, "k", bitmap.bitmaps(keys, "k", bits), bits)
+    maybe = {r.id for r in marked.filter("_maybe").collect()}
+    assert set(range(0, 3000, 3)) <= maybe and len(maybe) < 1400
+    assert {r.id for r in bitmap.left_anti(rows, keys, "k", 1000).collect()} == set(range(3000)) - set(range(0, 3000, 3))
+
+
 def test_fuzzy_run(spark):
     rng = random.Random(9)
     base = ["".join(rng.choices("abcdefghij klmnop", k=2000)) for _ in range(10)]
