@@ -190,16 +190,6 @@ def _open(shared: DataFrame, ids: DataFrame) -> DataFrame:
     return cut_lineage(_shared(cut_lineage(shared.select("id", "bucket").join(ids, "id", "left_semi"))))
 
 
-def near_dropped(texts: DataFrame, order: str, written: DataFrame | None = None, **rules) -> DataFrame:
-    """``order`` of the texts near an earlier kept one or near any already written text.
-
-    ``texts`` and ``written`` hold ``text``; exact copies must be gone.
-    """
-    rows = cut_lineage(bucket_rows(texts, order, **rules))
-    taken = None if written is None else written.filter(F.col("text") != "").select(F.explode(band_buckets(F.col("text"), **rules)).alias("bucket"))
-    return near_rows(rows, taken).select(F.col("id").alias(order))
-
-
 def near_rows(rows: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """Ids of (id, bucket) that are dropped: those with a bucket of ``taken``, then by keep-first. ``rows`` should be cheap to read again."""
     if taken is None:
@@ -209,7 +199,14 @@ def near_rows(rows: DataFrame, taken: DataFrame | None = None) -> DataFrame:
 
 
 def near_dedup(df: DataFrame, order: str = "doc_id", written: DataFrame | None = None, **rules) -> DataFrame:
-    """Exact copies go first; then texts near an earlier kept one. ``order`` must identify a text."""
+    """Exact copies go first; then texts near an earlier kept one or any text of ``written``. ``order`` must identify a text.
+
+    Signatures are taken where texts are read, those of copies too, so no text is shuffled.
+    """
     unique = cut_lineage(first_rows(df, dedup_key(F.col("text")), (order,)))
-    dropped = near_dropped(df.select(order, "text").join(unique, order, "left_semi"), order, written, **rules)
+    signed = cut_lineage(df.select(F.col(order).alias("id"), band_buckets(F.col("text"), **rules).alias("buckets")))
+    first = signed.join(unique.withColumnRenamed(order, "id"), "id", "left_semi")
+    rows = cut_lineage(first.select("id", F.explode("buckets").alias("bucket")))
+    taken = None if written is None else written.filter(F.col("text") != "").select(F.explode(band_buckets(F.col("text"), **rules)).alias("bucket"))
+    dropped = near_rows(rows, taken).select(F.col("id").alias(order))
     return df.join(unique.join(dropped, order, "left_anti"), order, "left_semi")
