@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 
 from loamlake.runtime import cut_lineage
 
+TOGETHER = 1 << 20
+
 
 def leaving(starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """For each of the sorted ``starts``: the sum at which a chain that begins there leaves them, and its steps until then."""
@@ -37,10 +39,11 @@ def leaving(starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         last[inside], steps[inside], after[inside] = last[to], steps[inside] + steps[to], after[to]
 
 
-def restarting(sums: DataFrame, order: Sequence[str], size: int) -> DataFrame:
+def restarting(sums: DataFrame, order: Sequence[str], size: int, together: int = TOGETHER) -> DataFrame:
     """``order`` + ``shard`` of ``sums`` (order, slice, value, before), which should be cheap to read again.
 
-    Shards count from 0. Rows without a size go with the record after them.
+    Shards count from 0. Rows without a size go with the record after them. Up to ``together`` possible
+    first beginnings are followed by one task, more by pointer doubling.
     """
 
     def entries(slice_: pd.DataFrame) -> pd.DataFrame:
@@ -56,7 +59,8 @@ def restarting(sums: DataFrame, order: Sequence[str], size: int) -> DataFrame:
         sized = sums.filter("value > 0").select("slice", "before")
         found = cut_lineage(sized.groupBy("slice").applyInPandas(entries, "slice int, entry bigint, out bigint, steps bigint"), "entries")
         # What a slice begins with: the next shard's number and the sum at which it begins.
-        met = parts.join(_chain(found).select("slice", "number", "out", "steps"), "slice", "left")
+        chain = _walk(found) if found.count() <= together else _chain(found)
+        met = parts.join(chain.select("slice", "number", "out", "steps"), "slice", "left")
         earlier = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
         state = met.select(
             "slice",
@@ -78,6 +82,22 @@ def restarting(sums: DataFrame, order: Sequence[str], size: int) -> DataFrame:
     return sums.join(F.broadcast(state), "slice").groupBy("slice").applyInArrow(numbered, made)
 
 
+def _walk(found: DataFrame) -> DataFrame:
+    """As ``_chain``, by one task that goes from slice to slice."""
+
+    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("entry")
+        entry, out, steps = (rows[c].to_numpy(np.int64) for c in ("entry", "out", "steps"))
+        to, at, number, met, numbers = np.searchsorted(entry, out), 0, 0, [], []
+        while at < len(entry):
+            met.append(at)
+            numbers.append(number)
+            at, number = int(to[at]), number + int(steps[at])
+        return rows.iloc[met].assign(number=numbers)[["slice", "number", "out", "steps"]]
+
+    return found.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(follow, "slice int, number bigint, out bigint, steps bigint")
+
+
 def _chain(found: DataFrame) -> DataFrame:
     """slice, number, out, steps of the entries that the chain from the least one meets; ``number`` counts beginnings before."""
     # The least entry at or after each sum where a chain leaves: entries and sums in one order.

@@ -81,8 +81,8 @@ def assign_shards(df: DataFrame, size: str, order: Sequence[str], shard_size: in
     return df.join(budgeted_shards(df, size, order, None, shard_size), list(order))
 
 
-def budgeted_shards(thin: DataFrame, size: str, order: Sequence[str], target: int | None, shard_size: int, *, slices: int | None = None) -> DataFrame:
+def budgeted_shards(thin: DataFrame, size: str, order: Sequence[str], target: int | None, shard_size: int, *, slices: int | None = None, **rules) -> DataFrame:
     """``order`` + ``shard`` of the rows within the budget: both follow from one running sum."""
     sums = running_sum(thin, F.col(size), order, slices=slices, keep_slice=True)
     kept = sums if target is None else sums.filter(F.col("before") < target)
-    return restarting(cut_lineage(kept, "sums"), order, shard_size)
+    return restarting(cut_lineage(kept, "sums"), order, shard_size, **rules)

@@ -71,8 +71,8 @@ def test_restarting_count_equals_a_loop(spark, full, largest):
     rng = random.Random(full)
     sizes = [rng.choice([0, 0, rng.randint(0, largest)]) for _ in range(700)] + [0, 0]
     df = spark.createDataFrame([(i, "k", n) for i, n in enumerate(sizes)], "o bigint, p string, n bigint").repartition(6)
-    for slices in (1, 9):
-        placed = running.budgeted_shards(df, "n", ["o", "p"], None, full, slices=slices)
+    for slices, together in ((1, 0), (9, 0), (9, 1 << 20)):
+        placed = running.budgeted_shards(df, "n", ["o", "p"], None, full, slices=slices, together=together)
         assert [r.shard for r in sorted(placed.collect())] == shards_by_loop(sizes, full)
 
 
