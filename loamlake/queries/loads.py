@@ -12,7 +12,7 @@ from loamlake.runtime import is_folder, scratch_dir
 from loamlake.sinks import documents
 from loamlake.sinks import tables as K
 from loamlake.sources import tables as S
-from loamlake.streaming import jobs
+from loamlake.streaming import jobs, stateful
 
 AT, LATER, LATEST = "2024-03-01T08:00:00", "2024-03-02T08:00:00", "2024-03-03T08:00:00"
 ORDER_TYPES = {
@@ -224,13 +224,20 @@ def stream_append(t: Tables):
     return t.spark.read.parquet(out)
 
 
-@query("stream_dedup", f"SELECT DISTINCT {key_sql('text')} AS text_key FROM documents")
+@query("stream_dedup", f"SELECT min(doc_id) AS doc_id, {key_sql('text')} AS text_key FROM documents GROUP BY 2")
 def stream_dedup(t: Tables):
-    from loamlake.functions.text import dedup_key
-
-    out, checkpoint = scratch_dir(t.spark, "out"), scratch_dir(t.spark, "checkpoint")
-    jobs.append_new_files(jobs.dedup_stream(stream(t, "documents")).select("doc_id", "text"), out, checkpoint).awaitTermination()
-    return t.spark.read.parquet(out).select(dedup_key(F.col("text")).alias("text_key"))
+    """Documents arrive out of order, a file a batch; the earliest of all copies is kept."""
+    folder, out, checkpoint = (scratch_dir(t.spark, n) for n in ("documents", "out", "checkpoint"))
+    ts = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id"))
+    timed = t.documents.select("doc_id", "text", ts.alias("ts"))
+    timed.repartition(4, F.xxhash64("doc_id")).write.parquet(folder)
+    # A record far ahead moves the watermark past all others.
+    last = t.spark.range(1).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.to_timestamp(F.lit("2099-01-01")).alias("ts"))
+    last.coalesce(1).write.mode("append").parquet(folder)
+    arriving = t.spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    kept = stateful.first_copies(arriving, late="400 days")
+    jobs.append_new_files(kept, out, checkpoint).awaitTermination()
+    return t.spark.read.parquet(out).select(F.col("place").alias("doc_id"), F.col("key").alias("text_key"))
 
 
 @query(
@@ -267,8 +274,8 @@ def stream_publish(t: Tables):
 
 @query(
     "failure_limiter",
-    """WITH RECURSIVE a AS (SELECT CAST(user_id AS VARCHAR) AS k, event_id, ts, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
- FROM events WHERE event_type IN ('error', 'purchase')),
+    """WITH RECURSIVE e AS (SELECT CASE WHEN user_id % 3 = 0 THEN 'shared' ELSE CAST(user_id AS VARCHAR) END AS k, event_id, ts, event_type = 'error' AS failed FROM events WHERE event_type IN ('error', 'purchase')),
+a AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts, event_id) AS n FROM e),
 w AS (SELECT k, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, false AS failed, true AS allowed, CAST(0 AS BIGINT) AS retry_after, 0 AS cnt, CAST(NULL AS TIMESTAMP) AS opened FROM (SELECT DISTINCT k FROM a)
  UNION ALL SELECT k, n, event_id, failed, c < 3, CASE WHEN c >= 3 THEN greatest(1, CAST(ceil(date_diff('microsecond', ts, o + INTERVAL 240 HOUR) / 1000000.0) AS BIGINT)) ELSE 0 END,
   CASE WHEN c >= 3 THEN c WHEN NOT failed THEN 0 ELSE c + 1 END, CASE WHEN c >= 3 THEN o WHEN NOT failed THEN NULL WHEN o IS NULL THEN ts ELSE o END
@@ -277,14 +284,21 @@ w AS (SELECT k, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, false
 SELECT k AS "key", event_id, failed, allowed, retry_after FROM w WHERE n > 0""",
 )
 def failure_limiter(t: Tables):
-    """Errors are failed attempts, purchases successful ones; three failures close a key for ten days."""
-    out, checkpoint = scratch_dir(t.spark, "out"), scratch_dir(t.spark, "checkpoint")
-    attempts = stream(t, "events").filter("event_type IN ('error', 'purchase')").select(
-        F.col("user_id").cast("string").alias("key"),
-        "event_id",
-        F.col("ts").cast("timestamp").alias("ts"),
-        (F.col("event_type") == "error").alias("failed"),
+    """Errors are failed attempts, purchases successful ones; three failures close a key for ten days.
+
+    A third of all attempts has one key; they arrive in six batches, one after another in time.
+    """
+    folder, out, checkpoint = (scratch_dir(t.spark, n) for n in ("attempts", "out", "checkpoint"))
+    key = F.when(F.col("user_id") % 3 == 0, F.lit("shared")).otherwise(F.col("user_id").cast("string"))
+    attempts = t.events.filter("event_type IN ('error', 'purchase')").select(
+        key.alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed")
     )
-    limited = jobs.limit_failures(attempts, max_failures=3, window_seconds=240 * 3600)
-    jobs.append_new_files(limited, out, checkpoint).awaitTermination()
+    for part in range(6):
+        days = F.least(F.floor((F.dayofmonth("ts") - 1) / 6), F.lit(5))
+        attempts.filter(days == part).write.mode("append").parquet(f"{folder}/part={part}")
+    schema = "key string, event_id bigint, ts timestamp, failed boolean"
+    for part in range(6):  # a run a part: the next begins where the last left its state
+        arriving = t.spark.readStream.schema(schema).parquet(f"{folder}/part=[0-{part}]")
+        limited = stateful.limit_failures(arriving, max_failures=3, window_seconds=240 * 3600)
+        jobs.append_new_files(limited, out, checkpoint).awaitTermination()
     return t.spark.read.parquet(out).select("key", "event_id", "failed", "allowed", "retry_after")

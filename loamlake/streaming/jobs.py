@@ -1,15 +1,13 @@
-"""Structured Streaming jobs: file watch, incremental load, deduplication, change-only publishing, limiter."""
+"""Structured Streaming jobs: file watch, incremental load, deduplication, change-only publishing."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from datetime import datetime, timezone
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loamlake.functions.text import dedup_key
 from loamlake.functions.types import all_strings, typed
@@ -109,66 +107,3 @@ def publish_changes(changes: DataFrame, derive, table: str, checkpoint: str) ->
         publish_if_changed(derive(batch), table)
 
     return changes.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-# -- failure limiter --------------------------------------------------------
-
-DECISIONS = "key string, event_id bigint, ts timestamp, failed boolean, allowed boolean, retry_after bigint"
-
-
-def decide_attempts(
-    attempts: pd.DataFrame, count: int, opened: pd.Timestamp | None, max_failures: int, window: pd.Timedelta
-) -> tuple[pd.DataFrame, int, pd.Timestamp | None]:
-    """Decisions for one key's attempts in time order, and the state after them.
-
-    The window opens at the first failure and stays fixed. At ``max_failures``
-    further attempts are refused until it has passed; a refused attempt counts
-    as nothing, an allowed success forgets the failures.
-    """
-    allowed, retry = [], []
-    for now, failed in zip(attempts["ts"], attempts["failed"]):
-        if opened is not None and now - opened > window:
-            count, opened = 0, None
-        if count >= max_failures:
-            left = (opened + window - now) / pd.Timedelta(seconds=1)
-            allowed.append(False)
-            retry.append(max(1, int(-(-left // 1))))
-            continue
-        allowed.append(True)
-        retry.append(0)
-        if not failed:
-            count, opened = 0, None
-        elif opened is None:
-            count, opened = 1, now
-        else:
-            count += 1
-    return attempts.assign(allowed=allowed, retry_after=retry), count, opened
-
-
-def limit_failures(stream: DataFrame, *, max_failures: int = 5, window_seconds: int = 900, sweep: bool = False) -> DataFrame:
-    """Decision per attempt of a stream (key, event_id, ts, failed).
-
-    Every attempt is decided, late ones too: no watermark drops any. State is two numbers
-    for each key whose last attempts failed. ``sweep`` forgets a key once no attempt came for as long as
-    the window by the clock; it is for queries that run on, as its timer keeps a run over available files from ending.
-    """
-    window = pd.Timedelta(seconds=window_seconds)
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if sweep else GroupStateTimeout.NoTimeout
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        count, opened_us = state.get if state.exists else (0, None)
-        opened = None if opened_us is None else pd.Timestamp(opened_us, unit="us")
-        attempts = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        decided, count, opened = decide_attempts(attempts, count, opened, max_failures, window)
-        if opened is None:
-            state.remove() if state.exists else None
-        else:
-            state.update((count, opened.value // 1000))
-            if sweep:
-                state.setTimeoutDuration(window_seconds * 1000)
-        yield decided[["key", "event_id", "ts", "failed", "allowed", "retry_after"]]
-
-    return stream.groupBy("key").applyInPandasWithState(step, DECISIONS, "count int, opened_us bigint", "append", timeout)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loamlake.runtime import scratch_dir
 from loamlake.sinks import tables as K
-from loamlake.streaming import jobs
+from loamlake.streaming import jobs, stateful
 
 
 def brute_limiter(attempts, limit, window):
@@ -38,11 +38,24 @@ def test_limiter_over_several_batches(spark):
         rows = [(k, i, datetime.fromtimestamp(t), f) for k, i, t, f in attempts[part * 300 : part * 300 + 300]]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
         stream = spark.readStream.schema(schema).parquet(folder)
-        jobs.append_new_files(jobs.limit_failures(stream, max_failures=3, window_seconds=300), out, checkpoint).awaitTermination()
+        jobs.append_new_files(stateful.limit_failures(stream, max_failures=3, window_seconds=300), out, checkpoint).awaitTermination()
     got = {r.event_id: r.allowed for r in spark.read.parquet(out).collect()}
     assert got == brute_limiter(attempts, 3, 300)
 
 
+def test_first_copies_whatever_the_order_of_arrival(spark):
+    """The least time wins although it comes last; a copy behind the watermark is dropped; a forgotten key may come again."""
+    folder, out, checkpoint = (scratch_dir(spark, n) for n in ("docs", "out", "checkpoint"))
+    at = lambda s: datetime.fromtimestamp(1_700_000_000 + s)
+    batches = [[(5, "a  b", at(50)), (9, "c", at(90))], [(1, "A B", at(10)), (7, "c", at(90))], [(100, "x", at(1000))], [(103, "z", at(1001))], [(2, "a b", at(5)), (101, "C", at(1010))], [(102, "y", at(9000))]]
+    schema = "doc_id bigint, text string, ts timestamp"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    jobs.append_new_files(stateful.first_copies(stream, late="100 seconds", forget_seconds=600), out, checkpoint).awaitTermination()
+    assert sorted(r.place for r in spark.read.parquet(out).collect()) == [1, 7, 100, 101, 103]
+
+
 def test_watch_reads_new_files_once(spark, tmp_path):
     folder, root, checkpoint = str(tmp_path), scratch_dir(spark, "raw"), scratch_dir(spark, "checkpoint")
     declared = {"extract_a": {"n": "int", "s": "string"}}
