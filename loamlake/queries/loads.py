@@ -11,6 +11,7 @@ from loamlake.queries.corpus import key_sql
 from loamlake.runtime import is_folder, scratch_dir
 from loamlake.sinks import documents
 from loamlake.sinks import tables as K
+from loamlake.sinks.folders import append_run, refresh
 from loamlake.sources import tables as S
 from loamlake.streaming import jobs, stateful
 
@@ -33,7 +34,7 @@ def staged_load(t: Tables):
     documents.write_csv(t.orders, folder)
     staged = S.read_staged(t.spark, folder, list(ORDER_TYPES))
     ingest.load_staged(staged, ORDER_TYPES, target, source_key="erp", source_table="sales.orders", at=AT)
-    return K.read_table(t.spark, target).drop("_run_id")
+    return t.spark.read.parquet(target).drop("_run_id")
 
 
 @query("full_refresh", "SELECT event_id, event_type FROM events WHERE event_type <> 'error'")
@@ -41,9 +42,9 @@ def full_refresh(t: Tables):
     """The second load replaces the first."""
     target = scratch_dir(t.spark, "raw")
     rows = t.events.select("event_id", "event_type")
-    K.write_table(rows.filter("event_type = 'error'"), target, at=AT)
-    K.write_table(rows.filter("event_type <> 'error'"), target, at=LATER)
-    return K.read_table(t.spark, target)
+    refresh(rows.filter("event_type = 'error'"), target)
+    refresh(rows.filter("event_type <> 'error'"), target)
+    return t.spark.read.parquet(target)
 
 
 @query("incremental_append", "SELECT o_orderkey, o_orderdate, CASE WHEN o_orderdate <= TIMESTAMP '1998-01-01' THEN 1 ELSE 2 END AS load FROM orders")
@@ -52,11 +53,12 @@ def incremental_append(t: Tables):
     target = scratch_dir(t.spark, "raw")
     rows = t.orders.select("o_orderkey", "o_orderdate")
     first = rows.filter(F.col("o_orderdate") <= F.lit("1998-01-01").cast("timestamp_ntz"))
-    K.write_table(first.withColumn("load", F.lit(1)), target, at=AT)
-    mark = S.next_mark(K.read_table(t.spark, target), "o_orderdate").first().mark
-    newer = S.newer_than(rows, "o_orderdate", mark, "timestamp")
-    K.write_table(newer.withColumn("load", F.lit(2)), target, operation="append", at=LATER)
-    return K.read_table(t.spark, target)
+    append_run(first.withColumn("load", F.lit(1)), target, "run-1")
+    mark = S.next_mark(t.spark.read.parquet(target), "o_orderdate").first().mark
+    newer = S.newer_than(rows, "o_orderdate", mark, "timestamp").withColumn("load", F.lit(2))
+    for _ in range(2):  # the same run again replaces its own rows
+        append_run(newer, target, "run-2")
+    return t.spark.read.parquet(target).drop("_run_id")
 
 
 @query("incremental_batch", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 700")
@@ -168,12 +170,18 @@ def registry_load(t: Tables):
     "registry_reload",
     """WITH h AS (SELECT max(o_orderkey) AS top, max(o_orderkey) // 2 AS half FROM orders)
 SELECT 1 AS run, 'orders' AS table_name, 'succeeded' AS status, (SELECT count(*) FROM orders, h WHERE o_orderkey <= half) AS rows_written, (SELECT CAST(max(o_orderkey) AS VARCHAR) FROM orders, h WHERE o_orderkey <= half) AS mark
-UNION ALL SELECT 2, 'orders', 'succeeded', (SELECT count(*) FROM orders, h WHERE o_orderkey > half), (SELECT CAST(top AS VARCHAR) FROM h)
-UNION ALL SELECT 3, 'orders', 'succeeded', 0, (SELECT CAST(top AS VARCHAR) FROM h)
-UNION ALL SELECT 4, 'orders', 'in target', count(*), NULL FROM orders""",
+UNION ALL SELECT 3, 'orders', 'skipped', NULL, NULL
+UNION ALL SELECT 4, 'orders', 'succeeded', (SELECT count(*) FROM orders, h WHERE o_orderkey > half), (SELECT CAST(top AS VARCHAR) FROM h)
+UNION ALL SELECT 5, 'orders', 'succeeded', 0, (SELECT CAST(top AS VARCHAR) FROM h)
+UNION ALL SELECT 6, 'orders', 'abandoned', 1, (SELECT CAST(max(o_orderkey) AS VARCHAR) FROM orders, h WHERE o_orderkey <= half)
+UNION ALL SELECT 7, 'orders', 'in target', count(*), NULL FROM orders""",
 )
 def registry_reload(t: Tables):
-    """Three runs that know each other by the run log alone: half the table, the rest, nothing."""
+    """Runs that know each other by the run log and their claims alone.
+
+    The first loads half the table, the second is killed, the third comes too early, the fourth comes after the
+    claim's age, closes the second and loads the rest, the fifth finds nothing.
+    """
     listed = t.spark.createDataFrame(
         [("orders", "db.example.org", True, True, "incremental", "o_orderkey")],
         "table_name string, host string, has_registry boolean, source_active boolean, load_mode string, incremental_column string",
@@ -181,14 +189,28 @@ def registry_reload(t: Tables):
     registry = t.spark.createDataFrame([("orders", "o_orderkey", "public", 0), ("orders", "o_custkey", "public", 0)], "table_name string, column_name string, classification string, secret_level int")
     half = t.orders.agg(F.floor(F.max("o_orderkey") / 2).alias("half"))
     root, log = scratch_dir(t.spark, "lake"), scratch_dir(t.spark, "runs")
+
+    class Killed(BaseException):
+        pass
+
+    def killed(name, columns):
+        raise Killed
+
     out = None
-    for run in (1, 2, 3):
+    for run, hour in ((1, 0), (2, 1), (3, 2), (4, 8), (5, 9)):
         there = t.orders.filter(F.col("o_orderkey") <= half.scalar()) if run == 1 else t.orders
-        job = ingest.Job(root=root, source_key="erp", read=lambda name, columns, df=there: df.select(*columns), at=AT, allowed=["db.example.org"], log=log)
-        made = ingest.load_all(t.spark, job, listed, registry).select(F.lit(run).alias("run"), "table_name", "status", "rows_written", "mark")
+        read = killed if run == 2 else lambda name, columns, df=there: df.select(*columns)
+        job = ingest.Job(root=root, source_key="erp", read=read, at=AT, allowed=["db.example.org"], log=log, now=lambda hour=hour: 3600.0 * hour)
+        try:
+            made = ingest.load_all(t.spark, job, listed, registry).select(F.lit(run).alias("run"), "table_name", "status", "rows_written", "mark")
+        except Killed:
+            continue
         out = made if out is None else out.unionByName(made)
-    loaded = K.read_table(t.spark, f"{root}/raw/orders").agg(F.count("*").alias("rows_written"))
-    return out.unionByName(loaded.select(F.lit(4).alias("run"), F.lit("orders").alias("table_name"), F.lit("in target").alias("status"), "rows_written", F.lit(None).cast("string").alias("mark")))
+    log_rows = t.spark.read.parquet(log)
+    closed = log_rows.filter("status = 'failed' AND error_message LIKE 'abandoned%'").groupBy("mark").agg(F.count("*").alias("rows_written"))
+    loaded = t.spark.read.parquet(f"{root}/raw/orders").agg(F.count("*").alias("rows_written")).withColumn("mark", F.lit(None).cast("string"))
+    label = lambda df, run, status: df.select(F.lit(run).alias("run"), F.lit("orders").alias("table_name"), F.lit(status).alias("status"), "rows_written", "mark")
+    return out.unionByName(label(closed, 6, "abandoned")).unionByName(label(loaded, 7, "in target"))
 
 
 @query("changed_only", "SELECT n_nationkey, n_name, CAST(2 AS BIGINT) AS versions FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")

@@ -1,10 +1,12 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
 from loamlake.functions.types import spark_type, split_castable, typed
 from loamlake.plans import ingest
-from loamlake.runtime import scratch_dir
-from loamlake.sinks import documents
+from loamlake.runtime import path_exists, scratch_dir
+from loamlake.sinks import documents, folders
 from loamlake.sinks import tables as K
 from loamlake.sources import tables as S
 from loamlake.streaming import jobs
@@ -92,13 +94,13 @@ def test_synthetic_source_load(spark):
     assert all(r.skip_reason for r in runs.values() if r.status == "skipped")
     assert (runs["hr.employee"].columns_selected, runs["hr.employee"].rows_written) == (6, 5000)
     assert runs["academic.enrollment"].mark == "60000"
-    employee = K.read_table(spark, f"{job.root}/raw/employee")
+    employee = spark.read.parquet(f"{job.root}/raw/employee")
     assert set(K.without_audit(employee).columns) == {"employee_id", "department_id", "position_id", "employment_type", "start_date", "is_active"}
     assert set(K.AUDIT) <= set(employee.columns)
     again = ingest.Job(**{**job.__dict__, "at": DAY[1], "marks": {"academic.enrollment": "60000"}})
     second = {r.table_name: r for r in ingest.load_all(spark, again, listed, registry).collect()}
     assert (second["academic.enrollment"].rows_written, second["academic.enrollment"].mark) == (0, "60000")
-    assert K.read_table(spark, f"{job.root}/raw/enrollment").count() == 60000
+    assert spark.read.parquet(f"{job.root}/raw/enrollment").count() == 60000
 
 
 def test_bad_value_fails_the_load(spark):
@@ -106,8 +108,62 @@ def test_bad_value_fails_the_load(spark):
     target = scratch_dir(spark, "raw")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         ingest.load_staged(staged, {"a": "integer"}, target, source_key="s", source_table="t", at=DAY[0])
-    assert K.latest_version(spark, target) is None
-    assert ingest.load_routed(staged, {"a": "int"}, target, scratch_dir(spark, "rejected"), DAY[0]) == (0, 1)
+    assert not path_exists(spark, target)
+    assert ingest.load_routed(staged, {"a": "int"}, target, scratch_dir(spark, "rejected")) == (0, 1)
+
+
+class Killed(BaseException):
+    pass
+
+
+def orders_job(spark, log, root, df, hour, **more):
+    listed = spark.createDataFrame([("o", "h", True, True, "incremental", "k")], "table_name string, host string, has_registry boolean, source_active boolean, load_mode string, incremental_column string")
+    registry = spark.createDataFrame([("o", "k", "public", 0)], "table_name string, column_name string, classification string, secret_level int")
+    job = ingest.Job(root=root, source_key="s", read=lambda n, c: df.select(*c), at=DAY[0], allowed=["h"], log=log, now=lambda: 3600.0 * hour, **more)
+    return ingest.load_all(spark, job, listed, registry).first()
+
+
+def test_a_run_killed_after_its_write_is_not_loaded_twice(spark, monkeypatch):
+    log, root = scratch_dir(spark, "runs"), scratch_dir(spark, "lake")
+    df = spark.range(10).withColumnRenamed("id", "k")
+    noted = ingest.note
+
+    def killed(spark, job, row):
+        if row[2] == "succeeded":
+            raise Killed
+        noted(spark, job, row)
+
+    monkeypatch.setattr(ingest, "note", killed)
+    with pytest.raises(Killed):
+        orders_job(spark, log, root, df, 0)
+    monkeypatch.setattr(ingest, "note", noted)
+    assert orders_job(spark, log, root, df, 5).status == "skipped"
+    after = orders_job(spark, log, root, spark.range(12).withColumnRenamed("id", "k"), 7)
+    assert (after.status, after.rows_written, after.mark) == ("succeeded", 2, "11")
+    assert sorted(r.k for r in spark.read.parquet(f"{root}/raw/o").collect()) == list(range(12))
+
+
+def test_of_two_claims_one_wins(spark):
+    folder = scratch_dir(spark, "claims")
+    with ThreadPoolExecutor(8) as pool:
+        put = list(pool.map(lambda i: folders.put_if_absent(spark, f"{folder}/t", f"run-{i}"), range(8)))
+    assert put.count(True) == 1 and folders.read_small(spark, f"{folder}/t") == f"run-{put.index(True)}"
+    moved = [folders.rename(spark, f"{folder}/t", f"{folder}/t.old") for _ in range(2)]
+    assert moved == [True, False]
+
+
+def test_a_broken_swap_leaves_the_old_contents(spark, monkeypatch):
+    target = scratch_dir(spark, "swap")
+    folders.refresh(rows(spark, 1), target)
+    renamed = folders.rename
+    monkeypatch.setattr(folders, "rename", lambda s, old, new: False if new == target and "/." in old else renamed(s, old, new))
+    with pytest.raises(OSError):
+        folders.refresh(rows(spark, 2), target)
+    assert ns(spark.read.parquet(target)) == [1]
+    monkeypatch.setattr(folders, "rename", renamed)
+    folders.rename(spark, target, target + folders.ASIDE)  # as a crash between the two moves leaves it
+    folders.settle(spark, target)
+    assert ns(spark.read.parquet(target)) == [1] and folders.refresh(rows(spark, 3, 4), target) == 2
 
 
 def test_catalogue_is_refused_with_forbidden_word(spark):
