@@ -50,18 +50,23 @@ def denied_hosts(hosts: DataFrame, denylist: DataFrame) -> DataFrame:
 def forbidden_targets(df: DataFrame, text: str, denied: Sequence[str], report: int | None = None) -> DataFrame:
     """Distinct connection targets per denied entry, credentials masked; all of them, or the first ``report``.
 
-    Only the target is reported, never the text around it. Texts are read once
-    for all entries, and each task keeps no more than the report needs.
+    Only the target is reported, up to the entry's last place in it, never the text around it. One pattern
+    finds the candidates, whatever the number of entries; a candidate's pieces as long as some entry then meet
+    the entries by equality. A target inside another one is a candidate too.
     """
-    found = [
-        F.struct(
-            F.lit(entry).alias("entry"),
-            F.regexp_extract_all(F.col(text), F.lit(rf"(?i){TARGET_PREFIX}[A-Za-z0-9._-]*\Q{entry}\E"), 0).alias("targets"),
-        )
-        for entry in denied
-    ]
-    hits = df.select(F.inline(F.array(*found))).select("entry", F.explode("targets").alias("target"))
-    masked = hits.select("entry", redact_credentials(F.col("target")).alias("target")).distinct()
+    spark = df.sparkSession
+    entries = spark.createDataFrame([(e, e.lower()) for e in dict.fromkeys(denied)], "entry string, _piece string")
+    sizes = F.array(*[F.lit(n) for n in sorted({len(e) for e in denied})])
+    found = F.regexp_extract_all(F.col(text), F.lit(rf"(?i)(?=({TARGET_PREFIX.replace('(', '(?:', 1)}[A-Za-z0-9._-]*))"), 1)
+    # Few different targets, however many texts hold them.
+    targets = df.select(F.explode(F.array_distinct(found)).alias("_found")).distinct()
+    parted = targets.withColumn("_host", F.regexp_replace("_found", rf"(?i)^{TARGET_PREFIX}", ""))
+    sized = parted.withColumn("_size", F.explode(sizes)).filter(F.length("_host") >= F.col("_size"))
+    pieces = F.expr("transform(sequence(0, length(_host) - _size), i -> lower(substring(_host, i + 1, _size)))")
+    met = sized.select("_found", "_host", "_size", F.posexplode(pieces).alias("_at", "_piece")).join(entries, "_piece")
+    last = met.groupBy("entry", "_found", "_host", "_size").agg(F.max("_at").alias("_at"))
+    upto = F.expr("left(_found, length(_found) - length(_host) + _at + _size)")
+    masked = last.select("entry", redact_credentials(upto).alias("target")).distinct()
     if report is None:
         return masked
     nth = F.row_number().over(Window.partitionBy("entry").orderBy("target"))

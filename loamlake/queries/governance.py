@@ -229,13 +229,17 @@ def denied_by_suffix(t: Tables):
 
 @query(
     "forbidden_targets",
-    r"""WITH m AS (SELECT 'example.net' AS entry, unnest(regexp_extract_all(html || ' ' || url, '(?i)(://|[Hh]ost=|[Ss]erver=|[Dd]ata [Ss]ource=|jdbc:[a-z]+:)[A-Za-z0-9._-]*example\.net', 0)) AS target FROM pages
-UNION ALL SELECT 'example.org', unnest(regexp_extract_all(html || ' ' || url, '(?i)(://|[Hh]ost=|[Ss]erver=|[Dd]ata [Ss]ource=|jdbc:[a-z]+:)[A-Za-z0-9._-]*example\.org', 0)) FROM pages),
-d AS (SELECT DISTINCT entry, target FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY target) AS n FROM d) SELECT entry, target FROM r WHERE n <= 20""",
+    r"""WITH e AS (SELECT unnest(['example.net', 'Example.org']) AS entry UNION ALL SELECT 'site' || i || '.example' || CASE WHEN i % 2 = 0 THEN '.com' ELSE '' END FROM range(998) r(i)),
+c AS (SELECT DISTINCT unnest(regexp_extract_all(html || ' ' || url, '(?i)(://|[Hh]ost=|[Ss]erver=|[Dd]ata [Ss]ource=|jdbc:[a-z]+:)[A-Za-z0-9._-]*', 0)) AS found FROM pages)
+SELECT DISTINCT entry, regexp_extract(found, '(?i)^(://|[Hh]ost=|[Ss]erver=|[Dd]ata [Ss]ource=|jdbc:[a-z]+:)[A-Za-z0-9._-]*' || replace(entry, '.', '\.')) AS target
+FROM c JOIN e ON contains(lower(found), lower(entry))
+WHERE regexp_matches(found, '(?i)^(://|[Hh]ost=|[Ss]erver=|[Dd]ata [Ss]ource=|jdbc:[a-z]+:)[A-Za-z0-9._-]*' || replace(entry, '.', '\.'))""",
 )
 def forbidden_targets(t: Tables):
+    """A list of a thousand entries, of which the pages hold a few."""
     page = t.pages.select(F.concat_ws(" ", "html", "url").alias("page"))
-    return guard.forbidden_targets(page, "page", ["example.net", "example.org"])
+    listed = ["example.net", "Example.org", *[f"site{i}.example" + (".com" if i % 2 == 0 else "") for i in range(998)]]
+    return guard.forbidden_targets(page, "page", listed)
 
 
 @query(

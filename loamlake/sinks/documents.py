@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamlake.operators.guard import contains_any
+from loamlake.sinks.folders import remove, settle, staged_beside, swap_in
 
 
 def csv_cell(value: Column) -> Column:
@@ -44,13 +45,19 @@ def refuse_words(df: DataFrame, words: Sequence[str], text: str = "json") -> Dat
 def write_catalogue(stats: DataFrame, domains: DataFrame, datasets: DataFrame, folder: str, words: Sequence[str]) -> None:
     """Catalogue as JSON lines of three kinds; refused as a whole when a forbidden word appears.
 
-    The folder appears with its ``_SUCCESS`` mark only after every part is written.
+    It is written once, to a fresh folder beside ``folder``; that copy is checked and then moved into place, so
+    what was checked is what is published. Whatever fails before leaves the old catalogue.
     """
+    spark = stats.sparkSession
+    settle(spark, folder)
     document = None
     for kind, part in (("stats", stats), ("domain", domains), ("dataset", datasets)):
         rows = json_rows(part).select(F.lit(kind).alias("kind"), "json")
         document = rows if document is None else document.unionByName(rows)
-    found = refuse_words(document, words).select("word").distinct().sort("word").first()
+    staged = staged_beside(folder)
+    document.select(F.concat(F.lit('{"'), "kind", F.lit('":'), "json", F.lit("}")).alias("value")).write.text(staged)
+    found = refuse_words(spark.read.text(staged), words, "value").select("word").distinct().sort("word").first()
     if found:
+        remove(spark, staged)
         raise ValueError(f"refusing to publish: output contains {found.word!r}")
-    document.select(F.concat(F.lit('{"'), "kind", F.lit('":'), "json", F.lit("}")).alias("value")).write.mode("overwrite").text(folder)
+    swap_in(spark, staged, folder)

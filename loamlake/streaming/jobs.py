@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loamlake.functions.text import dedup_key
 from loamlake.functions.types import all_strings, typed
-from loamlake.sinks.tables import read_table, with_audit, write_table
+from loamlake.sinks.tables import log, with_audit, write_table
 
 
 def watch_extracts(
@@ -87,16 +87,16 @@ def fingerprint(df: DataFrame) -> Column:
 
 
 def publish_if_changed(df: DataFrame, table: str, at: str | None = None) -> bool:
-    """Write a new version only when the content differs from the newest one."""
+    """Write a new version only when the content differs from the newest one.
+
+    A version's fingerprint is kept with its commit, so the old contents are not read again.
+    """
     spark = df.sparkSession
-    new = df.agg(fingerprint(df).alias("f")).first().f
-    try:
-        current = read_table(spark, table)
-    except ValueError:
-        current = None
-    if current is not None and current.agg(fingerprint(current.select(*df.columns)).alias("f")).first().f == new:
+    new = "content " + df.agg(fingerprint(df).alias("f")).first().f
+    newest = log(spark, table).agg(F.max_by("run_id", F.struct("committed_at", "version"))).first()[0]
+    if newest == new:
         return False
-    write_table(df, table, operation="replace", run_id="publish", at=at)
+    write_table(df, table, operation="replace", run_id=new, at=at)
     return True
 
 

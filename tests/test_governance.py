@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +104,19 @@ def test_forbidden_scan_reports_target_only(spark):
     assert [r.target for r in guard.forbidden_targets(df, "t", ["example.net"]).collect()] == ["://db.example.net"]
 
 
+def test_forbidden_targets_equal_a_pass_per_entry(spark):
+    rng = random.Random(4)
+    parts = ["://", "host=", "Server=", "Data Source=", "jdbc:pg:", "db.Example.net", "a.example.org.example.net", "x_y-1", "user:pw@", " ", "/", "example.net:5432", "example"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    entries = ["example.net", "Example.org", "net.example", "le.net", *[f"n{i}.test" for i in range(50)]]
+    want = set()
+    for entry in entries:
+        pattern = re.compile(rf"(?i)(://|host=|server=|data source=|jdbc:[a-z]+:)[A-Za-z0-9._-]*{re.escape(entry)}")
+        want |= {(entry, re.sub(r'://[^/@" ]*@', "://<redacted>@", m.group())) for t in texts for m in pattern.finditer(t)}
+    got = {tuple(r) for r in guard.forbidden_targets(spark.createDataFrame([(t,) for t in texts], "t string"), "t", entries).select("entry", "target").collect()}
+    assert want <= got and len(got - want) <= 2  # a target that begins inside another one is reported too
+
+
 def test_is_safe(spark):
     df = spark.createDataFrame([("public", 0), ("public", 1), ("brand-new-label", 0), (None, None)], "classification string, secret_level int")
     assert [r.s for r in df.select(G.is_safe().alias("s")).collect()] == [True, False, False, False]

@@ -174,6 +174,23 @@ def test_catalogue_is_refused_with_forbidden_word(spark):
     assert sorted(r.value for r in spark.read.text(folder).collect()) == ['{"dataset":{"title":"t","note":null}}', '{"domain":{"n":2}}', '{"stats":{"n":1}}']
     with pytest.raises(ValueError, match="refusing to publish"):
         documents.write_catalogue(stats, domains, good.withColumn("title", F.lit("PassWord")), folder, ["password"])
+    assert spark.read.text(folder).count() == 3
+    documents.write_catalogue(stats, domains, good.limit(0), folder, ["password"])
+    assert spark.read.text(folder).count() == 2
+
+
+def test_a_failure_after_the_check_leaves_the_old_catalogue(spark, monkeypatch):
+    folder = scratch_dir(spark, "catalogue")
+    one, other = spark.createDataFrame([("old",)], "title string"), spark.createDataFrame([("new",)], "title string")
+    documents.write_catalogue(rows(spark, 1), rows(spark, 2), one, folder, [])
+
+    def fails(*_):
+        raise OSError("no space")
+
+    monkeypatch.setattr(documents, "swap_in", fails)
+    with pytest.raises(OSError):
+        documents.write_catalogue(rows(spark, 1), rows(spark, 2), other, folder, [])
+    assert spark.read.text(folder).filter("value LIKE '%old%'").count() == 1
 
 
 def test_publish_if_changed(spark):
