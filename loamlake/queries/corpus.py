@@ -14,7 +14,7 @@ from loamlake.plans import corpus as plan
 from loamlake.queries.base import Tables, query
 from loamlake.runtime import cut_lineage, scratch_dir
 from loamlake.sinks import corpus as sink
-from loamlake.sources import files, shards
+from loamlake.sources import adapters, files, shards
 
 # The given texts hold no Thai: the share is taken of Latin letters instead.
 LATIN = ("A", "ɏ")
@@ -394,6 +394,58 @@ def csv_scan(t: Tables):
     return rows.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"), F.lit(several).alias("ranges"))
 
 
+PART_OF = "CASE doc_id % 5 WHEN 0 THEN 'csv' WHEN 1 THEN 'json' WHEN 2 THEN 'parquet' WHEN 3 THEN 'jsonl' ELSE 'zip' END"
+
+
+def folders_of(t: Tables) -> str:
+    """Documents as files of four kinds below two datasets, with files of no known kind."""
+    folder = scratch_dir(t.spark, "datasets")
+    rows = t.documents.select("doc_id", "text")
+    for at, kind in ((0, "csv"), (1, "json"), (2, "parquet")):
+        for name, half in (("even", 0), ("odd", 1)):
+            part = rows.filter((F.col("doc_id") % 5 == at) & (F.col("doc_id") % 2 == half))
+            writer = part.write.option("header", True).option("escape", '"') if kind == "csv" else part.write
+            getattr(writer, kind)(f"{folder}/{name}/{kind}")
+    t.documents.select(F.col("doc_id").cast("string")).limit(1).coalesce(1).write.text(f"{folder}/even/notes")
+    rows.limit(1).coalesce(1).write.orc(f"{folder}/odd/others")
+    return folder
+
+
+@query("dataset_folder", "SELECT 'docs' AS dataset_id, CAST(doc_id AS VARCHAR) AS doc_id, length(text) AS char_count, md5(text) AS text_md5 FROM documents WHERE doc_id % 5 < 3 AND trim(text) <> ''")
+def dataset_folder(t: Tables):
+    """All files below a folder, by extension; a text file holds one document more, which the labels tell apart."""
+    made = files.read_folder(t.spark, folders_of(t), source="given", dataset_id="docs", dataset_name="docs")
+    return made.filter(F.length("doc_id") < 32).select("dataset_id", "doc_id", "char_count", F.md5("text").alias("text_md5"))
+
+
+@query(
+    "dataset_files",
+    """SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset_id, ['csv', 'json', 'parquet'][CAST(doc_id % 5 AS INT) + 1] AS ext, true AS has_files
+FROM documents WHERE doc_id % 5 < 3 GROUP BY 1, 2 UNION ALL SELECT 'even', 'txt', true UNION ALL SELECT 'odd', 'orc', true""",
+)
+def dataset_files(t: Tables):
+    """The datasets of a folder and the kinds of their files, from the source registered by name."""
+    adapters.register(t.spark)
+    listed = t.spark.read.format("dataset_files").load(folders_of(t))
+    return listed.groupBy("dataset_id", "ext").agg((F.sum("bytes") > 0).alias("has_files"))
+
+
+@query(
+    "text_scan",
+    """SELECT md5(string_agg(conv_id || ':' || turn || ' ' || text, chr(10) ORDER BY conv_id, turn) || chr(10)) AS text_md5 FROM conversations GROUP BY conv_id // 64""",
+)
+def text_scan(t: Tables):
+    """Files of 64 conversations, read whole; a blank file is left out."""
+    folder = scratch_dir(t.spark, "texts")
+    line = F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"), F.lit(" "), "text")
+    turns = F.array_sort(F.collect_list(F.struct("conv_id", "turn", line.alias("line"))))  # the turns of 64 conversations
+    file = F.floor(F.col("conv_id") / 64).alias("file")
+    whole = t.conversations.groupBy(file).agg(F.array_join(F.transform(turns, lambda x: x["line"]), "\n").alias("value"))
+    blank = t.conversations.select(F.lit(-1).cast("bigint").alias("file"), F.lit(" \t").alias("value")).limit(1)
+    whole.unionByName(blank).repartition("file").write.partitionBy("file").text(folder)
+    return files.read_text(t.spark, folder).select(F.md5("text").alias("text_md5"))
+
+
 @query(
     "file_lists",
     """SELECT dataset_id, name, CAST(size AS BIGINT) AS size, fmt, file_id, bucket, "key" FROM (
