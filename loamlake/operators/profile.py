@@ -127,12 +127,13 @@ RELEASE_DOMAINS = ["student", "personnel", "research", "academic_services", "ind
 ACCESS_LEVELS = ["university", "restricted"]
 CADENCES = ["manual", "daily", "weekly", "monthly"]
 MAX_TAGS, MAX_TAG_CHARS = 10, 40
+LONG_TEXTS = ["description", "description_en", "changelog"]
 
 
 def release_requests(df: DataFrame) -> DataFrame:
     """Requests with trimmed texts, de-duplicated tags and the first reason they are invalid.
 
-    ``df``: table_name, title, title_en, description, domain, owner_org_unit,
+    ``df``: table_name, title, title_en, description, description_en, changelog, domain, owner_org_unit,
     access_level, refresh_cadence, tags (array), plus any key columns.
     """
     trim = lambda c: strip(F.col(c))
@@ -149,7 +150,8 @@ def release_requests(df: DataFrame) -> DataFrame:
         F.when(~F.coalesce(table.rlike(N.TABLE_NAME), false), "invalid_table_name")
         .when(F.coalesce(F.length(trim("title")), F.lit(0)) == 0, "title_required")
         .when(text("title", 200), "title_required")
-        .when(F.coalesce(text("title_en", 200), false) | F.coalesce(text("description", 2000), false), "invalid_text_field")
+        .when(F.coalesce(text("title_en", 200), false), "invalid_text_field")
+        .when(F.coalesce(F.greatest(*[F.length(trim(c)) for c in LONG_TEXTS]) > 2000, false), "invalid_text_field")
         .when(domain.isNotNull() & ~domain.isin(RELEASE_DOMAINS), "invalid_domain")
         .when(~F.coalesce(owner.rlike(N.ORG_UNIT), false), "invalid_owner_org_unit")
         .when(~level.isin(ACCESS_LEVELS), "invalid_access_level")
@@ -160,7 +162,7 @@ def release_requests(df: DataFrame) -> DataFrame:
         "table_name": table,
         "title": trim("title"),
         "title_en": F.nullif(trim("title_en"), F.lit("")),
-        "description": F.nullif(trim("description"), F.lit("")),
+        **{c: F.nullif(trim(c), F.lit("")) for c in LONG_TEXTS},
         "domain": domain,
         "owner_org_unit": owner,
         "access_level": level,

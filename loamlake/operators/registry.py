@@ -121,16 +121,21 @@ def members(accounts: DataFrame, reserved: DataFrame) -> DataFrame:
     return grants.join(reserved.select("username").distinct(), "username", "left_anti").select("group_name", "username")
 
 
-def member_lines(grants: DataFrame, line_size: int = 1000) -> DataFrame:
-    """Groups as comma lists in name order, ``line_size`` members per line.
+def member_lines(grants: DataFrame, line_size: int = 1000, base: DataFrame | None = None) -> DataFrame:
+    """Groups as comma lists, ``line_size`` members per line: the members of ``base`` (group_name, username, place) in their order, then all others by name.
 
     A group of any size becomes as many numbered lines as it needs, so no list
     grows with the data.
     """
-    placed = row_number(grants.distinct(), ["username"], ["group_name"])
+    every = grants.select("group_name", "username", F.lit(None).cast("bigint").alias("place"))
+    if base is not None:
+        every = every.unionByName(base.select("group_name", "username", F.col("place").cast("bigint")))
+    # A member named on both sides stands where the base has it.
+    once = every.groupBy("group_name", "username").agg(F.coalesce(F.min("place"), F.lit((1 << 63) - 1)).alias("place"))
+    placed = row_number(once, ["place", "username"], ["group_name"])
     line = F.floor((F.col("position") - 1) / line_size).cast("int").alias("line")
-    listed = placed.groupBy("group_name", line).agg(F.sort_array(F.collect_list("username")).alias("names"))
-    return listed.select("group_name", "line", F.size("names").alias("size"), F.array_join("names", ",").alias("members"))
+    listed = placed.groupBy("group_name", line).agg(F.sort_array(F.collect_list(F.struct("position", "username"))).alias("names"))
+    return listed.select("group_name", "line", F.size("names").alias("size"), F.array_join("names.username", ",").alias("members"))
 
 
 def next_versions(requests: DataFrame, releases: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -382,12 +382,13 @@ def json_arrays(t: Tables):
 FROM conversations""",
 )
 def csv_scan(t: Tables):
-    """One file with quoted newlines in every record, read in ranges of 16 KB."""
+    """One file with quoted newlines in every record, read in up to 64 ranges of 16 KB or more."""
     folder = scratch_dir(t.spark, "csv")
     text = F.concat(F.lit('said: "'), "role", F.lit('",\n'), "text", F.lit("\r\n,"))
     t.conversations.withColumn("text", text).coalesce(1).write.option("header", True).option("escape", '"').csv(folder)
     narrow = t.spark.newSession()
-    narrow.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    size = files.list_files(t.spark, folder).agg(F.max("bytes")).first()[0]
+    narrow.conf.set("spark.sql.files.maxPartitionBytes", str(max(16_384, size // 64)))
     narrow.conf.set("spark.sql.files.openCostInBytes", "1")
     several = narrow.read.text(folder).select("_metadata.file_block_start").distinct().count() > 4
     rows = files.read_csv(narrow, folder)

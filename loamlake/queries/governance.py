@@ -291,10 +291,13 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 19 = 0 THEN 'Bad-Name' ELSE 't' || CAS
        CASE WHEN o_orderkey % 23 = 0 THEN ' ' ELSE o_orderpriority END AS title, CASE WHEN o_orderkey % 29 = 0 THEN 'No Unit' ELSE 'eng' END AS owner_org_unit,
        split_part('student,weather,', ',', CAST(1 + o_orderkey % 3 AS INT)) AS domain_text, 'university' AS access_level, 'manual' AS refresh_cadence,
        CASE WHEN o_orderkey % 31 = 0 THEN 'a,b,c,d,e,f,g,h,i,j,k' ELSE 'a,b' END AS tag_text,
-       CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'O' THEN 'requested' ELSE 'rejected' END AS status,
+       CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'O' THEN 'requested' ELSE CASE WHEN o_orderkey % 9 = 0 THEN 'waiting' ELSE 'rejected' END END AS status,
        CASE WHEN o_orderkey % 37 <> 0 THEN 'u1' END AS decided_by, o_orderdate AS decided_at, CASE WHEN o_orderkey % 5 <> 0 THEN 'no' END AS rejection_reason,
        CASE WHEN o_orderkey % 7 <> 0 THEN '1' END AS source_version, '1' AS published_version, o_orderdate AS published_at,
-       CASE WHEN o_orderkey % 43 = 0 THEN 'Copy failed!' END AS failure_code
+       CASE WHEN o_orderkey % 43 = 0 THEN 'Copy failed!' END AS failure_code,
+       repeat('t', CAST(o_orderkey % 220 AS INT)) AS title_en, repeat('d', CAST(o_orderkey % 2100 AS INT)) AS description,
+       CASE WHEN o_orderkey % 3 = 0 THEN repeat('e', CAST(o_orderkey % 2050 AS INT)) END AS description_en, repeat('c', CAST(o_orderkey % 2020 AS INT)) AS changelog,
+       o_orderkey % 53 - 1 AS row_count
 FROM {orders}"""
 
 
@@ -310,27 +313,63 @@ UNION ALL SELECT o_orderkey, 'tags_bounded' FROM r WHERE len(tag_text) > 10
 UNION ALL SELECT o_orderkey, 'decided' FROM r WHERE status <> 'requested' AND decided_by IS NULL
 UNION ALL SELECT o_orderkey, 'rejection_has_reason' FROM r WHERE status = 'rejected' AND rejection_reason IS NULL
 UNION ALL SELECT o_orderkey, 'published_is_pinned' FROM r WHERE status = 'published' AND source_version IS NULL
-UNION ALL SELECT o_orderkey, 'failure_code_shape' FROM r WHERE failure_code IS NOT NULL""",
+UNION ALL SELECT o_orderkey, 'failure_code_shape' FROM r WHERE failure_code IS NOT NULL
+UNION ALL SELECT o_orderkey, 'title_en_bounded' FROM r WHERE length(title_en) > 200
+UNION ALL SELECT o_orderkey, 'description_bounded' FROM r WHERE length(description) > 2000
+UNION ALL SELECT o_orderkey, 'description_en_bounded' FROM r WHERE length(description_en) > 2000
+UNION ALL SELECT o_orderkey, 'changelog_bounded' FROM r WHERE length(changelog) > 2000
+UNION ALL SELECT o_orderkey, 'row_count_not_negative' FROM r WHERE row_count < 0
+UNION ALL SELECT o_orderkey, 'status_known' FROM r WHERE status NOT IN ('requested', 'approved', 'published', 'failed', 'rejected')""",
 )
 def release_constraints(t: Tables):
     rows = t.sql(RELEASE_ROWS).withColumns({"tags": F.split("tag_text", ","), "domain": F.nullif("domain_text", F.lit(""))})
     return G.violations(rows, rules.releases(), ["o_orderkey"])
 
 
+@query(
+    "upload_constraints",
+    """WITH r AS (SELECT event_id, event_id % 40 - 1 AS size_bytes, CASE WHEN event_type = 'view' THEN 'open' WHEN event_type = 'error' THEN 'loading' ELSE 'registered' END AS status,
+ CASE WHEN event_id % 7 = 0 THEN 'Broken 7' WHEN event_id % 5 = 0 THEN 'bad_cell' END AS load_error FROM events)
+SELECT event_id, 'size_positive' AS rule FROM r WHERE size_bytes <= 0 UNION ALL SELECT event_id, 'status_known' FROM r WHERE status = 'open' UNION ALL SELECT event_id, 'load_error_shape' FROM r WHERE load_error = 'Broken 7'""",
+)
+def upload_constraints(t: Tables):
+    status = F.when(F.col("event_type") == "view", "open").when(F.col("event_type") == "error", "loading").otherwise("registered")
+    error = F.when(F.col("event_id") % 7 == 0, "Broken 7").when(F.col("event_id") % 5 == 0, "bad_cell")
+    rows = t.events.select("event_id", (F.col("event_id") % 40 - 1).alias("size_bytes"), status.alias("status"), error.alias("load_error"))
+    return G.violations(rows, rules.uploads(), ["event_id"])
+
+
 @query(
     "doubled_keys",
-    "SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
+    """SELECT 'line' AS kind, CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR) AS name, count(*) AS copies FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
+UNION ALL SELECT 'version', CAST(o_custkey AS VARCHAR) || '/' || CAST(o_orderkey % 9 AS VARCHAR), count(*) FROM orders GROUP BY o_custkey, o_orderkey % 9 HAVING count(*) > 1
+UNION ALL SELECT 'address', lower(c_mktsegment) || '@' || c_nationkey, count(*) FROM customer WHERE c_custkey % 3 > 0 GROUP BY 2 HAVING count(*) > 1""",
 )
 def doubled_keys(t: Tables):
-    return G.duplicates(t.lineitem, [F.col("l_orderkey"), F.col("l_linenumber")])
+    """Keys that must be unique: of lines, of a table's releases, of accounts by their address in any case."""
+    named = lambda df, kind, *cols: df.select(F.lit(kind).alias("kind"), F.concat_ws("/", *cols).alias("name"), "copies")
+    lines = G.duplicates(t.lineitem, [F.col("l_orderkey"), F.col("l_linenumber")])
+    versions = rules.doubled_versions(t.orders.select(F.col("o_custkey").alias("table_name"), (F.col("o_orderkey") % 9).alias("version")))
+    segment = F.when(F.col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(F.upper("c_mktsegment"))
+    address = F.when(F.col("c_custkey") % 3 > 0, F.concat(segment, F.lit("@"), F.col("c_nationkey").cast("string")))
+    addresses = rules.doubled_addresses(t.customer.select(address.alias("email")))
+    return named(lines, "line", "l_orderkey", "l_linenumber").unionByName(named(versions, "version", "table_name", "version")).unionByName(named(addresses, "address", "email"))
 
 
 @query(
     "two_running",
-    ctes(r=E.RUNS) + "SELECT source_table_id, count(*) AS copies FROM r WHERE status = 'running' GROUP BY 1 HAVING count(*) > 1",
+    ctes(r=E.RUNS)
+    + """SELECT 'run' AS kind, CAST(source_table_id AS VARCHAR) AS name, count(*) AS copies FROM r WHERE status = 'running' GROUP BY source_table_id HAVING count(*) > 1
+UNION ALL SELECT 'release', 't' || o_custkey, count(*) FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY o_custkey HAVING count(*) > 1""",
 )
 def two_running(t: Tables):
-    return G.duplicates(t.sql(E.RUNS), [F.col("source_table_id")], F.col("status") == "running")
+    """Tables with two runs at once, and with two release requests that are open."""
+    runs = G.duplicates(t.sql(E.RUNS), [F.col("source_table_id")], F.col("status") == "running")
+    state = F.when(F.col("o_orderstatus") == "O", "requested").when(F.col("o_orderstatus") == "P", "approved").otherwise("published")
+    releases = rules.open_releases(t.orders.select(F.concat(F.lit("t"), F.col("o_custkey").cast("string")).alias("table_name"), state.alias("status")))
+    return runs.select(F.lit("run").alias("kind"), F.col("source_table_id").cast("string").alias("name"), "copies").unionByName(
+        releases.select(F.lit("release").alias("kind"), F.col("table_name").alias("name"), "copies")
+    )
 
 
 PROFILED = {
@@ -441,6 +480,7 @@ def identifier_names(t: Tables):
 RELEASE_FORMS = """
 SELECT o_orderkey, CASE WHEN o_orderkey % 19 = 0 THEN 'Bad-Name' ELSE ' t' || CAST(o_custkey AS STRING) || ' ' END AS table_name,
   CASE WHEN o_orderkey % 23 = 0 THEN '  ' ELSE ' ' || o_orderpriority END AS title, CAST(NULL AS STRING) AS title_en, ' d ' AS description,
+  ' ' || CAST(o_custkey AS STRING) AS description_en, CASE WHEN o_orderkey % 17 = 0 THEN repeat('c', 2001) WHEN o_orderkey % 2 = 0 THEN ' ' ELSE 'log ' END AS changelog,
   split_part('student,personnel,weather,', ',', CAST(1 + o_orderkey % 4 AS INT)) AS domain,
   CASE WHEN o_orderkey % 29 = 0 THEN 'no unit!' ELSE ' ENG ' END AS owner_org_unit, CASE WHEN o_orderkey % 3 = 0 THEN 'restricted' END AS access_level,
   CASE WHEN o_orderkey % 7 = 0 THEN 'hourly' END AS refresh_cadence,
@@ -451,15 +491,15 @@ FROM {orders}"""
 @query(
     "release_requests",
     ctes(f=RELEASE_FORMS)
-    + """SELECT o_orderkey, trim(table_name) AS table_name, lower(trim(owner_org_unit)) AS owner_org_unit, coalesce(access_level, 'university') AS access_level,
+    + """SELECT o_orderkey, trim(table_name) AS table_name, trim(description_en) AS description_en, nullif(trim(changelog), '') AS changelog, lower(trim(owner_org_unit)) AS owner_org_unit, coalesce(access_level, 'university') AS access_level,
  CASE WHEN o_orderkey % 11 = 0 THEN 'a||b' WHEN o_orderkey % 13 = 0 THEN '1|2|3|4|5|6|7|8|9|10|11' ELSE 'x|y|' || right(tag_text, 1) END AS tags,
- CASE WHEN o_orderkey % 19 = 0 THEN 'invalid_table_name' WHEN trim(title) = '' THEN 'title_required' WHEN domain = 'weather' THEN 'invalid_domain' WHEN o_orderkey % 29 = 0 THEN 'invalid_owner_org_unit'
+ CASE WHEN o_orderkey % 19 = 0 THEN 'invalid_table_name' WHEN trim(title) = '' THEN 'title_required' WHEN o_orderkey % 17 = 0 THEN 'invalid_text_field' WHEN domain = 'weather' THEN 'invalid_domain' WHEN o_orderkey % 29 = 0 THEN 'invalid_owner_org_unit'
   WHEN refresh_cadence IS NOT NULL THEN 'invalid_refresh_cadence' WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 THEN 'invalid_tags' END AS error FROM f""",
 )
 def release_requests(t: Tables):
     forms = t.sql(RELEASE_FORMS).withColumn("tags", F.split("tag_text", ",")).drop("tag_text")
     checked = profile.release_requests(forms)
-    return checked.select("o_orderkey", "table_name", "owner_org_unit", "access_level", F.array_join("tags", "|").alias("tags"), "error")
+    return checked.select("o_orderkey", "table_name", "description_en", "changelog", "owner_org_unit", "access_level", F.array_join("tags", "|").alias("tags"), "error")
 
 
 # -- joins ------------------------------------------------------------------
@@ -562,12 +602,18 @@ def group_members(t: Tables):
 @query(
     "member_lines",
     TIER_SQL
-    + """, m AS (SELECT unnest(string_split(groups, ',')) AS group_name, username FROM g), n AS (SELECT *, row_number() OVER (PARTITION BY group_name ORDER BY username) - 1 AS n FROM m)
-SELECT group_name, CAST(floor(n / 50) AS INT) AS line, CAST(count(*) AS INT) AS size, string_agg(username, ',' ORDER BY username) AS members FROM n GROUP BY 1, 2""",
+    + """, m AS (SELECT unnest(string_split(groups, ',')) AS group_name, username FROM g), b AS (SELECT DISTINCT group_name, unnest(['zz_service', 'customer#000000006', 'superset']) AS username, unnest([1, 2, 3]) AS place FROM m WHERE group_name LIKE 'viewer%'),
+o AS (SELECT group_name, username, min(place) AS place FROM (SELECT group_name, username, 999 AS place FROM m UNION ALL SELECT * FROM b) GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY group_name ORDER BY place, username) - 1 AS n FROM o)
+SELECT group_name, CAST(floor(n / 50) AS INT) AS line, CAST(count(*) AS INT) AS size, string_agg(username, ',' ORDER BY n) AS members FROM n GROUP BY 1, 2""",
 )
 def member_lines(t: Tables):
+    """Base members first, in their own order, then the granted ones by name."""
     nobody = t.customer.limit(0).select(F.col("c_name").alias("username"))
-    return G.member_lines(G.members(policy.tier_groups(t.sql(E.ACCOUNTS)), nobody), 50)
+    grants = G.members(policy.tier_groups(t.sql(E.ACCOUNTS)), nobody)
+    first = F.posexplode(F.array(*map(F.lit, ["zz_service", "customer#000000006", "superset"])))
+    base = grants.filter("group_name LIKE 'viewer%'").select("group_name").distinct().select("group_name", first.alias("place", "username"))
+    return G.member_lines(grants, 50, base)
 
 
 @query(
