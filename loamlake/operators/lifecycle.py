@@ -45,15 +45,17 @@ def states(machine: Mapping[tuple[str, str], str]) -> list[str]:
     return sorted({s for pair, s in machine.items() for s in (pair[0], s)})
 
 
-def replay(events: DataFrame, machine: Mapping[tuple[str, str], str], keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def replay(events: DataFrame, machine: Mapping[tuple[str, str], str], keys: Sequence[str], order: Sequence[str], code: Column | None = None) -> DataFrame:
     """Final ``status`` per key after all its actions in order, with applied and refused counts.
 
+    ``code`` is what an event leaves as ``code`` when it is applied: null keeps the one before, an empty one clears it.
+
     An action without a transition from the current state is refused and
     changes nothing. Every action is a function from state to state; functions
     of neighbouring events are composed, so nothing depends on one key's
     events meeting in one task in order: see :func:`compose`.
     """
-    composed = compose(events, machine, keys, order)
+    composed = compose(events, machine, keys, order, code=code)
     start = states(machine).index("new")
     names = F.array(*map(F.lit, states(machine)))
     end = F.element_at("step", start + 1)
@@ -62,13 +64,14 @@ def replay(events: DataFrame, machine: Mapping[tuple[str, str], str], keys: Sequ
         F.element_at(names, (end["state"] + 1).cast("int")).alias("status"),
         end["applied"].alias("applied"),
         (F.col("events") - end["applied"]).alias("refused"),
+        *([] if code is None else [F.nullif(end["code"], F.lit("")).alias("code")]),
     )
 
 
 def compose(
-    events: DataFrame, machine: Mapping[tuple[str, str], str], keys: Sequence[str], order: Sequence[str], chunk: int = 500
+    events: DataFrame, machine: Mapping[tuple[str, str], str], keys: Sequence[str], order: Sequence[str], chunk: int = 500, code: Column | None = None
 ) -> DataFrame:
-    """(keys, step, events): ``step[s]`` is the state reached and the actions applied from state ``s``.
+    """(keys, step, events): ``step[s]`` is the state reached, the actions applied from state ``s`` and the code they leave.
 
     Long histories are cut into chunks of ``chunk`` consecutive events, composed
     chunk by chunk in parallel, and the chunks composed again until one is left.
@@ -96,6 +99,8 @@ def compose(
     stay = F.array(*[F.struct(F.lit(i).alias("state"), F.lit(0).cast("bigint").alias("applied")) for i in range(len(known))])
     sizes = events.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     step = F.coalesce(F.try_element_at(table, F.col("action")), stay)
+    left = F.lit(None).cast("string") if code is None else code
+    step = F.transform(step, lambda x: F.struct(x["state"], x["applied"], F.when(x["applied"] == 1, left).alias("code")))
     # Events with equal order follow each other by what they do, so both paths below agree.
     current = events.select(*keys, *order, F.coalesce("action", F.lit("")).alias("_tie"), step.alias("step"), F.lit(1).cast("bigint").alias("events"))
     order = [*order, "_tie"]
@@ -121,6 +126,7 @@ def _fold(grouped, order: Sequence[str]) -> DataFrame:
             lambda d: F.struct(
                 F.element_at(nxt["step"], (d["state"] + 1).cast("int"))["state"].alias("state"),
                 (d["applied"] + F.element_at(nxt["step"], (d["state"] + 1).cast("int"))["applied"]).alias("applied"),
+                F.coalesce(F.element_at(nxt["step"], (d["state"] + 1).cast("int"))["code"], d["code"]).alias("code"),
             ),
         )
 

@@ -989,16 +989,18 @@ def retained_orders(t: Tables):
     return lifecycle.purge(t.orders, "o_orderdate", last_order(t), "180 DAYS").select("o_orderkey")
 
 
-def replay_sql(actions: str, key: str, event: str, machine) -> str:
+def replay_sql(actions: str, key: str, event: str, machine, code: str | None = None) -> str:
     """The same history walked one action at a time."""
     moves = " ".join(f"WHEN '{s}/{a}' THEN '{n}'" for (s, a), n in machine.items())
     known = ", ".join(f"'{s}/{a}'" for s, a in machine)
+    applied = f"w.status || '/' || o.action IN ({known})"
+    started, kept, given = (", CAST(NULL AS VARCHAR) AS code", f", CASE WHEN {applied} THEN coalesce({code}, w.code) ELSE w.code END", ", nullif(arg_max_null(code, n), '') AS code") if code else ("", "", "")
     return f"""WITH RECURSIVE a AS ({actions}),
 o AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {event}) AS n FROM a),
-w AS (SELECT {key}, CAST(0 AS BIGINT) AS n, 'new' AS status, CAST(0 AS BIGINT) AS applied FROM (SELECT DISTINCT {key} FROM a)
+w AS (SELECT {key}, CAST(0 AS BIGINT) AS n, 'new' AS status, CAST(0 AS BIGINT) AS applied{started} FROM (SELECT DISTINCT {key} FROM a)
  UNION ALL SELECT w.{key}, o.n, CASE w.status || '/' || o.action {moves} ELSE w.status END,
-  w.applied + CASE WHEN w.status || '/' || o.action IN ({known}) THEN 1 ELSE 0 END FROM w JOIN o ON o.{key} = w.{key} AND o.n = w.n + 1)
-SELECT {key}, arg_max(status, n) AS status, max(applied) AS applied, max(n) - max(applied) AS refused FROM w GROUP BY 1"""
+  w.applied + CASE WHEN {applied} THEN 1 ELSE 0 END{kept} FROM w JOIN o ON o.{key} = w.{key} AND o.n = w.n + 1)
+SELECT {key}, arg_max(status, n) AS status, max(applied) AS applied, max(n) - max(applied) AS refused{given} FROM w GROUP BY 1"""
 
 
 @query("upload_lifecycle", replay_sql(E.ACTIONS, "upload_id", "event_id", lifecycle.UPLOAD))
@@ -1028,10 +1030,12 @@ FROM {orders}"""
     "release_lifecycle",
     replay_sql(
         f"SELECT release_id, event_id, CASE WHEN action = 'reject' AND actor = requested_by THEN 'reject_own' ELSE action END AS action FROM ({RELEASE_ACTIONS})",
-        "release_id", "event_id", lifecycle.RELEASE,
+        "release_id", "event_id", lifecycle.RELEASE, "CASE o.action WHEN 'fail' THEN 'copy_' || o.event_id % 7 WHEN 'interrupted' THEN 'interrupted' WHEN 'publish' THEN '' END",
     ),
 )
 def release_lifecycle(t: Tables):
     events = t.sql(RELEASE_ACTIONS)
     action = lifecycle.decision(F.col("action"), F.col("actor"), F.col("requested_by"))
-    return lifecycle.replay(events.withColumn("action", action), lifecycle.RELEASE, ["release_id"], ["event_id"])
+    failed = F.when(F.col("action") == "fail", F.concat(F.lit("copy_"), (F.col("event_id") % 7).cast("string")))
+    code = failed.when(F.col("action") == "interrupted", "interrupted").when(F.col("action") == "publish", "")
+    return lifecycle.replay(events.withColumn("action", action), lifecycle.RELEASE, ["release_id"], ["event_id"], code)

@@ -267,10 +267,12 @@ def stream_dedup(t: Tables):
     "SELECT conv_id, turn, role, md5(text) AS text_md5, 'extract_conversations' AS _source_table FROM conversations",
 )
 def file_watch(t: Tables):
-    """Declared extracts dropped into a folder are loaded, typed and stamped; others are left alone."""
+    """Declared extracts dropped into a folder are loaded, typed and stamped, of two the later one; others are left alone."""
     folder, root, checkpoint = (scratch_dir(t.spark, n) for n in ("incoming", "raw", "checkpoint"))
     name = "extract_conversations"
-    documents.write_csv(t.conversations.select("conv_id", "turn", "role", "text"), f"{folder}/{name}.csv")
+    rows = t.conversations.select("conv_id", "turn", "role", "text")
+    documents.write_csv(rows.filter("turn = 0").coalesce(1), f"{folder}/{name}.csv")
+    documents.write_csv(rows.coalesce(1), f"{folder}/{name}-2.csv")
     documents.write_csv(t.nation, f"{folder}/unrelated.csv")
     declared = {name: {"conv_id": "bigint", "turn": "bigint", "role": "string", "text": "string"}}
     for started in jobs.watch_extracts(t.spark, folder, declared, root, checkpoint, AT):

@@ -93,6 +93,10 @@ def user_mix(t: Tables):
 
 
 @query("collection_profile")
+def _registered_profile(t: Tables):
+    return collection_profile(t)
+
+
 def collection_profile(t: Tables):
     # A table is a file or a folder of files; their bytes are summed by the table's name in the path.
     table = F.regexp_extract("path", r"/(\w+)\.parquet(?:/[^/]*)?\z", 1)
@@ -100,6 +104,12 @@ def collection_profile(t: Tables):
     return R.collection_profile({n: getattr(t, n) for n in TABLES}, sizes)
 
 
+@query("collection_counts", " UNION ALL ".join(f"SELECT '{n}' AS collection, count(*) AS doc_count, true AS is_stored FROM {n}" for n in TABLES))
+def collection_counts(t: Tables):
+    """The profile's counts, and whether a collection takes room at all; its bytes are checked by a test."""
+    return collection_profile(t).select("collection", "doc_count", (F.col("data_mb") > 0).alias("is_stored"))
+
+
 @query("row_counts", "SELECT count(*) AS row_count FROM lineitem")
 def row_counts(t: Tables):
     return t.lineitem.agg(F.count("*").alias("row_count"))

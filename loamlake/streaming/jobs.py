@@ -27,7 +27,8 @@ def watch_extracts(
     """Load every declared extract ``<table>.csv`` (or ``<table>-*.csv``) that appears in ``folder``.
 
     One query per table: the table's own columns and types are declared, an
-    undeclared file is never read. A batch replaces the contents. Without an
+    undeclared file is never read. Files of one table are taken one after the other, the oldest first, and
+    each replaces the contents. Without an
     ``interval`` what is there is processed and the queries end. ``at`` is the
     load time; without it each batch carries the time it is loaded.
     """
@@ -38,6 +39,7 @@ def watch_extracts(
             .option("header", True)
             .option("multiLine", True)
             .option("escape", '"')
+            .option("maxFilesPerTrigger", 1)
             .csv(f"{folder}/{table}{{.csv,-*.csv}}")
         )
 
