@@ -37,38 +37,36 @@ class KeepFirst(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.least = handle.getValueState("least", "at_us long, place long")
-        self.given = handle.getValueState("given", "until_ms long")
+        # The least copy until it is given out, then the time until which copies are dropped.
+        self.state = handle.getValueState("first", "at_us long, place long, until_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        until = self.given.get()[0] if self.given.exists() else None
-        best = self.least.get() if self.least.exists() else None
-        known = best
+        at, place, until = self.state.get() or (None, None, None)
+        best = known = None if at is None else (at, place)
         for frame in rows:
-            if until is not None:  # copies until then are dropped
+            if until is not None:
                 frame = frame[frame["at_us"] >= until * 1000]
             if len(frame):
-                first = frame.sort_values(["at_us", "place"]).iloc[0]
+                first = frame.sort_values(["at_us", "place"]).iloc[0] if len(frame) > 1 else frame.iloc[0]
                 best = min(filter(None, (best, (int(first["at_us"]), int(first["place"])))))
         if best != known:
             if known is not None:
                 self.handle.deleteTimer(known[0] // 1000 + 1)
-            self.least.update(best)
+            self.state.update((*best, until))
             self.handle.registerTimer(best[0] // 1000 + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        if self.least.exists() and self.least.get()[0] // 1000 + 1 == now:
-            at, place = self.least.get()
-            self.least.clear()
+        at, place, until = self.state.get() or (None, None, None)
+        if at is not None and at // 1000 + 1 == now:
             until = FOR_EVER if self.forget_ms is None else at // 1000 + self.forget_ms
-            self.given.update((until,))
+            self.state.update((None, None, until))
             if self.forget_ms is not None:
                 self.handle.registerTimer(until + 1)
             yield pd.DataFrame({"key": [key[0]], "place": [place], "ts": pd.to_datetime([at], unit="us")})
-        elif self.given.exists() and self.given.get()[0] < now:
-            self.given.clear()
+        elif at is None and until is not None and until < now:
+            self.state.clear()
 
     def close(self) -> None:
         pass
