@@ -121,24 +121,28 @@ def _address_sql(url: str) -> str:
     rest = f"CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) ELSE '' END"
     host = f"translate(regexp_extract({rest}, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
     path = f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
-    bare = f"regexp_replace({host}, '^(www|m)\\.', '') || regexp_replace({path}, '(/|\\.html)+$', '')"
+    query = f"regexp_extract({rest}, '^[^?#]*(\\?[^#]*)', 1)"
+    bare = f"regexp_replace({host}, '^(?:www|m)\\.([^.]+\\..+)$', '\\1') || regexp_replace({path}, '(/|\\.html)+$', '') || {query}"
     return f"{host} AS host, {path} AS path, CASE WHEN {host} <> '' THEN {bare} END AS address"
 
 
-_TARGET = "coalesce(" + ", ".join("nullif(regexp_extract(html, '" + p.replace("'", "''") + "', 1), '')" for p in urls.CANONICAL) + ")"
+_TARGETS = " || ".join("regexp_extract_all(coalesce(html, ''), '" + p.replace("'", "''") + "', 1)" for p in urls.CANONICAL)
 _RULE = "list_max(list_filter([" + ", ".join(
     f"CASE WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{'size': {len(h + p)}, 'rule': '{h + p}', 'verdict': '{v}'}} END" for h, p, v in RULES
 ) + "], lambda x: x IS NOT NULL))"
 URL_SQL = f"""WITH RECURSIVE p AS (SELECT page_id, html, {_address_sql("coalesce(url, '')")} FROM pages),
 f AS (SELECT page_id, host, path, address, {_RULE} AS found FROM p),
-t AS (SELECT host, address AS a, {_TARGET} AS target FROM p),
-l AS (SELECT a, CASE WHEN contains(target, '://') THEN target ELSE 'http://' || host || CASE WHEN starts_with(target, '/') THEN '' ELSE '/' END || target END AS target FROM t WHERE target IS NOT NULL),
-b AS (SELECT a, address AS b FROM (SELECT a, {_address_sql("target")} FROM l)),
+t AS (SELECT host, address AS a, unnest(list_distinct({_TARGETS})) AS target FROM p),
+l AS (SELECT a, CASE WHEN starts_with(target, '//') THEN 'http:' || target WHEN contains(target, '://') THEN target
+ ELSE 'http://' || host || CASE WHEN starts_with(target, '/') THEN '' ELSE '/' END || target END AS target FROM t WHERE target <> ''),
+b AS (SELECT a, host, path, address AS b FROM (SELECT a, {_address_sql("target")} FROM l)),
 e AS MATERIALIZED (SELECT a, b FROM b WHERE a <> b UNION SELECT b, a FROM b WHERE a <> b),
 r AS (SELECT a AS node, b AS reached FROM e UNION SELECT node, b FROM r JOIN e ON e.a = reached),
 c AS (SELECT node, min(least(node, reached)) AS component FROM r GROUP BY 1),
 j AS (SELECT f.*, coalesce(c.component, f.address) AS component FROM f LEFT JOIN c ON c.node = f.address),
-g AS (SELECT component, bool_or(found.verdict = 'allow') AS allowed, bool_or(found.verdict = 'block') AS blocked FROM j WHERE found IS NOT NULL AND component IS NOT NULL GROUP BY 1)
+d AS (SELECT address, found.verdict AS verdict FROM f UNION ALL SELECT b, {_RULE}.verdict FROM b),
+g AS (SELECT coalesce(c.component, d.address) AS component, bool_or(verdict = 'allow') AS allowed, bool_or(verdict = 'block') AS blocked
+ FROM d LEFT JOIN c ON c.node = d.address WHERE verdict IS NOT NULL AND d.address IS NOT NULL GROUP BY 1)
 SELECT page_id, host, path, found.rule AS rule, coalesce(found.verdict, CASE WHEN blocked AND NOT allowed THEN 'block' ELSE 'allow' END) AS verdict, j.component,
  found IS NULL AND coalesce(blocked AND NOT allowed, false) AS by_alias FROM j LEFT JOIN g ON g.component = j.component"""
 

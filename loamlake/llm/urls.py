@@ -1,8 +1,9 @@
 """URL rules with redirect equivalence.
 
 A url's own rule (host and path, longest wins) decides first. Urls that are one
-page by redirect or canonical link form a component; a block on one of them
-holds for the aliases without a rule of their own, unless one is explicitly allowed.
+page by redirect or canonical link form a component; a block on one of them, in the table or only
+linked to, holds for the aliases without a rule of their own, unless one is explicitly allowed. Urls that differ
+in their query are different pages.
 
 Cases: a null url or one without ``://`` has an empty host and path, no rule and
 the verdict allow; repeated rows are judged one by one; without links a
@@ -44,10 +45,16 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(_rest(url), F.lit("")), r"^[^/?#]*([^?#]*)", 1)
 
 
-def address(host: Column, path: Column) -> Column:
-    """One spelling for a page: no scheme, query or fragment, no ``www.`` or ``m.``, no closing ``/`` or ``.html``; null without a host."""
-    bare = F.regexp_replace(host, r"^(www|m)\.", "")
-    return F.when(host != "", F.concat(bare, F.regexp_replace(path, r"(/|\.html)+$", "")))
+def query_of(url: Column) -> Column:
+    """From ``?`` up to ``#`` or the end, the question mark included; empty without one."""
+    return F.regexp_extract(F.coalesce(_rest(url), F.lit("")), r"^[^?#]*(\?[^#]*)", 1)
+
+
+def address_of(url: Column) -> Column:
+    """One spelling for a page: no scheme or fragment, no ``www.`` or ``m.`` where two labels are left, no closing ``/`` or ``.html``; null without a host."""
+    host = host_of(url)
+    bare = F.regexp_replace(host, r"^(?:www|m)\.([^.]+\..+)$", "$1")
+    return F.when(host != "", F.concat(bare, F.regexp_replace(path_of(url), r"(/|\.html)+$", ""), query_of(url)))
 
 
 def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
@@ -61,7 +68,7 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 
 
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Distinct (a, b): a page's address and every different address it names by canonical links and redirects.
+    """Distinct (a, b, target): a page's address, an address it names by a canonical link or redirect, and that one's url.
 
     A target without a host is taken from the page's own host; ``//host/path`` has one.
     """
@@ -69,31 +76,35 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     named = pages.select(F.col(url).alias("url"), F.explode(F.array_distinct(hits)).alias("target")).filter("target <> ''")
     own = F.concat(F.lit("http://"), host_of(F.col("url")), F.when(F.startswith("target", F.lit("/")), "").otherwise("/"), F.col("target"))
     full = F.when(F.startswith("target", F.lit("//")), F.concat(F.lit("http:"), F.col("target"))).when(F.contains("target", F.lit("://")), F.col("target")).otherwise(own)
-    ends = named.select(address(host_of(F.col("url")), path_of(F.col("url"))).alias("a"), address(host_of(full), path_of(full)).alias("b"))
-    return ends.filter("a <> b").distinct()
+    return named.select(address_of(F.col("url")).alias("a"), address_of(full).alias("b"), full.alias("target")).distinct()
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redirects: DataFrame | None = None, *, key: str = "page_id") -> DataFrame:
     """``key``, host, path, rule, verdict, component and whether the verdict came from an alias.
 
     ``rules`` are (host, path prefix, allow or block) and become expressions;
-    ``redirects`` are further (a, b) urls of redirect logs.
+    ``redirects`` are further (a, b) urls of redirect logs. Every end of a link is judged by the rules, whether it is a
+    page of the table or not.
     """
+    rule = lambda url: matched_rule(host_of(url), path_of(url), rules)
     url = F.col("url").cast("string")
-    judged = with_once(pages.select(F.col(key), url.alias("url")), {"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).drop("url")
-    judged = with_once(judged, {"found": matched_rule(F.col("host"), F.col("path"), rules), "address": address(F.col("host"), F.col("path"))})
-    edges = links(pages)
+    judged = with_once(pages.select(F.col(key), url.alias("url")), {"host": host_of(F.col("url")), "path": path_of(F.col("url")), "address": address_of(F.col("url"))}).drop("url")
+    judged = with_once(judged, {"found": matched_rule(F.col("host"), F.col("path"), rules), "address": F.col("address")})
+    linked = links(pages)
     if redirects is not None:
-        ends = [address(host_of(F.col(c)), path_of(F.col(c))).alias(c) for c in ("a", "b")]
-        edges = edges.unionByName(redirects.select(*ends)).filter("a <> b").distinct()
-    edges = cut_lineage(edges)
-    judged = judged.withColumn("component", F.col("address"))
+        for end in ("a", "b"):  # both ends of a logged redirect may lie outside the table
+            linked = linked.unionByName(redirects.select(address_of(F.col("a")).alias("a"), address_of(F.col("b")).alias("b"), F.col(end).alias("target")))
+    linked = cut_lineage(linked)
+    ends = linked.select(address_of(F.col("target")).alias("address"), rule(F.col("target"))["verdict"].alias("verdict")).filter("verdict IS NOT NULL").distinct()
+    decided = judged.select("address", F.col("found.verdict").alias("verdict")).filter("verdict IS NOT NULL").unionByName(ends)
+    judged, decided = (df.withColumn("component", F.col("address")) for df in (judged, decided))
+    edges = linked.select("a", "b").filter("a <> b").distinct()
     if not edges.isEmpty():
-        named = components(edges).select(F.col("node").alias("address"), F.col("component").alias("_named"))
-        judged = judged.drop("component").join(named, "address", "left").withColumn("component", F.coalesce("_named", "address")).drop("_named")
+        named = cut_lineage(components(edges).select(F.col("node").alias("address"), F.col("component").alias("_named")))
+        judged, decided = (df.join(named, "address", "left").withColumn("component", F.coalesce("_named", "address")).drop("_named") for df in (judged, decided))
     # One row per component, from partial aggregates.
-    fate = judged.filter("found IS NOT NULL AND component IS NOT NULL").groupBy("component").agg(
-        F.max((F.col("found.verdict") == "allow").cast("int")).alias("allowed"), F.max((F.col("found.verdict") == "block").cast("int")).alias("blocked")
+    fate = decided.filter("component IS NOT NULL").groupBy("component").agg(
+        F.max((F.col("verdict") == "allow").cast("int")).alias("allowed"), F.max((F.col("verdict") == "block").cast("int")).alias("blocked")
     )
     passed_on = F.when((F.col("blocked") == 1) & (F.col("allowed") == 0), "block").otherwise("allow")
     return judged.join(fate, "component", "left").select(
