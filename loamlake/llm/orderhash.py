@@ -6,6 +6,11 @@ least of all of them, puts them into text order and hashes that tuple. Texts wit
 another order therefore differ, as edit distance has it. Likeness is the
 share of equal slots.
 
+The functions are one 40-bit hash with its zero moved: function j counts from point j of
+``slots`` evenly spaced ones, past the greatest value on to the least. Each is a random order of the k-mers, so a slot
+is equal as often as with functions of their own, and its least k-mers are those that follow its point among
+all sorted ones, found by halving: the k-mers are hashed and sorted once, not once a function.
+
 Sorted numbers hold 40 bits of hash and 24 bits of place: beyond 16.7 million words places repeat
 and only the order inside a tuple may differ. Cases: a null text is an
 empty one, whose fingerprint is that of one empty word; a text shorter than k words is one k-mer;
@@ -44,21 +49,30 @@ def with_fingerprint(df: DataFrame, text: str, name: str, *, k: int = 3, slots:
     numbered = lambda begin: lambda i: _packed(F.xxhash64(_hash(at("_sorted", i)), i - begin), at("_sorted", i).bitwiseAND(F.lit(PLACE)))
     runs = F.transform("_first", lambda begin, r: F.transform(F.sequence(begin, F.coalesce(at("_first", r + 1), F.size("_sorted")) - 1), numbered(begin)))
     df = with_once(df, {"_all": F.flatten(runs)}).drop("_sorted", "_first")
-    df = with_once(df, {"_ids": F.transform("_all", _hash), "_all": F.col("_all")})
-
-    def slot(j: Column) -> Column:
-        return F.get(F.transform(F.array(F.transform("_ids", lambda x: F.xxhash64(x, j))), least), 0)
-
-    def least(values: Column) -> Column:
-        picked, rest = [], values
-        for _ in range(tuple_size):
-            picked.append(F.array_min(rest))
-            rest = F.array_remove(rest, picked[-1])
-        at_place = lambda v: F.struct(at("_all", F.array_position(values, v).cast("int") - 1).bitwiseAND(F.lit(PLACE)).alias("place"), v.alias("value"))
-        in_order = F.array_sort(F.transform(F.array_compact(F.array(*picked)), at_place))
-        return F.xxhash64(F.transform(in_order, lambda s: s["value"]))
-
-    return with_once(df, {name: F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), slot)}).drop("_all", "_ids")
+    df = with_once(df, {"_sorted": F.sort_array("_all")}).drop("_all")
+    size = F.size("_sorted")
+    df = with_once(df, {"_halvings": F.sequence(F.lit(1), F.length(F.bin(size)))})
+
+    def least_from(point: Column) -> Column:
+        """Number of the first hash at or above ``point``, by halving."""
+
+        def halve(s: Column, _: Column) -> Column:
+            middle = F.shiftright(s["low"] + s["high"], 1)
+            upper = F.struct((middle + 1).alias("low"), s["high"].alias("high"))
+            lower = F.struct(s["low"].alias("low"), middle.alias("high"))
+            return F.when(s["low"] >= s["high"], s).when(at("_sorted", middle) < point, upper).otherwise(lower)
+
+        return F.aggregate("_halvings", F.struct(F.lit(0).alias("low"), size.alias("high")), halve, lambda s: s["low"])
+
+    def tuple_from(i: Column) -> Column:
+        """Hash of the ``tuple_size`` hashes from number ``i`` on, which go on at the start, in text order."""
+        packed = [at("_sorted", (i + t) % size) for t in range(tuple_size)]
+        held = [F.when(F.lit(t) < size, F.struct(p.bitwiseAND(F.lit(PLACE)).alias("place"), _hash(p).alias("value"))) for t, p in enumerate(packed)]
+        return F.xxhash64(F.transform(F.array_sort(F.array_compact(F.array(*held))), lambda s: s["value"]))
+
+    points = F.array(*[F.lit((j << 64) // slots - (1 << 63)) for j in range(slots)]).cast("array<bigint>")
+    found = with_once(df, {"_found": F.transform(points, least_from)}).drop("_halvings")
+    return with_once(found, {name: F.transform("_found", tuple_from)}).drop("_found", "_sorted")
 
 
 def as_text(fingerprint: str) -> Column:
