@@ -265,8 +265,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", train: Col
     return scanner, fit(sample[FEATURES].to_numpy(), sample["label"].to_numpy()) if known else None
 
 
-def with_score(docs: DataFrame, scanner: Scanner, weights: np.ndarray | None) -> DataFrame:
-    """``docs`` (with ``text``) and the column ``_score``, in one pass without a shuffle."""
+def with_score(docs: DataFrame, scanner: Scanner, weights: np.ndarray | None, name: str = "_score") -> DataFrame:
+    """``docs`` (with ``text``) and the column ``name``, which it must not have, in one pass without a shuffle."""
     sent = send(docs.sparkSession, (scanner, weights))
     kept = [f"_c{i}" for i in range(len(docs.columns))]
 
@@ -281,7 +281,7 @@ def with_score(docs: DataFrame, scanner: Scanner, weights: np.ndarray | None) ->
     renamed = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, kept)], F.col("text").cast("string").alias("text"))
     types = ", ".join(f"{k} {f.dataType.simpleString()}" for k, f in zip(kept, docs.schema))
     made = renamed.mapInPandas(run, f"{types}, _score double")
-    return made.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, kept)], "_score")
+    return made.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, kept)], F.col("_score").alias(name))
 
 
 def scores(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", **rules) -> DataFrame:
@@ -291,5 +291,6 @@ def scores(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", **rules)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, *, at: float = 0.5, **rules) -> DataFrame:
-    """The rows of ``docs`` whose score is below ``at``."""
-    return with_score(docs, *learn(docs, labels, **rules)).filter(F.col("_score") < at).drop("_score")
+    """The rows of ``docs`` whose score is below ``at``; columns of any name are passed on."""
+    name = max(["_score", *docs.columns], key=len) + "_"  # longer than every name there is
+    return with_score(docs, *learn(docs, labels, **rules), name).filter(F.col(f"`{name}`") < at).drop(name)
