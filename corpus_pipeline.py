@@ -36,9 +36,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; columns of any name are passed on."""
     small_batches(spark)
-    return decontam.judge(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("NOT leaked").select(*docs.columns)
+    kept = [c if c == "text" else f"_kept{i}" for i, c in enumerate(docs.columns)]
+    judged = decontam.judge(docs.toDF(*kept), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return judged.filter("NOT leaked").select(*kept).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
