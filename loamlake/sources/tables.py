@@ -1,4 +1,4 @@
-"""Staged CSV, JDBC tables, catalog metadata and the synthetic source."""
+"""Staged CSV, JDBC tables and catalog metadata."""
 
 from __future__ import annotations
 
@@ -84,87 +84,3 @@ def release_preview(spark: SparkSession, database: str, table: str) -> DataFrame
     columns = catalog_columns(spark, database).filter(F.col("table_name") == table)
     counted = spark.table(f"{database}.`{table}`").agg(F.count("*").alias("row_count"))
     return columns.select("position", "column_name", "data_type", counted.scalar().alias("row_count")).orderBy("position")
-
-
-def synthetic_tables(spark: SparkSession) -> dict[str, DataFrame]:
-    """The deterministic test source: every value follows from the row number."""
-    n = F.col("n")
-
-    def rows(count: int) -> DataFrame:
-        return spark.range(1, count + 1).select(F.col("id").cast("int").alias("n"))
-
-    def padded(prefix: str, width: int, suffix: str = "", value=n):
-        return F.concat(F.lit(prefix), F.lpad(value.cast("string"), width, "0"), F.lit(suffix))
-
-    def pick(*choices):
-        return F.element_at(F.array(*[F.lit(c) for c in choices]), (n % len(choices) + 1).cast("int"))
-
-    def day(start: str, cycle: int):
-        return F.date_add(F.lit(start).cast("date"), n % cycle)
-
-    noted = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    return {
-        "hr.department": rows(12).select(
-            n.alias("department_id"),
-            padded("DEPT", 3).alias("department_code"),
-            F.concat(F.lit("Synthetic Department "), n.cast("string")).alias("department_name"),
-            pick("eng", "med", "sci", "mgt").alias("org_unit"),
-            F.lit(True).alias("is_active"),
-        ),
-        "hr.position": rows(20).select(
-            n.alias("position_id"),
-            padded("POS", 3).alias("position_code"),
-            F.concat(F.lit("Synthetic Position "), n.cast("string")).alias("position_name"),
-            (n % 8 + 1).alias("position_band"),
-        ),
-        "academic.course": rows(200).select(
-            n.alias("course_id"),
-            padded("CRS", 4).alias("course_code"),
-            F.concat(F.lit("Synthetic Course "), n.cast("string")).alias("course_name"),
-            (n % 4 + 1).alias("credits"),
-            (n % 12 + 1).alias("department_id"),
-        ),
-        "hr.employee": rows(5000).select(
-            n.alias("employee_id"),
-            (n % 12 + 1).alias("department_id"),
-            (n % 20 + 1).alias("position_id"),
-            pick("permanent", "contract", "temporary").alias("employment_type"),
-            day("2005-01-01", 7000).alias("start_date"),
-            (n % 20 != 0).alias("is_active"),
-            padded("SYNTHETIC-CID-", 9).alias("citizen_id"),
-            padded("ทดสอบ นามสมมติ ", 6).alias("full_name_thai"),
-            padded("Synthetic Employee ", 6).alias("full_name_eng"),
-            day("1960-01-01", 14000).alias("birth_date"),
-            padded("000-000-", 4, value=n % 10000).alias("phone"),
-            padded("synthetic.employee.", 6, "@example.invalid").alias("email"),
-            F.concat(F.lit("Synthetic Address "), n.cast("string"), F.lit(", Fictional District")).alias("home_address"),
-            (n % 60 * 1250 + 20000).cast("decimal(12,2)").alias("monthly_salary"),
-            noted.alias("updated_at"),
-        ),
-        "academic.student": rows(20000).select(
-            n.alias("student_id"),
-            (n % 12 + 1).alias("department_id"),
-            (n % 8 + 2018).alias("admit_year"),
-            pick("enrolled", "leave", "graduated").alias("study_status"),
-            padded("SYNTHETIC-CID-S", 8).alias("citizen_id"),
-            padded("ทดสอบ นักศึกษา ", 6).alias("full_name_thai"),
-            day("1995-01-01", 9000).alias("birth_date"),
-            padded("000-111-", 4, value=n % 10000).alias("phone"),
-            padded("synthetic.student.", 6, "@example.invalid").alias("email"),
-            noted.alias("updated_at"),
-        ),
-        "academic.enrollment": rows(60000).select(
-            n.alias("enrollment_id"),
-            (n % 20000 + 1).alias("student_id"),
-            (n % 200 + 1).alias("course_id"),
-            F.concat((n % 3 + 2023).cast("string"), F.lit("/"), (n % 2 + 1).cast("string")).alias("term"),
-            pick("A", "B+", "B", "C+", "C", "D", "F", None).alias("grade"),
-            noted.alias("updated_at"),
-        ),
-        "hr.employee_health": rows(5000).select(
-            n.alias("employee_id"),
-            pick("A", "B", "AB", "O").alias("blood_type"),
-            F.when(n % 9 == 0, F.concat(F.lit("Synthetic condition "), (n % 5).cast("string"))).alias("chronic_illness"),
-            F.when(n % 25 == 0, F.concat(F.lit("Synthetic note "), (n % 3).cast("string"))).alias("disability_note"),
-        ),
-    }

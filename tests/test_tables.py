@@ -73,34 +73,32 @@ def test_type_map(source, target):
     assert spark_type(source) == target
 
 
-def test_synthetic_source_load(spark):
-    """The registry decides: safe columns only, skips with reasons, one mark."""
-    source = S.synthetic_tables(spark)
-    sensitive = {"citizen_id", "full_name_thai", "full_name_eng", "birth_date", "phone", "email", "home_address", "monthly_salary", "grade", "blood_type", "chronic_illness", "disability_note"}
-    labels = []
-    for name, df in source.items():
-        for column in df.columns:
-            level = ("sensitive", 2) if column in sensitive or (name == "hr.employee_health") else ("internal", 1) if column == "updated_at" else ("public", 0)
-            labels.append((name, column, *level))
-    registry = spark.createDataFrame(labels, "table_name string, column_name string, classification string, secret_level int")
-    names = [*source, "hr.unregistered_scratch", "hr.retired_lookup"]
+def test_the_registry_decides_what_is_loaded(spark):
+    """Safe columns only, skips with reasons, one mark."""
+    source = {
+        "shop.items": spark.range(40).selectExpr("id AS item_id", "id % 3 AS kind", "concat('p', id) AS private_note", "current_timestamp() AS changed"),
+        "shop.sales": spark.range(1, 301).selectExpr("id AS sale_id", "id % 40 AS item_id", "id * 2 AS price"),
+        "shop.secrets": spark.range(5).selectExpr("id AS person", "'x' AS diagnosis"),
+        "shop.closed": spark.range(5).selectExpr("id AS code"),
+    }
+    labels = {"private_note": ("sensitive", 2), "price": ("sensitive", 2), "person": ("sensitive", 2), "diagnosis": ("sensitive", 2), "changed": ("internal", 1)}
+    rows_ = [(name, c, *labels.get(c, ("public", 0))) for name, df in source.items() for c in df.columns]
+    registry = spark.createDataFrame(rows_, "table_name string, column_name string, classification string, secret_level int")
     listed = spark.createDataFrame(
-        [(n, "db.sim", True, n != "hr.retired_lookup", "incremental" if "enrollment" in n else "full_refresh", "enrollment_id" if "enrollment" in n else None) for n in names],
+        [(n, "db.sim", True, n != "shop.closed", "incremental" if n == "shop.sales" else "full_refresh", "sale_id" if n == "shop.sales" else None) for n in [*source, "shop.scratch"]],
         "table_name string, host string, has_registry boolean, source_active boolean, load_mode string, incremental_column string",
     )
     job = ingest.Job(root=scratch_dir(spark, "lake"), source_key="sim", read=lambda n, c: source[n].select(*c), at=DAY[0], denied=["example.net"], allowed=["db.sim"])
     runs = {r.table_name: r for r in ingest.load_all(spark, job, listed, registry).collect()}
-    assert {n for n, r in runs.items() if r.status == "skipped"} == {"hr.employee_health", "hr.unregistered_scratch", "hr.retired_lookup"}
+    assert {n for n, r in runs.items() if r.status == "skipped"} == {"shop.secrets", "shop.closed", "shop.scratch"}
     assert all(r.skip_reason for r in runs.values() if r.status == "skipped")
-    assert (runs["hr.employee"].columns_selected, runs["hr.employee"].rows_written) == (6, 5000)
-    assert runs["academic.enrollment"].mark == "60000"
-    employee = spark.read.parquet(f"{job.root}/raw/employee")
-    assert set(K.without_audit(employee).columns) == {"employee_id", "department_id", "position_id", "employment_type", "start_date", "is_active"}
-    assert set(K.AUDIT) <= set(employee.columns)
-    again = ingest.Job(**{**job.__dict__, "at": DAY[1], "marks": {"academic.enrollment": "60000"}})
+    assert (runs["shop.items"].columns_selected, runs["shop.items"].rows_written) == (2, 40) and runs["shop.sales"].mark == "300"
+    items = spark.read.parquet(f"{job.root}/raw/items")
+    assert set(K.without_audit(items).columns) == {"item_id", "kind"} and set(K.AUDIT) <= set(items.columns)
+    again = ingest.Job(**{**job.__dict__, "at": DAY[1], "marks": {"shop.sales": "300"}})
     second = {r.table_name: r for r in ingest.load_all(spark, again, listed, registry).collect()}
-    assert (second["academic.enrollment"].rows_written, second["academic.enrollment"].mark) == (0, "60000")
-    assert spark.read.parquet(f"{job.root}/raw/enrollment").count() == 60000
+    assert (second["shop.sales"].rows_written, second["shop.sales"].mark) == (0, "300")
+    assert spark.read.parquet(f"{job.root}/raw/sales").count() == 300
 
 
 def test_bad_value_fails_the_load(spark):
