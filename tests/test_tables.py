@@ -8,7 +8,6 @@ from loamlake.plans import ingest
 from loamlake.runtime import path_exists, scratch_dir
 from loamlake.sinks import documents, folders
 from loamlake.sinks import tables as K
-from loamlake.sources import tables as S
 from loamlake.streaming import jobs
 
 DAY = [f"2024-03-0{d}T00:00:00" for d in range(1, 8)]
