@@ -21,8 +21,13 @@ def _fs(spark: SparkSession, uri: str):
 def put_if_absent(spark: SparkSession, uri: str, body: str) -> bool:
     """Create a small file unless it is there; of several callers one succeeds, as the file system's create promises."""
     fs, path = _fs(spark, uri)
+    local = fs.getUri().getScheme() == "file"
+    if local:  # there the file system looks first and creates then; the machine's own call does both at once
+        fs.mkdirs(path.getParent())
+        if not spark.sparkContext._jvm.java.io.File(path.toUri().getPath()).createNewFile():
+            return False
     try:
-        out = fs.create(path, False)
+        out = fs.create(path, local)
     except Py4JJavaError as error:
         if "AlreadyExists" in str(error.java_exception):
             return False
