@@ -6,6 +6,8 @@ Everything but the HTML entity decoding is a JVM expression.
 from __future__ import annotations
 
 import html
+import re
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,9 +29,23 @@ def _decode_entities(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
-def decode_entities(text: Column) -> Column:
-    """HTML entity decoding; only texts holding an ampersand travel to Python."""
-    return F.coalesce(_decode_entities(F.when(F.contains(text, F.lit("&")), text)), text)
+@F.pandas_udf(T.StringType())
+def _decode_closed_entities(texts: pd.Series) -> pd.Series:
+    entity = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z0-9]+);")
+
+    def one(found: re.Match) -> str:
+        return html.unescape(found[0]) if found[0][1] == "#" or found[0][1:] in html5 else found[0]
+
+    return texts.map(lambda t: entity.sub(one, t), na_action="ignore")
+
+
+def decode_entities(text: Column, *, open_ended: bool = True) -> Column:
+    """HTML entity decoding; only texts holding an ampersand travel to Python.
+
+    Old names such as ``&amp`` count without their semicolon, as in browsers, unless ``open_ended`` is off.
+    """
+    decode = _decode_entities if open_ended else _decode_closed_entities
+    return F.coalesce(decode(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
 def strip(text: Column) -> Column:
@@ -39,7 +55,7 @@ def strip(text: Column) -> Column:
 
 
 def clean_text(
-    text: Column, *, strip_html: bool = True, strip_urls: bool = False, strip_emails: bool = False
+    text: Column, *, strip_html: bool = True, strip_urls: bool = False, strip_emails: bool = False, open_entities: bool = True
 ) -> Column:
     """Normalise one text: markup, then links, then white space, in that order.
 
@@ -48,7 +64,7 @@ def clean_text(
     """
     out = F.coalesce(text, F.lit(""))
     if strip_html:
-        out = F.regexp_replace(decode_entities(out), r"<[^>]+>", " ")
+        out = F.regexp_replace(decode_entities(out, open_ended=open_entities), r"<[^>]+>", " ")
     if strip_urls:
         out = F.regexp_replace(out, r"(?iU)https?://[^\s\x1C-\x1F]+|www\.[^\s\x1C-\x1F]+", " ")
     if strip_emails:

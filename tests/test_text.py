@@ -66,6 +66,12 @@ def test_known_cases(spark):
     assert [r.c for r in rows.select(X.clean_text(F.col("t")).alias("c")).collect()] == ["a\n\n\nb", "x& y"]
 
 
+def test_entities_without_a_semicolon(spark):
+    rows = spark.createDataFrame([("a&amp <b>b</b> &ampx; &copy;&#65;&nope;",)], "t string")
+    made = [X.clean_text(F.col("t")), X.clean_text(F.col("t"), open_entities=False)]
+    assert list(rows.select(*made).first()) == ["a& b &x; ©A&nope;", "a&amp b &ampx; ©A&nope;"]
+
+
 def test_redaction(spark):
     row = spark.createDataFrame([("jdbc://me:secret@db.example.net/x",)], "t string")
     assert row.select(X.redact_credentials(F.col("t"))).first()[0] == "jdbc://<redacted>@db.example.net/x"
