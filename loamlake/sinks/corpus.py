@@ -11,6 +11,8 @@ from loamlake.sources.shards import KEYS, list_shards, next_shard, read_sidecar
 
 SHARD_CHARS = 100_000_000
 MERGED_FILE_BYTES = 1 << 30
+# One task writes several small shards, of so much together.
+TASK_CHARS = 1 << 27
 
 
 def write_shards(df: DataFrame, root: str, order: list[str], shard_chars: int = SHARD_CHARS) -> dict:
@@ -25,7 +27,7 @@ def write_shards(df: DataFrame, root: str, order: list[str], shard_chars: int =
     seen = Observation()
     figures = [F.count("*").alias("rows"), F.coalesce(F.sum("char_count"), F.lit(0)).alias("chars")]
     (
-        numbered(sharded, first).repartition(count, "shard")
+        numbered(sharded, first).repartition(write_tasks(df.sparkSession, count, shard_chars), "shard")
         .sortWithinPartitions("shard", *order)
         .observe(seen, *figures)
         .write.mode("append")
@@ -37,6 +39,11 @@ def write_shards(df: DataFrame, root: str, order: list[str], shard_chars: int =
     return {"first": first, "shards": count, "rows": 0, "chars": 0, **seen.get}
 
 
+def write_tasks(spark: SparkSession, shards: int, shard_chars: int) -> int:
+    """Tasks that write ``shards`` shards: no more than their size or the session's cores ask for, as each task reports to the driver."""
+    return min(shards, max(2 * spark.sparkContext.defaultParallelism, -(-shards * shard_chars // TASK_CHARS)))
+
+
 def numbered(df: DataFrame, first: int) -> DataFrame:
     """``shard`` counted from ``first``, with five digits at least."""
     return df.withColumn("shard", F.format_string("%05d", F.col("shard") + first))
@@ -47,7 +54,8 @@ def write_sidecar(df: DataFrame, root: str, name: str, first: int, shards: int)
 
     It is written after the shards, so a file that is there covers its shard.
     """
-    numbered(df, first).repartition(shards, "shard").write.mode("append").partitionBy("shard").parquet(f"{root}/{name}")
+    tasks = min(shards, max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-shards // 32)))
+    numbered(df, first).repartition(tasks, "shard").write.mode("append").partitionBy("shard").parquet(f"{root}/{name}")
 
 
 def manifest_totals(df: DataFrame, target: int | None = None) -> DataFrame:

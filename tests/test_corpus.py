@@ -236,3 +236,16 @@ def test_fuzzy_run(spark):
     root = scratch_dir(spark, "test-fuzzy")
     plan.run(spark, records(spark, base + [t + "z" for t in base]), root, order=["arrival"], fuzzy=True, script=("A", "z"))
     assert {int(r.doc_id) for r in shards.written_records(spark, root).collect()} == set(range(10))
+
+
+def test_many_small_shards_are_written_by_few_tasks(spark):
+    """One file a shard, and no more tasks than the session's cores and the size ask for."""
+    root = scratch_dir(spark, "shards")
+    rows = spark.range(400).select(F.col("id").alias("arrival"), F.lit(10).cast("bigint").alias("char_count"), F.lit("t").alias("text"))
+    made = sink.write_shards(rows, root, ["arrival"], 10)
+    listed = shards.list_shards(spark, root).agg(F.count("*").alias("files"), F.count_distinct("shard").alias("shards")).first()
+    assert (made["shards"], listed.files, listed.shards) == (400, 400, 400)
+    tasks = spark.read.parquet(root).select(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1)).distinct().count()
+    assert tasks <= 2 * spark.sparkContext.defaultParallelism
+    assert (sink.write_tasks(spark, 60_000, 100_000), sink.write_tasks(spark, 60, 100_000_000)) == (45, 45)
+    assert sink.write_tasks(spark, 1, 10) == 1
