@@ -10,8 +10,8 @@ from loamlake.operators.running import assign_shards
 from loamlake.sources.shards import KEYS, list_shards, next_shard, read_sidecar
 
 SHARD_CHARS = 100_000_000
-MERGED_FILE_BYTES = 1 << 30
-# One task writes several small shards, of so much together.
+# One task writes a merged file, and one task several small shards: so much of them at most, more only of a shard that is larger.
+MERGED_FILE_BYTES = 1 << 26
 TASK_CHARS = 1 << 27
 
 
@@ -86,7 +86,7 @@ def write_manifest(spark: SparkSession, root: str, totals: DataFrame) -> None:
 def merge_shards(spark: SparkSession, root: str, out: str, order: list[str], files: int | None = None) -> int:
     """All shards in order as few large files; returns the number of files.
 
-    The default aims at one gibibyte per file; ``files=1`` asks for a single one.
+    The default aims at 64 MiB per file, which one task sorts and writes; ``files=1`` asks for a single one.
     """
     size = list_shards(spark, root).agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     files = files or max(1, -(-size // MERGED_FILE_BYTES))

@@ -249,3 +249,14 @@ def test_many_small_shards_are_written_by_few_tasks(spark):
     assert tasks <= 2 * spark.sparkContext.defaultParallelism
     assert (sink.write_tasks(spark, 60_000, 100_000), sink.write_tasks(spark, 60, 100_000_000)) == (45, 45)
     assert sink.write_tasks(spark, 1, 10) == 1
+
+
+def test_merged_files_are_bounded_and_in_order(spark, monkeypatch):
+    assert sink.MERGED_FILE_BYTES <= 1 << 26
+    root, out = scratch_dir(spark, "shards"), scratch_dir(spark, "merged")
+    rows = spark.range(400).select(F.col("id").alias("arrival"), F.lit(10).cast("bigint").alias("char_count"), F.lit("t").alias("text"))
+    sink.write_shards(rows, root, ["arrival"], 500)
+    monkeypatch.setattr(sink, "MERGED_FILE_BYTES", 2000)
+    assert sink.merge_shards(spark, root, out, ["arrival"]) > 1
+    got = spark.read.parquet(out).select("arrival", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("r")).orderBy("f", "r").collect()
+    assert [g.arrival for g in got] == list(range(400))
