@@ -2,14 +2,17 @@
 
 All shingles have one global order, rare ones first; it is cut into fragments of
 equal weight. A set's first few shingles are indexed: two sets that are similar
-enough share one of them. For a candidate pair the overlap is counted in each
-fragment by itself and summed; the fragment of the rarest shingles goes first, as
-what it leaves open settles most pairs.
+enough share one of them. A candidate pair is first held against the parities of its sets:
+the universe of shingles is dealt over the bits of a sketch, a bit says whether the set has an odd number
+of its shingles, and bits that differ are no more than shingles that differ. What this leaves open
+is counted: the overlap in each fragment by itself, then summed.
 
 Equal sets are one class from the start, so copies cost nothing. Inside the sets
 that share an indexed shingle not all pairs are made: each round compares a few
 pivots with the rest, joins what is similar, and leaves out pairs that are already in
-one component and pivots that have met everyone. Rounds go on until no pair is open, so no link
+one component and pivots that have met everyone. The first pivots are the sets with the fewest shingles
+rarer than the shared one: the text that near copies were made from comes before them and joins them at once. Of two
+sets the smaller, if they are similar, shares one of its very first shingles, so only those are pivots. Rounds go on until no pair is open, so no link
 between different components is lost.
 
 The order comes from shingle counts over all documents in ``BINS`` hash bins: a
@@ -60,6 +63,13 @@ def shingle_sets(texts, k: int) -> list[np.ndarray]:
     return out
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Bits, in 64-bit words: whether the set has an odd number of the shingles dealt to each; as many bits as shingles, up to a power of two."""
+    width = max(64, 1 << max(len(tokens) - 1, 0).bit_length())
+    odd = np.bincount(((tokens >> U(20)) & U(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def class_of(tokens: np.ndarray) -> bytes:
     """128-bit name of a set."""
     return np.array([mix(tokens ^ U(c)).sum(dtype=U) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], U).tobytes()
@@ -95,12 +105,12 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", k: int = 3, perc
     sent = send(spark, (rank, fragment))  # BINS numbers each
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Two kinds of rows: a class and one of its first shingles; a class and 16 bits of each of its shingles in fragment 0."""
-        rank, fragment = sent()
+        """Two kinds of rows: a class and one of its first shingles; a class and its parities."""
+        rank, _ = sent()
         seen = set()  # copies in one task are indexed once
         with np.errstate(over="ignore"):
             for frame in blocks(frames, 1 << 18):
-                tokens, names, sizes, places, rare = [], [], [], [], []
+                tokens, names, sizes, places, sketches = [], [], [], [], []
                 for s in shingle_sets(frame["text"], k):
                     name = class_of(s)
                     if not len(s) or name in seen:
@@ -113,20 +123,18 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", k: int = 3, perc
                     names += [name] * len(kept)
                     sizes += [len(s)] * len(kept)
                     places.append(np.arange(len(kept), dtype=np.int32))
-                    own = s[fragment[bins] == 0]
-                    short = np.unique((own >> U(20)).astype(np.uint16)).view(np.int16)
-                    rare.append((name, len(own), len(own) - len(short), short))
+                    sketches.append((name, parities(s)))
                 if tokens:
-                    yield pd.DataFrame({"token": np.concatenate(tokens), "cls": names, "n": np.array(sizes, np.int32), "place": np.concatenate(places), "short": None})
-                    yield pd.DataFrame(rare, columns=["cls", "n", "place", "short"]).assign(token=None)
+                    yield pd.DataFrame({"token": np.concatenate(tokens), "cls": names, "n": np.array(sizes, np.int32), "place": np.concatenate(places), "bits": None})
+                    yield pd.DataFrame(sketches, columns=["cls", "bits"]).assign(token=None, n=None, place=None)
 
     bucket = Window.partitionBy("token")
-    both = cut_lineage(rows.mapInPandas(index, "token bigint, cls binary, n int, place int, short array<short>"), "index")
-    indexed = both.filter("short IS NULL").select("token", "cls", "n", "place")
+    both = cut_lineage(rows.mapInPandas(index, "token bigint, cls binary, n int, place int, bits array<bigint>"), "index")
+    indexed = both.filter("bits IS NULL").select("token", "cls", "n", "place")
     shared_by = indexed.withColumns({"_low": F.min("cls").over(bucket), "_high": F.max("cls").over(bucket)})
     open_rows = cut_lineage(shared_by.filter("_low < _high").select("token", "cls", "n", "place", F.col("cls").alias("comp")).distinct(), "open")
-    rare = both.filter("short IS NOT NULL").select("cls", F.col("n").alias("n0"), F.col("place").alias("hidden"), "short")
-    rare = cut_lineage(rare.dropDuplicates(["cls"]).join(open_rows.select("cls").distinct(), "cls", "left_semi"), "rare")
+    sketches = both.filter("bits IS NOT NULL").select("cls", "bits").dropDuplicates(["cls"])
+    sketches = cut_lineage(sketches.join(open_rows.select("cls").distinct(), "cls", "left_semi"), "sketches")
 
     def cut_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _, fragment = sent()
@@ -141,13 +149,16 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", k: int = 3, perc
                 yield pd.DataFrame(out, columns=["cls", "fragment", "tokens"])
 
     def possible(pairs: DataFrame) -> DataFrame:
-        """Of (a, b, na, nb) those whose overlap in fragment 0 leaves enough for the rest; never fewer than are similar."""
+        """Of (a, b, na, nb) those whose parities differ in few enough bits; never fewer than are similar."""
         for side in ("a", "b"):
-            own = rare.select(F.col("cls").alias(side), F.col("n0").alias(f"n0{side}"), F.col("hidden").alias(f"h{side}"), F.col("short").alias(f"s{side}"))
-            pairs = pairs.join(own, side)
-        partial = F.size(F.array_intersect("sa", "sb")) + F.least("ha", "hb")
-        most = partial + F.least(F.col("na") - F.col("n0a"), F.col("nb") - F.col("n0b"))
-        return pairs.filter(enough(most, F.col("na"), F.col("nb"))).select("a", "b", "na", "nb")
+            pairs = pairs.join(sketches.select(F.col("cls").alias(side), F.col("bits").alias(f"s{side}")), side)
+        xor = lambda x, y: x.bitwiseXOR(y)
+        size = F.least(F.size("sa"), F.size("sb"))
+        # Sets of similar sizes have sketches of one width or of neighbouring ones; the wider is folded.
+        folded = [F.when(F.size(c) > size, F.zip_with(F.slice(c, F.lit(1), size), F.slice(c, size + 1, size), xor)).otherwise(F.col(c)) for c in ("sa", "sb")]
+        differ = F.aggregate(F.zip_with(*folded, lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda t, x: t + x)
+        both = F.col("na") + F.col("nb")
+        return pairs.filter((100 + percent) * differ <= (100 - percent) * both).select("a", "b", "na", "nb")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of (a, b, na, nb) those similar enough: partial overlaps by fragment, summed by pair."""
@@ -168,13 +179,15 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", k: int = 3, perc
     def enough(overlap, na, nb):
         return (100 + percent) * overlap >= percent * (na + nb)
 
-    links, most = None, 8
+    # Of similar sets the smaller has, so early, a shingle they share: its overlap must be what two sets of its size need, or more.
+    early = enough(F.col("n") - F.col("place"), F.col("n"), F.col("n"))
+    links, most = None, 2
     while not open_rows.isEmpty():
-        # Pivots: the first by hash, members of small components first; everyone else in the bucket meets them.
+        # Pivots: early members, those of small components first, then those of few rarer shingles; everyone else in the bucket meets them.
         of_comp = F.count("*").over(Window.partitionBy("token", "comp"))
-        nth = F.row_number().over(bucket.orderBy("_size", F.xxhash64("cls"), "cls"))
+        nth = F.row_number().over(bucket.orderBy(~early, "_size", "place", F.xxhash64("cls"), "cls"))
         ranked = open_rows.withColumn("_size", of_comp if links is not None else F.lit(1)).withColumn("nth", nth).drop("_size")
-        pivots = ranked.filter(F.col("nth") <= most).select("token", *[F.col(c).alias(f"p{c}") for c in ("cls", "n", "place", "comp", "nth")])
+        pivots = ranked.filter(early & (F.col("nth") <= most)).select("token", *[F.col(c).alias(f"p{c}") for c in ("cls", "n", "place", "comp", "nth")])
         met = ranked.join(pivots, "token").filter("nth > pnth AND comp <> pcomp")
         # If the shared shingle is the first one of both, the overlap is at most what follows it; the pair meets there if nowhere else.
         rest = F.least(F.col("n") - F.col("place"), F.col("pn") - F.col("pplace"))
@@ -188,15 +201,15 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", k: int = 3, perc
         found = cut_lineage(verified(pairs), "links") if not pairs.isEmpty() else None
         if found is not None:
             links = found if links is None else links.unionByName(found)
-        apart = {"_low": F.min("comp").over(bucket), "_high": F.max("comp").over(bucket)}
-        still_open = lambda df: cut_lineage(df.withColumns(apart).filter("_low < _high").drop("_low", "_high"), "open")  # noqa: B023, E731
+        apart = {"_low": F.min("comp").over(bucket), "_high": F.max("comp").over(bucket), "_early": F.max(early).over(bucket)}
+        still_open = lambda df: cut_lineage(df.withColumns(apart).filter("_low < _high AND _early").drop(*apart), "open")  # noqa: B023, E731
         left_over = still_open(ranked.filter(F.col("nth") > most).drop("nth"))
         if found is not None and not left_over.isEmpty():
             comp = open_rows.select("cls", "comp").distinct()
             ends = found.join(comp.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b")
             renamed = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), "component")
             left_over = still_open(left_over.join(renamed, "comp", "left").select("token", "cls", "n", "place", F.coalesce("component", "comp").alias("comp")))
-        open_rows, most = left_over, 4 * most
+        open_rows, most = left_over, 8 * most
 
     named = members.filter("n > 0").groupBy("cls").agg(F.min("key").alias("least"))
     if links is not None:

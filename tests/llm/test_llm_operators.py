@@ -126,6 +126,27 @@ def test_jaccard_large_groups_lose_no_link(spark):
     assert got == {n: min(m for j, (m, _) in enumerate(rows) if group[j] == group[i]) for i, (n, _) in enumerate(rows)}
 
 
+def test_jaccard_pairs_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """Most copies of one text are too far from each other; few pairs are made to find that out, and parities rule out no link."""
+    made, write = [], jaccard.cut_lineage
+
+    def counted(df, label="cut"):
+        out = write(df, label)
+        made.extend([out.count()] if label == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(jaccard, "cut_lineage", counted)
+    rows = [(i, edited(prose("one", 140), i, i % 6)) for i in range(400)]
+    sets, group = links_by_hand(rows, 3, 90)
+    got = {r["doc_id"]: r["component"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
+    assert got == {n: min(m for j, (m, _) in enumerate(rows) if group[j] == group[i]) for i, (n, _) in enumerate(rows)}
+    assert sum(made) <= 4 * len(rows)
+    left, right = ({int(x) for x in np.random.default_rng(s).integers(0, 1 << 62, n)} for s, n in ((1, 500), (2, 60)))
+    bits = [jaccard.parities(np.array(sorted(x), np.uint64)).view(np.uint64) for x in (left, left | right, left ^ set(list(left)[:20]))]
+    wide = bits[1].reshape(2, -1)
+    assert np.bitwise_count(bits[0] ^ wide[0] ^ wide[1]).sum() <= 60 and np.bitwise_count(bits[0] ^ bits[2]).sum() <= 20
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200 + i) for i in range(40)] + [(300, 300), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
