@@ -1,6 +1,8 @@
 import random
 
 from datetime import datetime
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from loamlake.runtime import scratch_dir
@@ -87,3 +89,63 @@ def test_dedup_stream_remembers_across_runs(spark):
 def test_bounded_dedup_stream(spark):
     stream = spark.readStream.format("rate").load().select(F.col("timestamp").alias("ts"), F.lit("x").alias("text"))
     assert jobs.dedup_stream(stream, ts="ts").isStreaming
+
+
+class Store:
+    """Counts the calls of a state processor, which cost far more than rows."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class Clock:
+    def __init__(self, now):
+        self.getCurrentProcessingTimeInMs = self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: now
+
+
+def test_states_of_many_keys_cost_few_calls():
+    """A thousand keys of a group are one value of the store; with a time to forget, a key in time is dropped, a later one comes again."""
+    store, first = Store(), stateful.KeepFirst(1000)
+    first.init(store)
+    keys = [f"{i:032x}" for i in range(1000)]
+    rows = lambda at, place: pd.DataFrame({"key": keys, "at_us": at, "place": place})
+    assert not list(first.handleInputRows((0,), iter([rows(5_000_000, 9), rows(4_000_000, 7), rows(4_000_000, 8)]), Clock(0)))
+    (given,) = first.handleExpiredTimer((0,), Clock(4001), Clock(min(store.timers)))
+    assert sorted(given["key"]) == keys and set(given["place"]) == {7} and store.calls < 12
+    store.timers.discard(4001)
+    list(first.handleInputRows((0,), iter([rows(4_900_000, 1), rows(5_600_000, 3), rows(4_999_000, 2)]), Clock(4001)))
+    (given,) = first.handleExpiredTimer((0,), Clock(5601), Clock(min(store.timers)))
+    assert set(given["place"]) == {3}
+    store.timers.discard(5601)
+    assert not list(first.handleExpiredTimer((0,), Clock(9000), Clock(min(store.timers)))) and store.value is None
+
+    store, limiter = Store(), stateful.Limiter(1, 1_000_000, True)
+    limiter.init(store)
+    tries = pd.DataFrame({"key": keys, "at_us": 0, "event_id": range(1000), "failed": True})
+    decided = [next(iter(limiter.handleInputRows((0,), iter([tries]), Clock(at))))["allowed"].all() for at in (0, 500, 1500)]
+    assert decided == [True, False, True] and store.calls <= 6
