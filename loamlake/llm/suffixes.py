@@ -36,6 +36,8 @@ from loamlake.runtime import cut_lineage
 
 GRAM = 32
 BINS = 1 << 16
+# Characters whose grams are worked on at once: a task holds some dozen numbers for each.
+BLOCK = 1 << 18
 
 
 def sliding(op, x: np.ndarray, width: int) -> np.ndarray:
@@ -176,7 +178,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, batch_rows: int = 8192) -
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BINS, np.int64)
-        for frame in blocks(frames):
+        for frame in blocks(frames, BLOCK):
             total += gram_counts(frame["text"])
         bins = np.flatnonzero(total)
         yield pd.DataFrame({"bin": bins, "n": total[bins]})
@@ -188,7 +190,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, batch_rows: int = 8192) -
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequent, seen = sent(), set()  # copies in one task are read once
-        for frame in blocks(frames):
+        for frame in blocks(frames, BLOCK):
             frame = frame[[h not in seen and not seen.add(h) for h in frame["h"]]]
             fp, doc, place = anchors(frame["text"], length, frequent)
             yield pd.DataFrame({"fp": fp, "h": frame["h"].to_numpy()[doc], "place": place})

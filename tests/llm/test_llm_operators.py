@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import pairwise
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loamlake.llm import decontam, jaccard, language, licenses, orderhash, packing, queries, suffixes, tokenfile, toxicity, urls
+from loamlake.llm.blocks import blocks
 from loamlake.llm.components import components
 from loamlake.runtime import cut_lineage
 
@@ -147,6 +150,19 @@ def test_jaccard_pairs_do_not_grow_with_the_square_of_a_group(spark, monkeypatch
     assert np.bitwise_count(bits[0] ^ wide[0] ^ wide[1]).sum() <= 60 and np.bitwise_count(bits[0] ^ bits[2]).sum() <= 20
 
 
+def test_anchors_of_a_block_take_little_memory():
+    """However large a frame is, a task works on few characters of it at once."""
+    texts = [prose(str(i), 2000) for i in range(100)]
+    tracemalloc.start()
+    with np.errstate(over="ignore"):
+        for frame in blocks(iter([pd.DataFrame({"text": texts})]), suffixes.BLOCK):
+            suffixes.gram_counts(frame["text"])
+            suffixes.anchors(frame["text"], 200, np.zeros(suffixes.BINS, bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 1 << 20 and peak < 48 << 20
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200 + i) for i in range(40)] + [(300, 300), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
