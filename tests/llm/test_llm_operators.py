@@ -383,6 +383,34 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     assert got == {d: (len(found), max(max(x) for x in found.values())) for d, found in want.items()}
 
 
+def test_decontamination_looks_words_up_once(monkeypatch):
+    """The words of a text are searched among those of all items once, not once per batch of items; so are a stride's bins sorted by themselves."""
+    rng = np.random.default_rng(3)
+    items = decontam.Items([], [], [])
+    for i in range(300):
+        items.ids.append(i)
+        items.words.append(rng.integers(0, 2**64, 20, dtype=np.uint64))
+        items.answers.append(items.words[-1][-5:])
+    vocabulary = decontam.Vocabulary(items)
+    held = np.concatenate(items.words)
+    words = np.concatenate([rng.integers(0, 2**64, 5000, dtype=np.uint64), held[::7], held[::11] + np.uint64(1)])
+    rng.shuffle(words)
+    place, number = vocabulary.find(words)
+    known = set(held.tolist())
+    assert place.tolist() == [i for i, w in enumerate(words.tolist()) if w in known] and (vocabulary.words[number] == words[place]).all()
+
+    batches, searched, search = decontam.batched(items, vocabulary), [], np.searchsorted
+    space = decontam.Space(np.ones(decontam.FEATURES), np.ones((decontam.FEATURES, 2), np.float32))
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest: searched.append(np.size(v) if a is vocabulary.words else 0) or search(a, v, *rest))
+    decontam.candidates(words, np.array([len(words)]), items, vocabulary, batches, space, np.ones((300, 2), np.float32), 16, 3, 2.0, 0.5)
+    assert len(batches) == 5 and 0 < sum(searched) < len(words) / 2
+
+    sizes = np.array([16, 1, 16, 7, 16])
+    bins = rng.integers(0, 9, sizes.sum())
+    parts = np.split(bins, np.cumsum(sizes)[:-1])
+    assert sorted(decontam.stride_bins(bins, sizes, 16).tolist()) == sorted(b for part in parts for b in set(part.tolist()))
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
