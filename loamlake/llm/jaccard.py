@@ -33,9 +33,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamlake.llm.blocks import U, blocks, mix, send, word_hashes
+from loamlake.llm.blocks import U, blocks, fetched, mix, send, word_hashes
 from loamlake.llm.components import components
-from loamlake.runtime import cut_lineage
+from loamlake.runtime import cut_lineage, forget
 
 BINS = 1 << 18
 NO_KEY = -(1 << 63)
@@ -93,7 +93,7 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", k: int = 3, perc
 
     first = cut_lineage(rows.mapInPandas(classes, "key bigint, of_text bigint, n int, cls binary, bin int, weight bigint"), "classes")
     members = first.filter("bin IS NULL").select("key", "of_text", "n", "cls")
-    weights = first.filter("bin IS NOT NULL").groupBy("bin").agg(F.sum("weight").alias("weight")).toPandas()  # BINS numbers
+    weights = fetched(first.filter("bin IS NOT NULL").groupBy("bin").agg(F.sum("weight").alias("weight")))  # BINS numbers
     weight = np.zeros(BINS, np.int64)
     weight[weights["bin"].to_numpy(np.int64)] = weights["weight"].to_numpy(np.int64)
     order = np.argsort(weight, kind="stable")
@@ -135,6 +135,7 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", k: int = 3, perc
     open_rows = cut_lineage(shared_by.filter("_low < _high").select("token", "cls", "n", "place", F.col("cls").alias("comp")).distinct(), "open")
     sketches = both.filter("bits IS NOT NULL").select("cls", "bits").dropDuplicates(["cls"])
     sketches = cut_lineage(sketches.join(open_rows.select("cls").distinct(), "cls", "left_semi"), "sketches")
+    forget(both)
 
     def cut_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _, fragment = sent()
@@ -174,7 +175,9 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", k: int = 3, perc
         right = pieces.select(F.col("cls").alias("b"), "fragment", F.col("tokens").alias("tb"))
         partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("overlap"))
         total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-        return total.filter(enough(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")
+        similar = cut_lineage(total.filter(enough(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b"), "links")
+        forget(chosen, pieces)
+        return similar
 
     def enough(overlap, na, nb):
         return (100 + percent) * overlap >= percent * (na + nb)
@@ -198,7 +201,8 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", k: int = 3, perc
             F.when(first_is, F.col("n")).otherwise(F.col("pn")).alias("na"), F.when(first_is, F.col("pn")).otherwise(F.col("n")).alias("nb"),
         )
         pairs = cut_lineage(possible(pairs.distinct()), "pairs")
-        found = cut_lineage(verified(pairs), "links") if not pairs.isEmpty() else None
+        found = verified(pairs) if not pairs.isEmpty() else None
+        forget(pairs)
         if found is not None:
             links = found if links is None else links.unionByName(found)
         apart = {"_low": F.min("comp").over(bucket), "_high": F.max("comp").over(bucket), "_early": F.max(early).over(bucket)}

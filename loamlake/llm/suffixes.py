@@ -31,8 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamlake.llm.blocks import U, blocks, joined, prefix_hash, range_hash, send, spans
-from loamlake.runtime import cut_lineage
+from loamlake.llm.blocks import U, blocks, fetched, joined, prefix_hash, range_hash, send, spans
+from loamlake.runtime import cut_lineage, forget
 
 GRAM = 32
 BINS = 1 << 16
@@ -183,7 +183,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, batch_rows: int = 8192) -
         bins = np.flatnonzero(total)
         yield pd.DataFrame({"bin": bins, "n": total[bins]})
 
-    counts = rows.select("text").mapInPandas(count, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # BINS numbers
+    counts = fetched(rows.select("text").mapInPandas(count, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")))  # BINS numbers
     frequent = np.zeros(BINS, bool)
     frequent[counts["bin"].to_numpy(np.int64)[counts["n"].to_numpy() > 16 * counts["n"].sum() / BINS]] = True
     sent = send(docs.sparkSession, frequent)
@@ -241,7 +241,9 @@ def repeated_spans(docs: DataFrame, length: int = 200, batch_rows: int = 8192) -
     spans_by_text = found.groupBy("h").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans"))
     copies = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", F.lit(True).alias("copied"))
     both = copies.join(spans_by_text, "h", "full")
-    return cut_lineage(both.select("h", F.when(F.col("copied"), F.lit(None)).otherwise(F.col("spans")).alias("spans"), F.coalesce("copied", F.lit(False)).alias("copied")), "spans")
+    spans_made = cut_lineage(both.select("h", F.when(F.col("copied"), F.lit(None)).otherwise(F.col("spans")).alias("spans"), F.coalesce("copied", F.lit(False)).alias("copied")), "spans")
+    forget(by_text)
+    return spans_made
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamlake.llm.blocks import blocks, send, shared, spans
+from loamlake.llm.blocks import blocks, fetched, send, shared, spans
 from loamlake.runtime import cut_lineage
 
 # Reporting words before a hit, in the languages at hand: fixed values.
@@ -260,7 +260,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", train: Col
             yield pd.concat([frame[["label"]], made], axis=1)
 
     schema = "label int, " + ", ".join(f"{f} double" for f in FEATURES)
-    sample = labelled.mapInPandas(scan, schema).toPandas().sort_values(["label", *FEATURES])  # bounded by train_rows
+    sample = fetched(labelled.mapInPandas(scan, schema)).sort_values(["label", *FEATURES])  # bounded by train_rows
     known = sample["label"].nunique() == 2
     return scanner, fit(sample[FEATURES].to_numpy(), sample["label"].to_numpy()) if known else None
 

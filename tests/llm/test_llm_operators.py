@@ -1,8 +1,10 @@
 """Each training-data operator against a brute-force version, on small texts with every awkward case."""
 
 import hashlib
+import os
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -20,7 +22,8 @@ from tokenizers import Tokenizer
 from loamlake.llm import decontam, jaccard, language, licenses, orderhash, packing, queries, suffixes, tokenfile, toxicity, urls
 from loamlake.llm.blocks import blocks
 from loamlake.llm.components import components
-from loamlake.runtime import cut_lineage
+from loamlake.llm.blocks import fetched
+from loamlake.runtime import cut_lineage, forget, path_exists, shared_dir
 
 WORDS = [a + b for a in ("ba", "ku", "tir", "mo", "sel") for b in ("ran", "do", "vis", "lem", "ka", "tu")]
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -411,6 +414,41 @@ def test_decontamination_looks_words_up_once(monkeypatch):
     assert sorted(decontam.stride_bins(bins, sizes, 16).tolist()) == sorted(b for part in parts for b in set(part.tolist()))
 
 
+def test_a_written_step_leaves_no_shuffle_files_and_can_be_forgotten(spark):
+    kept = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f.getName() for f in (kept.getAllFiles().apply(i) for i in range(kept.getAllFiles().size())) if f.getName().startswith("shuffle_")}
+    before = shuffled()
+    made = cut_lineage(spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count(), "step")
+    deadline = time.time() + 20
+    while shuffled() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffled() - before and made.count() == 7
+    other = cut_lineage(spark.range(3), "other")
+    folder = made.inputFiles()[0].rsplit("/", 1)[0]
+    forget(made)
+    assert not path_exists(spark, folder) and other.count() == 3
+
+
+def test_pairs_and_spans_leave_only_what_they_return(spark, docs):
+    """The index of all sets, the pieces of compared ones and the anchors of all texts go when nothing reads them any more."""
+    shared = shared_dir(spark).removeprefix("file:") + "/loamlake"
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    jaccard.jaccard_components(docs)
+    suffixes.repeated_spans(docs)
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(shared)) - before}
+    assert {"classes", "spans"} <= left and not left & {"index", "pairs", "chosen", "fragments", "places"}
+
+
+def test_counts_reach_the_driver_without_an_object_each(spark):
+    rows = spark.range(1 << 17).select("id", (F.col("id") * 3).alias("n"))
+    fetched(rows.limit(1))
+    tracemalloc.start()
+    got = fetched(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got["n"] == 3 * got["id"]).all() and len(got) == 1 << 17 and peak < 8 << 20
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
