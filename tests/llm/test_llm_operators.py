@@ -4,6 +4,8 @@ import hashlib
 import os
 import random
 import re
+import subprocess
+import sys
 import time
 import tracemalloc
 import zlib
@@ -629,3 +631,27 @@ def test_differencing():
     assert packing.windows([], 10) == []
     full = packing.windows([6, 6, 6], 10)  # two windows would do for the sum, but not for the pieces
     assert sorted(i for p in full for i in p) == [0, 1, 2] and len(full) == 3
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory of a process is read from /proc")
+def test_a_used_worker_gives_back_what_a_task_freed():
+    """As a reused worker: much is freed below something that stays, and the next task's first block finds it returned."""
+    code = r"""
+import re
+import numpy as np, pandas as pd
+from loamlake.llm.blocks import blocks
+held = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+frame = pd.DataFrame({"text": ["a b c"]})
+list(blocks(iter([frame])))
+before = held()
+many = [np.ones(10_000, np.uint8) for _ in range(10_000)]
+last = many[-1]
+del many
+kept = held()
+assert [len(x) for x in blocks(iter([frame]))] == [1]
+print(before, kept, held())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    made = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    before, kept, after = map(float, made.stdout.split())
+    assert after < before + 20 and (kept < before + 20 or after < kept / 1.5)
