@@ -388,6 +388,41 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     assert got == {d: (len(found), max(max(x) for x in found.values())) for d, found in want.items()}
 
 
+def test_decontamination_space_covers_every_passage(spark):
+    """A sample of eight passages holds little of many kinds of texts: the space must hold them all the same, as the exact decomposition does."""
+    rng = random.Random(8)
+    kinds = [[f"k{k}w{i}" for i in range(12)] for k in range(40)]
+    docs = [" ".join(rng.choice(kinds[d % 40]) for _ in range(rng.randrange(1, 200))) for d in range(400)] + ["", None, " "]
+    made = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").repartition(3)
+    items = decontam.Items([0], [decontam.hashed_words([" ".join(kinds[0])])[0]], [])
+    space = decontam.fit(made, items, stride=16, per_passage=3, rank=40, sample_rows=8)
+    rows = [*items.words]
+    for words in (decontam.hashed_words([d or ""])[0] for d in docs):
+        rows += [words[b : b + 48] for b in range(0, len(words), 16)]
+    every = np.eye(decontam.FEATURES, dtype=np.float32)[:, np.unique(decontam.bins_of(np.concatenate(rows)))]
+    held = np.flatnonzero(every.any(axis=1))
+    exact = decontam.gram_product(rows, every, space.idf)[held].astype(float)
+    best = np.linalg.eigvalsh(exact)[::-1][:40].sum()
+    basis = np.linalg.qr(space.basis[held] / space.idf[held, None])[0]
+    assert np.trace(basis.T @ exact @ basis) > 0.95 * best
+
+
+def test_decontamination_product_is_that_of_single_passages():
+    """Texts of no, one and many words, with words that come again; few words make every bin common, many make most of them rare."""
+    rng = np.random.default_rng(1)
+    counts = np.array([0, 1, 15, 16, 17, 300, 48, 0, 1000])
+    for distinct in (60, 5000):
+        words = rng.integers(0, 2**64, distinct, dtype=np.uint64)[rng.zipf(1.2, counts.sum()) % distinct]
+        idf = rng.random(decontam.FEATURES) + 0.1
+        q = np.linalg.qr(rng.standard_normal((decontam.FEATURES, 20)))[0].astype(np.float32)
+        begin, per = decontam.strides(counts, 16)
+        ends = np.minimum(begin + 48, np.repeat(np.cumsum(counts), per))
+        want = decontam.gram_product([words[a:b] for a, b in zip(begin, ends)], q, idf)
+        out = np.zeros(q.shape, np.float32)
+        decontam.text_product(decontam.bins_of(words), counts, (idf[:, None] * q).astype(np.float32), idf, 16, 3, out)
+        assert np.allclose(out * idf[:, None], want, atol=1e-5)
+
+
 def test_decontamination_looks_words_up_once(monkeypatch):
     """The words of a text are searched among those of all items once, not once per batch of items; so are a stride's bins sorted by themselves."""
     rng = np.random.default_rng(3)
